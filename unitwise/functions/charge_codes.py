@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from unitwise.functions import fixed_values as V
-from unitwise.functions.scalars import col, let
+from unitwise.functions import scalars as S
+from unitwise.functions.scalars import col
 
 
 def _any_word(words) -> str:
@@ -26,32 +27,26 @@ def charge_category(code) -> Column:
     the raw text, so a word test on the raw text covers both; only base rent
     and the numbered-storage pattern look at the description by itself.
     """
-    def rules(parts: Column) -> Column:
-        raw, abbrev, desc = parts["raw"], parts["abbrev"], parts["desc"]
-        tests: list[tuple[Column, str]] = []
-        for category, words, abbreviations in V.CHARGE_RULES_BEFORE_RENT:
-            tests.append((raw.rlike(_any_word(words)) | abbrev.isin(*abbreviations), category))
-        tests.append((
-            desc.isin(*V.BASE_RENT_DESCRIPTIONS)
-            | ((abbrev == V.BASE_RENT_ABBREVIATION) & desc.contains("rent")), "base_rent"))
-        for category, words in V.CHARGE_RULES_AFTER_RENT:
-            hit = raw.rlike(_any_word(words))
-            if category == "storage":
-                hit = hit | desc.rlike(V.STORAGE_DESCRIPTION)
-            tests.append((hit, category))
-        out = None
-        for hit, category in tests:
-            out = F.when(hit, category) if out is None else out.when(hit, category)
-        return F.when(raw.isNotNull(), out.otherwise("other"))
-
-    def split(raw: Column) -> Column:
-        return F.struct(
-            raw.alias("raw"),
-            F.regexp_extract(raw, V.CODE_SPLIT, 1).alias("abbrev"),
-            F.when(raw.rlike(V.CODE_SPLIT), F.trim(F.regexp_extract(raw, V.CODE_SPLIT, 2)))
-            .otherwise(raw).alias("desc"))
-
-    return let(let(code_text(code), split), rules)
+    words = lambda ws: S.sql_text(_any_word(ws))
+    ladder = []
+    for category, found, abbreviations in V.CHARGE_RULES_BEFORE_RENT:
+        ladder.append((f"v.raw RLIKE {words(found)} OR v.abbrev IN ({S.sql_list(abbreviations)})",
+                       category))
+    ladder.append((
+        f"v.descr IN ({S.sql_list(V.BASE_RENT_DESCRIPTIONS)}) OR (v.abbrev ="
+        f" '{V.BASE_RENT_ABBREVIATION}' AND contains(v.descr, 'rent'))", "base_rent"))
+    for category, found in V.CHARGE_RULES_AFTER_RENT:
+        also = (f" OR v.descr RLIKE {S.sql_text(V.STORAGE_DESCRIPTION)}"
+                if category == "storage" else "")
+        ladder.append((f"v.raw RLIKE {words(found)}{also}", category))
+    rules = " ".join(f"WHEN {test} THEN '{category}'" for test, category in ladder)
+
+    shape = S.sql_text(V.CODE_SPLIT)
+    parts = (
+        f"named_struct('raw', v, 'abbrev', regexp_extract(v, {shape}, 1), 'descr',"
+        f" IF(v RLIKE {shape}, trim(regexp_extract(v, {shape}, 2)), v))")
+    split = S.let_sql(code_text(code), parts)
+    return S.let_sql(split, f"CASE WHEN v.raw IS NOT NULL THEN CASE {rules} ELSE 'other' END END")
 
 
 def is_total_line(code) -> Column:

@@ -24,6 +24,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_sql(value: Column, body: str) -> Column:
+    """Like :func:`let`, with the body as SQL over the variable ``v``.
+
+    Long CASE ladders are handed over as one text instead of hundreds of calls.
+    """
+    bound = F.call_function("transform", F.array(value), F.expr(f"v -> {body}"))
+    return F.get(bound, F.lit(0))
+
+
+def sql_text(value: str) -> str:
+    """A raw SQL string literal; rules hold no single quotes of both kinds."""
+    return f"r'{value}'"
+
+
+def sql_list(values) -> str:
+    return ", ".join(sql_text(v) for v in values)
+
+
 def blank_to_null(text) -> Column:
     """Trim all white space; nothing left means NULL."""
     return F.nullif(F.regexp_replace(col(text), r"^\s+|\s+$", ""), F.lit(""))
@@ -49,34 +67,34 @@ def cents(x: Column) -> Column:
     return (half_up(scaled).cast("decimal(28,2)") / F.lit(100)).cast(MONEY)
 
 
+def sql_lookup(pairs: dict[str, str]) -> str:
+    entries = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in pairs.items())
+    return f"try_element_at(map({entries}), v)"
+
+
 def lookup(pairs: dict[str, str], key: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return F.try_element_at(table, key)
+    return let_sql(key, sql_lookup(pairs))
 
 
 def norm_status(text) -> Column:
     """Status word of a status text; blank is vacant, unknown is occupied."""
     raw = col(text)
 
-    def rules(word):
-        by_word = None
-        for status, pattern, unless in V.STATUS_KEYWORDS:
-            hit = word.rlike(pattern)
-            if unless:
-                hit = hit & ~word.rlike(unless)
-            by_word = F.when(hit, status) if by_word is None else by_word.when(hit, status)
-        return F.coalesce(lookup(V.STATUS_TEXTS, word), by_word.otherwise(V.STATUS_DEFAULT))
-
-    known = let(F.lower(F.regexp_replace(raw, r"^\s+|\s+$", "")), rules)
+    by_word = " ".join(
+        f"WHEN v RLIKE {sql_text(pattern)}"
+        + (f" AND NOT v RLIKE {sql_text(unless)}" if unless else "") + f" THEN '{status}'"
+        for status, pattern, unless in V.STATUS_KEYWORDS)
+    body = f"coalesce({sql_lookup(V.STATUS_TEXTS)}, CASE {by_word} ELSE '{V.STATUS_DEFAULT}' END)"
+    known = let_sql(F.lower(F.regexp_replace(raw, r"^\s+|\s+$", "")), body)
     return F.when(raw.isNull() | (raw == ""), V.STATUS_WHEN_BLANK).otherwise(known)
 
 
 def norm_status_exact(text, table: dict[str, str] = V.STATUS_TEXTS_OLDER) -> Column:
     """Status of the two older profiles: known words only, else occupied."""
     raw = col(text)
-    word = F.lower(F.regexp_replace(raw, r"^\s+|\s+$", ""))
-    return (F.when(raw.isNull() | (raw == ""), V.STATUS_WHEN_BLANK)
-            .otherwise(F.coalesce(lookup(table, word), F.lit(V.STATUS_DEFAULT))))
+    body = f"coalesce({sql_lookup(table)}, '{V.STATUS_DEFAULT}')"
+    known = let_sql(F.lower(F.regexp_replace(raw, r"^\s+|\s+$", "")), body)
+    return F.when(raw.isNull() | (raw == ""), V.STATUS_WHEN_BLANK).otherwise(known)
 
 
 def status_or_from_tenant(status_text, tenant) -> tuple[Column, Column]:
@@ -127,16 +145,20 @@ def is_date_format(num_fmt) -> Column:
     return fmt.rlike(V.DATE_FORMAT_LETTERS) & ~fmt.rlike(V.NOT_A_DATE_FORMAT)
 
 
-def _month_day_year(text: Column) -> Column:
-    part = lambda i: F.regexp_extract(text, V.MONTH_DAY_YEAR, i).try_cast("int")
-    digits = F.regexp_extract(text, V.MONTH_DAY_YEAR, 3)
-    year = (F.when(F.length(digits) == 2,
-                   part(3) + F.when(part(3) > 50, 1900).otherwise(2000))
-            .otherwise(part(3)))
+def _date_rule() -> str:
+    """Date of a trimmed text ``v``: month/day/year, else an ISO-like text."""
+    part = lambda i: f"try_cast(regexp_extract(v, {sql_text(V.MONTH_DAY_YEAR)}, {i}) AS INT)"
+    digits = f"regexp_extract(v, {sql_text(V.MONTH_DAY_YEAR)}, 3)"
+    year = (f"CASE WHEN length({digits}) = 2 THEN {part(3)} + IF({part(3)} > 50, 1900, 2000)"
+            f" ELSE {part(3)} END")
     # Months outside 1..12 run over into the neighbouring years.
-    first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), part(1) - 1)
-    day = F.least(part(2), F.day(F.last_day(first)))
-    return F.when(text.rlike(V.MONTH_DAY_YEAR) & (year > 0), F.date_add(first, day - 1))
+    first = f"add_months(make_date({year}, 1, 1), {part(1)} - 1)"
+    mdy = f"date_add({first}, least({part(2)}, day(last_day({first}))) - 1)"
+    free = ", ".join(f"try_to_date(v, '{p}')" for p in (
+        "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy"))
+    return (f"CASE WHEN v RLIKE {sql_text(V.MONTH_DAY_YEAR)} THEN IF({part(3)} > 0 OR"
+            f" length({digits}) = 2, {mdy}, NULL)"
+            f" ELSE coalesce({free}, CAST(try_to_timestamp(v) AS DATE)) END")
 
 
 def parse_date(text, serial=None) -> Column:
@@ -144,12 +166,7 @@ def parse_date(text, serial=None) -> Column:
 
     Free-form dates beyond the listed patterns are NULL.
     """
-    t = clean_text(text)
-    free = F.coalesce(*[
-        F.try_to_date(t, p) for p in ("yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy",
-                                      "MMMM d, yyyy", "d MMM yyyy")],
-        F.try_to_timestamp(t).cast("date"))
-    from_text = F.when(t.rlike(V.MONTH_DAY_YEAR), _month_day_year(t)).otherwise(free)
+    from_text = let_sql(clean_text(text), _date_rule())
     if serial is None:
         return from_text
     return F.when(col(serial).isNotNull(), serial_to_date(serial)).otherwise(from_text)

@@ -17,6 +17,7 @@ from unitwise.functions.scan import running
 from unitwise.operators import reconcile as R
 from unitwise.operators.stats import TOTAL, tenanted
 from unitwise.operators.walk import SHEET, Walk, dedupe_units
+from unitwise.session import stage
 
 FATIGUE_FIELDS = (
     "lease_start_date", "lease_end_date", "move_in_date", "move_out_date", "unit_sqft",
@@ -288,7 +289,8 @@ def choose_convention(walked: Walk, stated: DataFrame, heads: DataFrame) -> Data
 
     A sheet no convention passes does not appear: it needs another reading.
     """
-    units = both_conventions(walked.units)
+    walked = walked._replace(units=stage(walked.units))
+    units = stage(both_conventions(walked.units))
     checked = verify_against_stated(units, stated, CONVENTION, "place")
     proof = prove_complete(units, checked.outcome, charge_column_anchor(walked), CONVENTION)
     sparse = coverage_gate(units, heads, CONVENTION).select(*CONVENTION).distinct()
@@ -325,8 +327,9 @@ def narrow_fee_codes(units: DataFrame, lines: DataFrame, plan: DataFrame,
     (units, dropped codes); ``units`` and ``accepted`` are per sheet, already
     de-duplicated under the accepted convention.
     """
+    units, accepted = stage(units), stage(accepted)
     arbiter = accepted.filter(F.col("stated_rent") > 0).select(*SHEET, "stated_rent")
-    suspects = suspect_codes(plan).join(arbiter, SHEET)
+    suspects = stage(suspect_codes(plan).join(arbiter, SHEET))
     kept = units.select(*SHEET, "source_row", "monthly_rent")
     coded = lines.withColumn("code", F.lower("code")).join(
         kept.select(*SHEET, "source_row"), [*SHEET, "source_row"], "left_semi")
@@ -343,6 +346,7 @@ def narrow_fee_codes(units: DataFrame, lines: DataFrame, plan: DataFrame,
         .join(latches, [*SHEET, "source_row"]))
     left = F.col("_latches") - F.when(F.col("_borne"), 0).otherwise(F.col("_lines"))
     # A suspect no unit carries changes nothing and so never fails the test.
+    per_code = stage(per_code)
     verdict = per_code.groupBy(*SHEET, "code").agg(
         F.bool_and((F.col("_sum") >= 0) & (left > 0)).alias("fee"))
     dropped = suspects.filter(F.size("rent_codes") > 1).join(
@@ -360,6 +364,7 @@ def narrow_fee_codes(units: DataFrame, lines: DataFrame, plan: DataFrame,
         "narrowed", F.when(F.col("_less").isNull(), F.col("monthly_rent")).when(
             F.col("_latches") > F.col("_off"),
             S.cents(F.col("monthly_rent") - F.col("_less"))))
+    trial = stage(trial)
     judged = trial.groupBy(*SHEET).agg(
         F.bool_and(F.col("monthly_rent").isNull() | (
             F.coalesce(F.col("narrowed") <= F.col("monthly_rent"), F.lit(False)))).alias("lower"),
@@ -373,6 +378,7 @@ def narrow_fee_codes(units: DataFrame, lines: DataFrame, plan: DataFrame,
     proposal = units.join(good, SHEET, "left_semi").join(
         trial.select(*SHEET, "source_row", "narrowed"), [*SHEET, "source_row"], "left"
     ).withColumn("monthly_rent", F.col("narrowed")).drop("narrowed")
+    proposal = stage(proposal)
     fields = accepted.select(*SHEET, *R.STATED_FIELDS)
     still_ok = verify_against_stated(proposal, fields, SHEET, "place").outcome.filter("ok").join(
         good, SHEET, "left_semi").select(*SHEET)

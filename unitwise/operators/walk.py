@@ -408,20 +408,26 @@ def _lines(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return row.unionByName(block)
 
 
+def _range_of(rows: DataFrame) -> DataFrame:
+    """:func:`used_range` from gathered rows."""
+    filled = F.map_keys(F.map_filter("m", lambda k, v: v["s"].isNotNull()))
+    return rows.withColumn("_c", filled).filter(F.size("_c") > 0).groupBy(*SHEET).agg(
+        F.min("row").alias("first_row"), F.max("row").alias("last_row"),
+        F.min(F.array_min("_c")).alias("first_col"), F.max(F.array_max("_c")).alias("last_col"))
+
+
 def walk(cells: DataFrame, structures: DataFrame) -> Walk:
-    """Walk every planned sheet once.
+    """Walk every planned sheet.
 
-    The gathered rows and the flagged rows each feed several branches; they are
-    staged, so a cluster that names a checkpoint folder reads its cells once.
+    The gathered rows (read several times) and the plan (one row per sheet)
+    are staged, so cells are read once and every branch has a short lineage.
     """
     rows = stage(sheet_rows(cells))
-    plan0 = sheet_plan(structures, used_range(cells))
-    flags0 = row_flags(rows.join(plan0, SHEET))
-    plan = full_plan(plan0, flags0)
-    extra = plan.select(*SHEET, "charge_columns", "captured", "audits", "cut")
-    flagged = stage(flags0.join(extra, SHEET))
-    rows, blocks = assign_blocks(flagged)
-    return Walk(plan, flagged, _units(rows, blocks, plan), _lines(rows, blocks))
+    plan0 = sheet_plan(structures, _range_of(rows))
+    plan = stage(full_plan(plan0, row_flags(rows.join(plan0, SHEET))))
+    flagged = row_flags(rows.join(plan, SHEET))
+    alone, blocks = assign_blocks(flagged)
+    return Walk(plan, flagged, _units(alone, blocks, plan), _lines(alone, blocks))
 
 
 def dedupe_units(units: DataFrame, convention: str = "applicant-over-vacant") -> DataFrame:

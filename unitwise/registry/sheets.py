@@ -11,6 +11,7 @@ from unitwise.operators import cells as C
 from unitwise.operators import prove as P
 from unitwise.operators import walk as W
 from unitwise.registry.base import register
+from unitwise.session import stage
 from unitwise.sources import corpus
 from unitwise.sources import sheets as G
 from unitwise.sources import tables as T
@@ -351,7 +352,7 @@ def _heads(sp, d, *sheets):
 
 
 def _tired_sheet(sp, d):
-    return tired_units(sp, d).withColumn("sheet", F.lit("roll")).withColumn(
+    return T.units(sp, d).withColumn("sheet", F.lit("roll")).withColumn(
         "lease_end_date", F.when(F.col("unit_row_id") % 9 == 1, F.col("lease_end_date")))
 
 
@@ -386,7 +387,8 @@ register("printed_grand_total", lambda sp, d: (lambda w: P.printed_grand_total(w
 
 def _proof(sp, d):
     w = walk_of(sp, d, "roll")
-    units = P.both_conventions(w.units)
+    w = w._replace(units=stage(w.units))
+    units = stage(P.both_conventions(w.units))
     stated = P.sheet_stated(G.structures(sp, d, "roll"))
     checked = P.verify_against_stated(units, stated, P.CONVENTION, "place")
     return P.prove_complete(units, checked.outcome, P.charge_column_anchor(w), P.CONVENTION)
@@ -425,7 +427,8 @@ register("accepted_units", lambda sp, d: P.accepted_units(
 
 def _narrow_input(sp, d):
     w = walk_of(sp, d, "lease")
-    units = W.dedupe_units(w.units)
+    w = w._replace(lines=stage(w.lines))
+    units = stage(W.dedupe_units(w.units))
     fees = w.lines.filter(F.col("code") == "como").groupBy(*W.SHEET, "source_row").agg(
         F.sum("amount").alias("fee"))
     stated = units.join(fees, [*W.SHEET, "source_row"], "left").groupBy(*W.SHEET).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -25,10 +27,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table several branches read.
 
-    Uses the shared folder the cluster names in ``spark.checkpoint.dir``; where
-    none is named the plan stays whole and the runtime reuses its exchanges.
+    Writes to the shared folder the cluster names in ``spark.checkpoint.dir``.
+    Where none is named, a local session gets a folder of its own and any other
+    session keeps the whole plan.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="unitwise-"))
+    return df.checkpoint()
