@@ -60,8 +60,9 @@ def align_affix(truth: DataFrame, found: DataFrame, exact: DataFrame) -> DataFra
     e_ids = ex.groupBy("doc_id", "id").agg(
         F.count(F.lit(1)).alias("copies"), F.min("pos").alias("pos"))
     suffixes = lambda df, name: df.select(
-        "doc_id", F.col("id").alias(name), F.explode(F.transform(
-            F.sequence(F.lit(2), F.length("id")), lambda n: F.right("id", n))).alias("suffix"))
+        "doc_id", "id", F.explode(F.transform(
+            F.sequence(F.lit(2), F.length("id")), lambda n: F.right("id", n))).alias("suffix")
+    ).withColumnRenamed("id", name)
     long_enough = lambda df: df.filter(F.length("id") >= 2)
     g2, e2 = long_enough(g_ids), long_enough(e_ids)
     # Candidate links: one side's id is a suffix of the other's.

@@ -1 +1,36 @@
-"""Placeholder."""
+"""Queries over the progress feed (batch twins of the streams)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from unitwise.registry.base import register
+from unitwise.sources import tables as T
+from unitwise.sources.tables import with_views
+from unitwise.streaming import progress as X
+
+register("latest_progress", lambda sp, d: X.latest_progress(T.progress(sp, d)).select(
+    "job_id", "stage", "detail", "n_events"), with_views(
+    "SELECT job_id, arg_max(stage, (event_at, event_id)) AS stage, arg_max(detail, (event_at, event_id))"
+    " FILTER (detail IS NOT NULL) AS detail, count(kind) AS n_events FROM rr_progress GROUP BY job_id",
+    "rr_progress"))
+_MOST = 20
+register("cap_events", lambda sp, d: X.cap_events(T.progress(sp, d), _MOST).select(
+    "job_id", "event_id", "event_no"), with_views(
+    "SELECT job_id, event_id, event_no FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY"
+    f" event_at, event_id) AS event_no FROM rr_progress WHERE kind IS NOT NULL) WHERE event_no <= {_MOST}",
+    "rr_progress"))
+_AS_OF = "2024-01-31 00:00:00"
+register("stale_jobs", lambda sp, d: X.stale_jobs(
+    T.progress(sp, d), F.to_timestamp(F.lit(_AS_OF)), ("validating",)).select("job_id", "stage"),
+    with_views(
+    "SELECT job_id, stage FROM (SELECT job_id, max(event_at) AS last_at, arg_max(stage, (event_at,"
+    f" event_id)) AS stage FROM rr_progress GROUP BY 1) WHERE last_at < TIMESTAMP '{_AS_OF}' - INTERVAL"
+    " 10 MINUTE AND stage <> 'validating'", "rr_progress"))
+register("throttle", lambda sp, d: X.throttle(_dense(sp, d)))
+
+
+def _dense(sp, d):
+    """The feed on a time scale where updates of a job follow within seconds."""
+    return T.progress(sp, d).withColumn("event_at", F.timestamp_millis(
+        F.unix_millis("event_at") % 600000))

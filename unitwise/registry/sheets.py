@@ -174,7 +174,7 @@ _LEASE_UNITS = (
     f" u.unit_row_id % 4 <> 3 THEN CAST(1000 + u.unit_row_id % 500 AS {M}) END AS market_rent,"
     " a2 AS subsidy_rent, a4 AS concession, tenant_name, unit_sqft, CAST(total AS DECIMAL(18,4)) AS"
     " block_charge_total, CAST(total AS DECIMAL(24,4)) AS charge_sum, coalesce(nl, 0) AS n_lines,"
-    " a7 FROM rr_units u LEFT JOIN (SELECT unit_row_id, "
+    " a1, a2, a4, a7 FROM rr_units u LEFT JOIN (SELECT unit_row_id, "
     + ", ".join(f"{_at(k)} AS a{k}" for k in (1, 2, 4, 7))
     + ", sum(amount) AS total, count(*) AS nl FROM rr_lines GROUP BY 1) l ON l.unit_row_id ="
     " u.unit_row_id")
@@ -403,23 +403,28 @@ _PROOF = (
 register("prove_complete", _proof, duck(_PROOF, "roll"))
 
 
-def _chosen(sp, d):
+def _chosen(sp, d, w=None):
     return P.choose_convention(
-        walk_of(sp, d, "roll"), P.sheet_stated(G.structures(sp, d, "roll")), _heads(sp, d, "roll"))
+        w or walk_of(sp, d, "roll"), P.sheet_stated(G.structures(sp, d, "roll")), _heads(sp, d, "roll"))
 
 
 register("choose_convention", lambda sp, d: _chosen(sp, d).select(
     "doc_id", "sheet", "convention", "basis", "n_units", "rent_sum", "stated_units", "stated_rent"),
     duck(
-    "SELECT p.doc_id, p.sheet, p.convention, p.basis, n_units, rent_sum, CASE WHEN p.doc_id % 2 = 0"
+    "SELECT p.doc_id, p.sheet, p.convention, p.basis, u.n_units, rent_sum, CASE WHEN p.doc_id % 2 = 0"
     " THEN n_roll_ids END AS stated_units, CASE WHEN abs(rent_sum - grand_total) <= greatest(5.0,"
     f" grand_total * 0.005) THEN CAST(grand_total AS {WIDE}) END AS stated_rent FROM ({_PROOF}) p JOIN"
     f" rr_docs d ON d.doc_id = p.doc_id JOIN (SELECT doc_id, count(*) AS n_units,"
     f" CAST(sum(monthly_rent) AS {WIDE}) AS rent_sum FROM"
     f" ({_dedupe_sql(_ROLL_UNITS, 'applicant-over-vacant')}) GROUP BY 1) u ON u.doc_id = p.doc_id"
     " WHERE p.basis IS NOT NULL AND p.convention = 'applicant-over-vacant'", "roll"))
-register("accepted_units", lambda sp, d: P.accepted_units(
-    walk_of(sp, d, "roll"), _chosen(sp, d)).select(*_dd), duck(
+def _accepted(sp, d):
+    w = walk_of(sp, d, "roll")
+    w = w._replace(units=stage(w.units))
+    return P.accepted_units(w, _chosen(sp, d, w)).select(*_dd)
+
+
+register("accepted_units", _accepted, duck(
     f"SELECT {', '.join('u.' + c for c in _dd)} FROM"
     f" ({_dedupe_sql(_ROLL_UNITS, 'applicant-over-vacant')}) u JOIN ({_PROOF}) p ON p.doc_id ="
     " u.doc_id AND p.convention = u.convention WHERE p.basis IS NOT NULL", "roll"))
@@ -492,12 +497,6 @@ def _attempts(sp, d):
     return a.join(first, "doc_id", "left_semi")
 
 
-_LADDER = (
-    "SELECT doc_id, CASE WHEN NOT ok1 THEN CASE WHEN b2.bad AND has_anchors AND ok3 IS NOT NULL THEN"
-    " {three} ELSE b2.no END WHEN NOT has_anchors AND ok2 IS NOT NULL AND i2 <= i1 AND doc_id % 3 <> 0"
-    " THEN 2 ELSE 1 END")
-
-
 def _better(a: str, b: str) -> str:
     """Number of the better attempt of two, by suffix; a is the earlier one."""
     return (

@@ -121,7 +121,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROGRESS_COLUMNS = {
     "event_id": "event_id",
-    "event_at": "ts",
+    "event_at": "CAST(ts AS TIMESTAMP)",
     "job_id": "user_id",
     "stage": "CASE WHEN event_id % 7 < 5 THEN 'extracting' ELSE 'validating' END",
     "detail": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('step ', CAST(event_id AS STRING)) END",
