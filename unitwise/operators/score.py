@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from unitwise.functions import fixed_values as V
 from unitwise.functions import scalars as S
 from unitwise.functions.scan import numbered
+from unitwise.session import stage
 
 
 def occurrence_number(df: DataFrame, keys: list[str], pos: str, out: str = "k") -> DataFrame:
@@ -55,7 +56,7 @@ def align_affix(truth: DataFrame, found: DataFrame, exact: DataFrame) -> DataFra
         "doc_id", "pos", S.norm_unit("unit_number").alias("id")).filter(
         F.col("id") != "").join(exact.select("doc_id", F.col(name).alias("pos")),
                                 ["doc_id", "pos"], "left_anti")
-    gt, ex = left(truth, "gt_pos"), left(found, "ex_pos")
+    gt, ex = stage(left(truth, "gt_pos")), stage(left(found, "ex_pos"))
     g_ids = gt.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("copies"))
     e_ids = ex.groupBy("doc_id", "id").agg(
         F.count(F.lit(1)).alias("copies"), F.min("pos").alias("pos"))
@@ -74,13 +75,13 @@ def align_affix(truth: DataFrame, found: DataFrame, exact: DataFrame) -> DataFra
         ["doc_id", "suffix"]).filter(F.col("e") != F.col("g")).join(
         e2.select("doc_id", F.col("id").alias("e"), "copies"), ["doc_id", "e"]).select(
         "doc_id", "g", "e", "copies")
-    links = longer_g.unionByName(longer_e)
+    links = stage(longer_g.unionByName(longer_e))
     takers = links.groupBy("doc_id", "e").agg(F.count(F.lit(1)).alias("takers"))
     per_g = links.join(takers, ["doc_id", "e"]).groupBy("doc_id", "g").agg(
         F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_near"),
         F.count_if(F.col("takers") == 1).alias("exclusive"))
-    live_g = per_g.filter((F.col("most_copies") == 1) & (F.col("exclusive") <= 1)).select(
-        "doc_id", "g", "n_near")
+    live_g = stage(per_g.filter((F.col("most_copies") == 1) & (F.col("exclusive") <= 1)).select(
+        "doc_id", "g", "n_near"))
     live = links.join(live_g.select("doc_id", "g"), ["doc_id", "g"], "left_semi")
     live_e = live.select("doc_id", F.col("e").alias("id")).distinct()
     members = live_g.select("doc_id", F.col("g").alias("id"), F.lit(True).alias("truth")).unionByName(
@@ -104,7 +105,7 @@ def align_affix(truth: DataFrame, found: DataFrame, exact: DataFrame) -> DataFra
 
 
 def align(truth: DataFrame, found: DataFrame) -> DataFrame:
-    exact = align_exact(truth, found)
+    exact = stage(align_exact(truth, found))
     return exact.unionByName(align_affix(truth, found, exact))
 
 
