@@ -125,6 +125,7 @@ PLACEHOLDER_NAMES = (
 HIGHLIGHT_PLACEHOLDER_NAMES = ("vacant", "vacancy", "n/a", "none", "-")
 
 # --- dates and numbers -----------------------------------------------------
+WHITE_SPACE = " \t\n\v\f\r\u00a0\u2028\u2029\u3000\ufeff"
 SERIAL_EPOCH = "1899-12-30"
 SERIAL_RANGE = (1000, 80000)
 DATE_FORMAT_LETTERS = r"[dmyDMY]"

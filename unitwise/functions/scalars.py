@@ -42,12 +42,9 @@ def sql_list(values) -> str:
     return ", ".join(sql_text(v) for v in values)
 
 
-def blank_to_null(text) -> Column:
+def clean_text(text) -> Column:
     """Trim all white space; nothing left means NULL."""
-    return F.nullif(F.regexp_replace(col(text), r"^\s+|\s+$", ""), F.lit(""))
-
-
-clean_text = blank_to_null
+    return F.nullif(F.btrim(col(text), F.lit(V.WHITE_SPACE)), F.lit(""))
 
 
 def clean_placeholder(text) -> Column:
@@ -116,8 +113,9 @@ def status_or_from_tenant(status_text, tenant) -> tuple[Column, Column]:
 
 def parse_number(text) -> Column:
     """Number at the start of a money text; ``(x)`` is negative."""
-    squeezed = F.regexp_replace(col(text), r"[$,\s]", "")
-    signed = F.regexp_replace(squeezed, r"^\((.*)\)$", "-$1")
+    squeezed = F.translate(col(text), "$," + V.WHITE_SPACE, "")
+    signed = F.when(squeezed.startswith("(") & squeezed.endswith(")"), F.concat(
+        F.lit("-"), F.substr(squeezed, F.lit(2), F.length(squeezed) - 2))).otherwise(squeezed)
     return F.regexp_extract(signed, V.NUMBER_PREFIX, 0).try_cast("double")
 
 

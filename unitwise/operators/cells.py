@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from unitwise.functions import fixed_values as V
 from unitwise.functions import scalars as S
 from unitwise.functions.scan import numbered
-from unitwise.operators.walk import SHEET, sheet_rows, used_range
+from unitwise.operators.walk import SHEET, used_range
 
 
 def sheet_grid(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -146,14 +146,22 @@ def summary_sheets(grid: DataFrame, inventory: DataFrame, selected: DataFrame) -
 
 def column_inventory(cells: DataFrame) -> DataFrame:
     """Repeated short texts per column, with the sum of the cell to their right."""
-    rows = sheet_rows(cells, V.MAX_INVENTORY_COLUMN + 1)
-    seen = rows.select(*SHEET, "m", F.explode(F.map_keys("m")).alias("col")).select(
-        *SHEET, "col", F.col("m")[F.col("col")]["s"].alias("value"),
-        F.col("m")[F.col("col")]["serial"].isNotNull().alias("is_num"),
-        F.col("m")[F.col("col") + 1]["n"].alias("amount")
-    ).filter((F.col("col") <= V.MAX_INVENTORY_COLUMN) & ~F.col("is_num")
-             & F.col("value").isNotNull() & (F.length("value") <= 25)
-             & ~F.col("value").rlike("[0-9]{3,}"))
+    # Each cell offers its number to its left neighbour: one aggregation on the
+    # cell address pairs them, without gathering whole rows.
+    text = S.clean_text("text")
+    number = F.when(F.col("ctype") == "n", F.col("num")).otherwise(S.parse_number("text"))
+    code = F.when((F.col("ctype") == "s") & (F.length(text) <= 25)
+                  & ~text.rlike("[0-9]{3,}"), text)
+    offers = cells.filter(F.col("col") <= V.MAX_INVENTORY_COLUMN + 1).select(
+        *SHEET, "row", F.explode(F.array(
+            F.struct(F.col("col").alias("col"), code.alias("value"),
+                     F.lit(None).cast("double").alias("amount")),
+            F.struct((F.col("col") - 1).alias("col"), F.lit(None).cast("string").alias("value"),
+                     number.alias("amount")))).alias("o")).select(*SHEET, "row", "o.*").filter(
+        F.col("value").isNotNull() | F.col("amount").isNotNull())
+    seen = offers.groupBy(*SHEET, "row", "col").agg(
+        F.max("value").alias("value"), F.max("amount").alias("amount")).filter(
+        F.col("value").isNotNull() & (F.col("col") <= V.MAX_INVENTORY_COLUMN))
     values = seen.groupBy(*SHEET, "col", "value").agg(
         F.count(F.lit(1)).alias("n"), F.count("amount").alias("n_sums"),
         F.sum(F.col("amount").try_cast(S.LINE)).alias("_sum"))
