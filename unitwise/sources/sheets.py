@@ -190,6 +190,10 @@ def cells(spark: SparkSession, sf_dir: str, *sheets: str) -> DataFrame:
     if "summary" in sheets:
         by_view["rr_docs"] += [("summary", str(r), c, kind, value, None)
                                for kind, value, r, c in SUMMARY]
+    # A unit becomes fourteen cells: spread the narrow rows before they grow, so
+    # a table that lies in one file is not expanded by one task.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v["rr_units"] = v["rr_units"].repartition(n, "unit_row_id")
     parts = [_spread(v[name], placed) for name, placed in by_view.items() if placed]
     out = parts[0]
     for p in parts[1:]:
