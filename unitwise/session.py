@@ -1,8 +1,11 @@
-"""Session settings the operators count on; nothing here is machine specific."""
+"""Session settings the operators count on, staged tables, and the package on the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,7 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+_SHIPPED: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -24,17 +28,53 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table several branches read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Writes to the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Where none is named, a local session gets a folder of its own and any other
-    session keeps the whole plan.
+    Only a local session that names none gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="unitwise-")
+    spark.sparkContext.setCheckpointDir(own)
+    return spark.sparkContext.getCheckpointDir() or own
+
+
+def stage_path(spark: SparkSession, folder: str | None = None) -> str:
+    """A new path below ``folder`` (the shared one by default), deleted when the application ends."""
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write a table that several branches read once, as Parquet, and read it back.
+
+    Later reads prune columns and survive lost executors; the files go when the application ends.
     """
     spark = df.sparkSession
+    path = stage_path(spark, folder)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for functions that run there."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            return df
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="unitwise-"))
-    return df.checkpoint()
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="unitwise-"), "unitwise.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
