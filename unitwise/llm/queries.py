@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitwise.llm import exact_dedup
+from unitwise.llm import exact_dedup, quality_rules, secret_scan
 
 QUERIES = {}
 ORACLE = {}
@@ -23,6 +23,59 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+_SECRET_KINDS = (("assign", secret_scan.ASSIGN, 2, 6), ("access", secret_scan.ACCESS, 0, 20),
+                 ("hex", secret_scan.HEX, 0, 24), ("live", secret_scan.TOKEN, 0, 20))
+
+
+def _secret_sql() -> str:
+    """Positions from the pieces between matches, ownership counted per value, owner and document."""
+    kinds = "\nUNION ALL\n".join(f"""
+  SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind,
+         unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+           's': list_sum(list_transform(g[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+           'n': length(m[i]), 'v': v[i]}})) AS p
+  FROM (SELECT doc_id, source, regexp_extract_all(t, pat, 0) AS m, regexp_extract_all(t, pat, {group}) AS v,
+               string_split_regex(t, pat) AS g
+        FROM (SELECT doc_id, source, coalesce(text, '') AS t, '{pattern.replace("'", "''")}' AS pat FROM documents))
+  WHERE len(m) > 0""" for rank, (kind, pattern, group, _) in enumerate(_SECRET_KINDS))
+    least = " OR ".join(f"(kind = '{k}' AND length(p.v) >= {n})" for k, _, _, n in _SECRET_KINDS[:3])
+    return f"""
+WITH found AS ({kinds}),
+spans AS (
+  SELECT doc_id, coalesce(source, '') AS source, rank, kind, CAST(p.s AS BIGINT) AS s,
+         CAST(p.s + p.n AS BIGINT) AS e, p.v AS v
+  FROM found
+  WHERE {least} OR (kind = 'live' AND regexp_matches(p.v, '[0-9]') AND regexp_matches(p.v, '[a-z]')
+                    AND regexp_matches(p.v, '[A-Z]'))),
+seen AS (SELECT v, count(DISTINCT source) <= {secret_scan.MAX_OWNERS}
+                   AND count(DISTINCT doc_id) <= {secret_scan.MAX_REPOSITORIES} AS live
+         FROM spans GROUP BY v),
+judged AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live') AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live' OR live) AS spans,
+         count(*) FILTER (kind = 'live' AND live) AS n_live,
+         count(*) FILTER (kind <> 'live' AND live) AS n_owned,
+         count(*) FILTER (kind <> 'live' AND NOT live) AS n_copied
+  FROM spans JOIN seen USING (v) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+FROM documents LEFT JOIN judged USING (doc_id)"""
+
+
+@query("op7_secret_scan", _secret_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
