@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitwise.llm import exact_dedup, quality_rules, secret_scan
+from unitwise.llm import exact_dedup, language, packing, quality, quality_rules, secret_scan
 
 QUERIES = {}
 ORACLE = {}
@@ -23,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(_table(spark, sf_dir, "documents"))
+
+
 _SECRET_KINDS = (("assign", secret_scan.ASSIGN, 2, 6), ("access", secret_scan.ACCESS, 0, 20),
                  ("hex", secret_scan.HEX, 0, 24), ("live", secret_scan.TOKEN, 0, 20))
 
@@ -76,6 +86,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
