@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitwise.llm import exact_dedup, language, packing, quality, quality_rules, secret_scan
+from unitwise.llm import exact_dedup, language, ngram_join, packing, quality, quality_rules, secret_scan
 
 QUERIES = {}
 ORACLE = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_ngram_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 @query("op2_quality_classifier")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
