@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitwise.llm import exact_dedup, language, ngram_join, packing, quality, quality_rules, secret_scan
+from unitwise.llm import chat, exact_dedup, language, mixing, ngram_join, packing, quality, quality_rules, secret_scan
 
 QUERIES = {}
 ORACLE = {}
@@ -38,6 +38,33 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(_table(spark, sf_dir, "documents"))
 
 
+@query("op4_chat_formatting", """
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn,
+         min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+b AS (
+  SELECT pair_id, turn, any_value(said) FILTER (side = 0) AS chosen, any_value(said) FILTER (side = 1) AS rejected
+  FROM t GROUP BY ALL),
+m AS (SELECT *, min(turn) FILTER (chosen IS DISTINCT FROM rejected) OVER (PARTITION BY pair_id) AS apart FROM b),
+r AS (
+  SELECT pair_id, 'prompt' AS segment, turn, chosen AS said FROM m WHERE apart IS NULL OR turn < apart
+  UNION ALL SELECT pair_id, 'chosen', turn, chosen FROM m WHERE turn >= apart AND chosen IS NOT NULL
+  UNION ALL SELECT pair_id, 'rejected', turn, rejected FROM m WHERE turn >= apart AND rejected IS NOT NULL)
+SELECT pair_id, segment, turn, said.role AS role,
+       '<|' || said.role || '|>' || chr(10) || said.text || chr(10) AS rendered,
+       segment <> 'prompt' AND said.role = 'assistant' AS loss
+FROM r""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return chat.preference_rows(turns, chat.neighbours(turns))
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing(_table(spark, sf_dir, "documents"), mixing.domains_of(_table(spark, sf_dir, "labels")))
+
+
 _SECRET_KINDS = (("assign", secret_scan.ASSIGN, 2, 6), ("access", secret_scan.ACCESS, 0, 20),
                  ("hex", secret_scan.HEX, 0, 24), ("live", secret_scan.TOKEN, 0, 20))
 
