@@ -5,8 +5,12 @@ within ``EPS`` of the other's distance. The join goes in these steps, all exact:
 
 1. Equal sets become one class. All work below is on classes.
 2. Shingles are ordered by frequency: rare ones by hash, then a bounded table of the most
-   frequent ones. Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of
-   each; a set without such a shingle in common with another class links with nothing.
+   frequent ones. Of each set the first n - ceil(0.70 n) + 1 are compared. Two sets that link
+   share at least one in twenty of the larger set's shingles among these first ones: the
+   intersection, 3/7 of the sum of the sizes at least, has no more than ceil(0.70 n) - 1
+   elements behind the first ones of the set whose first ones end earlier. A class that shares
+   fewer with all others together links with nothing and is left out; this is repeated, as
+   others then share less.
 3. Every shared shingle names as pivot the class, among those that share it, whose shingles are
    most frequent (the centre of a group of copies). A class belongs to the regions of all
    pivots its shingles name, so two sets that link meet in at least one region.
@@ -45,6 +49,8 @@ from unitwise.session import stage
 
 SIZE = 5
 PERCENT = 75
+FIRST_PERCENT = 70
+ROUNDS = 3
 EPS = 1 - PERCENT / 100
 FREQUENT = 1 << 16
 REGION = 2048
@@ -123,22 +129,32 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["s"].to_numpy().astype(np.uint64), top["n"].to_numpy().astype(np.float64)
 
 
+def least_shared(n: int) -> int:
+    """How many of its first shingles a set of ``n`` shares with any set it links with."""
+    return max(1, -(-(PERCENT - FIRST_PERCENT) * n // 100))
+
+
 def prefix(values: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rare, frequent) first shingles of a set, and how frequent its shingles are on average."""
+    """(rare, frequent) first shingles of a set, and a mark of 16 bits.
+
+    The mark holds ``least_shared`` (ten bits, at most 1023) and how frequent the set's
+    shingles are on average (six bits).
+    """
     n = len(values)
-    need = n - (PERCENT * n + 99) // 100 + 1
+    size = n - (FIRST_PERCENT * n + 99) // 100 + 1
+    mark = min(least_shared(n), 1023) << 6
     if not len(hot):
-        return values[:need], values[:0], 0
+        return values[:size], values[:0], mark
     at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
     hit = hot[at] == values
-    rare = values[~hit][:need]
+    rare = values[~hit][:size]
     often = counts[at[hit]]
-    score = min(int(1024 * np.log2(often).sum() / n), 0xFFFF) if len(often) else 0
-    return rare, values[hit][np.argsort(often, kind="stable")[:need - len(rare)]], score
+    mark |= min(int(4 * np.log2(often).sum() / n), 63)
+    return rare, values[hit][np.argsort(often, kind="stable")[:size - len(rare)]], mark
 
 
 def shared_prefixes(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(s, cls, score): first shingles that two classes share, or that are frequent.
+    """(s, cls, least, score): first shingles that two classes share, or that are frequent.
 
     Map tasks pack their rows by part of the hash space; frequent shingles need no test and are
     dealt by class, so that no part receives a frequent key.
@@ -170,10 +186,10 @@ def shared_prefixes(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.nda
             for cls, body in zip(batch.column("cls").to_pylist(), batch.column("body"), strict=True):
                 if cls is None:
                     continue
-                *firsts, score = prefix(from_bytes(body.as_py()), hot_, counts_)
+                *firsts, mark_ = prefix(from_bytes(body.as_py()), hot_, counts_)
                 for (cells, classes), found in zip(rows, firsts, strict=True):
                     if len(found):
-                        cells.append(found | np.uint64(score << 48))
+                        cells.append(found | np.uint64(mark_ << 48))
                         classes.append((cls, len(found)))
                         size += len(found)
                 if size > 2_000_000:
@@ -202,12 +218,21 @@ def shared_prefixes(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.nda
                 pairs, s = pairs[~alone], s[~alone]
             for at in range(0, len(s), 100_000):
                 own = pairs[at:at + 100_000]
+                mark_ = (own[:, 0] >> np.uint64(48)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s[at:at + 100_000].astype(np.int64)), pa.array(own[:, 1].copy().view(np.int64)),
-                     pa.array((own[:, 0] >> np.uint64(48)).astype(np.int32))], names=["s", "cls", "score"])
+                     pa.array(mark_ >> 6), pa.array(mark_ & 63)], names=["s", "cls", "least", "score"])
 
     return sets.select("cls", "body").mapInArrow(pack, "part int, frequent int, rows binary").repartition(
-        parts, "part").mapInArrow(test, "s long, cls long, score int")
+        parts, "part").mapInArrow(test, "s long, cls long, least int, score int")
+
+
+def _enough_shared(shared: DataFrame) -> DataFrame:
+    """Rows of the shingles at least two classes share, for classes that share enough of them."""
+    held = shared.groupBy("s").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("s")
+    rows = shared.join(held, "s", "left_semi")
+    few = rows.groupBy("cls").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n < least")
+    return rows.join(few, "cls", "left_anti")
 
 
 def _filter_bits(classes: DataFrame, count: int) -> np.ndarray:
@@ -374,8 +399,10 @@ def link_classes(sets: DataFrame, region: int = REGION, levels: int = LEVELS) ->
     spark = sets.sparkSession
     rows = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     hot, counts = frequent_shingles(sets)
-    parts = partitions_for(spark, rows * (100 - PERCENT) // 100, PREFIX_ROWS_PER_TASK)
-    shared = stage(shared_prefixes(sets, parts, hot, counts))
+    parts = partitions_for(spark, rows * (100 - FIRST_PERCENT) // 100, PREFIX_ROWS_PER_TASK)
+    shared = stage(shared_prefixes(sets, parts, hot, counts).distinct())
+    for _ in range(ROUNDS):
+        shared = stage(_enough_shared(shared))
     leads = shared.groupBy("s").agg(F.max(F.struct("score", "cls")).alias("most"), F.min("cls").alias("x"),
                                     F.max("cls").alias("y")).filter("x <> y").select("s", F.col("most.cls").alias("p"))
     regions = stage(shared.join(leads, "s").filter("p <> cls").select("p", F.col("cls").alias("c")).distinct())
