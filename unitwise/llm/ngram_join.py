@@ -1,20 +1,20 @@
 """N-gram Jaccard join: Voronoi regions around pivots in the metric space of shingle sets.
 
-Jaccard distance is a metric, so a text within ``EPS`` of another lies, seen from any pivot,
-within ``EPS`` of the other's distance. The join goes in these steps, all exact:
+Jaccard distance is a metric, so a text within 0.25 of another lies, seen from any pivot,
+within 0.25 of the other's distance. The join goes in these steps, all exact:
 
 1. Equal sets become one class. All work below is on classes.
 2. Shingles are ordered by frequency: rare ones by hash, then a bounded table of the most
    frequent ones. Of each set the first n - ceil(0.70 n) + 1 are compared. Two sets that link
    share at least one in twenty of the larger set's shingles among these first ones: the
    intersection, 3/7 of the sum of the sizes at least, has no more than ceil(0.70 n) - 1
-   elements behind the first ones of the set whose first ones end earlier. A class that shares
-   fewer with all others together links with nothing and is left out; this is repeated, as
-   others then share less.
+   elements behind the first ones of the set whose first ones end earlier. Classes and pairs
+   that share fewer are left out.
 3. Every shared shingle names as pivot the class, among those that share it, whose shingles are
    most frequent (the centre of a group of copies). A class belongs to the regions of all
-   pivots its shingles name, so two sets that link meet in at least one region.
-4. Distances to the pivots are computed. Those within ``EPS`` are links.
+   pivots its shingles name, so two sets that link meet in at least one region. Where at most
+   four classes share a shingle, one class of every pair is the pivot of the other.
+4. Distances to the pivots are computed. Those within 0.25 are links.
 5. What is linked to a pivot is connected already. In every region, classes outside the
    pivot's component join against the region's other components: only partners inside the
    triangle-inequality window of a home class are copied in. A region of more than
@@ -25,7 +25,7 @@ within ``EPS`` of the other's distance. The join goes in these steps, all exact:
 6. Links found there and those of step 4 make the components.
 
 Shingles are 48-bit hashes and sets 64-bit hashes of them. The frequency table and the filter
-of step 4 have fixed sizes and only steer the work; no result depends on them.
+of bodies have fixed sizes and only steer the work; no result depends on them.
 
 Defined results: words are lower-cased in A-Z and split at ASCII white space. A null or wordless
 text has an empty set and is its own component. Repeated rows are copies. A null ``doc_id`` never
@@ -37,28 +37,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitwise.llm.common import lower_words, mix, partitions_for, prepare, slices
-from unitwise.llm.components import connected_components
+from unitwise.llm.regions import (LEVELS, LOW48, PACKED, REGION, ROWS_PER_TASK, Packer, Picker,
+                                  from_bytes, link_shared, shared_keys, to_bytes)
 from unitwise.session import stage
 
 SIZE = 5
 PERCENT = 75
 FIRST_PERCENT = 70
-ROUNDS = 3
-EPS = 1 - PERCENT / 100
 FREQUENT = 1 << 16
-REGION = 2048
-LEVELS = 3
-FILTER_BITS = 1 << 27
-PREFIX_ROWS_PER_TASK = 1_500_000
-_LOW48 = np.uint64((1 << 48) - 1)
-_NEAR = 1e-9
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -72,21 +64,7 @@ def shingles(text: str | None) -> np.ndarray:
     run = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
         run = mix(run * np.uint64(0x9E3779B97F4A7C15) + each[k:n - width + 1 + k])
-    return np.unique(run & _LOW48)
-
-
-def to_bytes(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_bytes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def linked(both: int, a: int, b: int) -> bool:
-    return 100 * both >= PERCENT * (a + b - both)
+    return np.unique(run & LOW48)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -118,7 +96,7 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for body in batch.column("body"):
                 held.append(from_bytes(body.as_py()))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -153,125 +131,33 @@ def prefix(values: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.
     return rare, values[hit][np.argsort(often, kind="stable")[:size - len(rare)]], mark
 
 
-def shared_prefixes(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(s, cls, least, score): first shingles that two classes share, or that are frequent.
-
-    Map tasks pack their rows by part of the hash space; frequent shingles need no test and are
-    dealt by class, so that no part receives a frequent key.
-    """
+def first_shingles(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``PACKED`` rows of the first shingles of every set; the frequent ones are dealt by class."""
     table = sets.sparkSession.sparkContext.broadcast((hot, counts))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_, counts_ = table.value
-
-        def flush(rows: list) -> pa.RecordBatch:
-            out = []
-            for kind, (cells, classes) in enumerate(rows):
-                if not cells:
-                    continue
-                s = np.concatenate(cells)
-                c = np.repeat(np.array([x for x, _ in classes], np.int64), [k for _, k in classes]).view(np.uint64)
-                part = (mix(c if kind else s & _LOW48) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                pairs = np.stack([s[order], c[order]], axis=1)
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out += [(p, kind, pairs[cuts[p]:cuts[p + 1]].tobytes()) for p in range(parts) if cuts[p] < cuts[p + 1]]
-            columns = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())],
-                names=["part", "frequent", "rows"])
-
-        rows, size = [([], []), ([], [])], 0
+        packer = Packer(parts)
         for batch in batches:
             for cls, body in zip(batch.column("cls").to_pylist(), batch.column("body"), strict=True):
-                if cls is None:
-                    continue
-                *firsts, mark_ = prefix(from_bytes(body.as_py()), hot_, counts_)
-                for (cells, classes), found in zip(rows, firsts, strict=True):
-                    if len(found):
-                        cells.append(found | np.uint64(mark_ << 48))
-                        classes.append((cls, len(found)))
-                        size += len(found)
-                if size > 2_000_000:
-                    yield flush(rows)
-                    rows, size = [([], []), ([], [])], 0
-        if size:
-            yield flush(rows)
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in batches:
-            for part, frequent, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                held.setdefault((part, frequent), []).append(np.frombuffer(rows, np.uint64).reshape(-1, 2))
-        for (_, frequent), found in held.items():
-            pairs = np.concatenate(found)
-            s, c = pairs[:, 0] & _LOW48, pairs[:, 1]
-            order = np.lexsort((c, s))
-            pairs, s, c = pairs[order], s[order], c[order]
-            fresh = np.ones(len(s), bool)
-            fresh[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-            pairs, s = pairs[fresh], s[fresh]
-            if not frequent:
-                first = np.ones(len(s), bool)
-                first[1:] = s[1:] != s[:-1]
-                alone = first & np.append(first[1:], True)
-                pairs, s = pairs[~alone], s[~alone]
-            for at in range(0, len(s), 100_000):
-                own = pairs[at:at + 100_000]
-                mark_ = (own[:, 0] >> np.uint64(48)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s[at:at + 100_000].astype(np.int64)), pa.array(own[:, 1].copy().view(np.int64)),
-                     pa.array(mark_ >> 6), pa.array(mark_ & 63)], names=["s", "cls", "least", "score"])
-
-    return sets.select("cls", "body").mapInArrow(pack, "part int, frequent int, rows binary").repartition(
-        parts, "part").mapInArrow(test, "s long, cls long, least int, score int")
-
-
-def _enough_shared(shared: DataFrame) -> DataFrame:
-    """Rows of the shingles at least two classes share, for classes that share enough of them."""
-    held = shared.groupBy("s").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("s")
-    rows = shared.join(held, "s", "left_semi")
-    few = rows.groupBy("cls").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n < least")
-    return rows.join(few, "cls", "left_anti")
-
-
-def _filter_bits(classes: DataFrame, count: int) -> np.ndarray:
-    """Bit table of at most ``FILTER_BITS`` bits that holds all classes, and others by chance."""
-    size = min(FILTER_BITS, 1 << max(10, int(16 * max(count, 1)).bit_length()))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            for place in _places(batch.column("cls").to_numpy(), size):
-                bits[place] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(size // 8, np.uint8)
-    for row in classes.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], np.uint8)
-    return out
+                rare, frequent, mark = prefix(from_bytes(body.as_py()), *table.value)
+                packer.add(rare | np.uint64(mark << 48), cls)
+                packer.add(frequent | np.uint64(mark << 48), cls, spread=True)
+                if packer.full:
+                    yield packer.flush()
+        if packer.size:
+            yield packer.flush()
 
+    return sets.filter("cls IS NOT NULL").select("cls", "body").mapInArrow(pack, PACKED)
 
-def _places(cls: np.ndarray, size: int) -> list[np.ndarray]:
-    one = mix(cls.view(np.uint64))
-    two = mix(one) | np.uint64(1)
-    return [((one + np.uint64(k) * two) % np.uint64(size)).astype(np.int64) for k in range(3)]
 
-
-def class_bodies(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n, body), one row for each of ``classes`` (and a few others by chance)."""
-    bits = sets.sparkSession.sparkContext.broadcast(_filter_bits(classes, classes.count()))
+def _bodies(sets: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(cls, n, body) of the classes in the bit table."""
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = bits.value, set()
+        picker = Picker(shared.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cls = batch.column("cls").to_numpy()
-            keep = np.ones(len(cls), bool)
-            for place in _places(cls, len(table) * 8):
-                keep &= (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-            rows = [i for i in np.flatnonzero(keep).tolist() if cls[i] not in seen and not seen.add(cls[i])]
+            rows = picker(batch.column("cls").to_numpy()) if batch.num_rows else []
             if rows:
                 yield batch.take(pa.array(rows))
 
@@ -279,156 +165,13 @@ def class_bodies(sets: DataFrame, classes: DataFrame) -> DataFrame:
         pick, "cls long, n long, body binary").dropDuplicates(["cls"])
 
 
-def measured(pairs: DataFrame, bodies: DataFrame, *keep: str) -> DataFrame:
-    """``pairs`` (p, c, keep...) with the size of their intersection and both sizes."""
-    one = bodies.select(F.col("cls").alias("c"), F.col("n").alias("n_c"), F.col("body").alias("body_c"))
-    two = bodies.select(F.col("cls").alias("p"), F.col("n").alias("n_p"), F.col("body").alias("body_p"))
-    columns = ["p", "c", *keep, "n_p", "n_c"]
-    schema = ", ".join(f"{k} long" for k in [*columns, "both"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            out = []
-            for p, b, a in zip(batch.column("p").to_pylist(), batch.column("body_p"), batch.column("body_c"), strict=True):
-                if p != last:
-                    last, own = p, from_bytes(b.as_py())
-                out.append(len(np.intersect1d(from_bytes(a.as_py()), own, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).cast(pa.int64()) for k in columns), pa.array(out, pa.int64())],
-                names=[*columns, "both"])
-
-    return pairs.join(one, "c").join(two, "p").select(*columns, "body_p", "body_c").mapInArrow(meet, schema)
-
-
-_LINK = f"100 * both >= {PERCENT} * (n_p + n_c - both)"
-_DISTANCE = "1 - both / (n_p + n_c - both)"
-
-
-def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between home classes and classes of other components: enough to connect them."""
-    rows = rows.sort_values("cls").drop_duplicates("cls", keep="first").reset_index(drop=True)
-    bodies = [from_bytes(b) for b in rows["body"]]
-    sizes = np.array([len(b) for b in bodies])
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    flat, code = np.unique(np.concatenate(bodies), return_inverse=True)
-    by = np.argsort(code, kind="stable")
-    ends = np.searchsorted(code[by], np.arange(len(flat) + 1))
-    holders = owner[by]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    group = {c: c for c in rows["comp"]}
-
-    def root(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    comps, far = rows["comp"].tolist(), rows["d"].to_numpy()
-    out = []
-    for i in np.flatnonzero(rows["home"].to_numpy()):
-        own = code[starts[i]:starts[i + 1]]
-        both = np.bincount(np.concatenate([holders[ends[k]:ends[k + 1]] for k in own]), minlength=len(bodies))
-        close = 100 * both >= PERCENT * (sizes[i] + sizes - both)
-        close &= ~(np.abs(far - far[i]) > EPS + _NEAR)
-        for j in np.flatnonzero(close):
-            a, b = root(comps[i]), root(comps[j])
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                out.append((int(rows["cls"][i]), int(rows["cls"][j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def join_regions(members: DataFrame, bodies: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:
-    """(a, b) links of every home class of a region with classes of other components.
-
-    ``members``: region, cls, comp, home, d (distance to the region's pivot, null if unknown).
-    """
-    out, level = [], 0
-    while True:
-        members = stage(members)
-        counts = members.groupBy("region").agg(
-            F.count("*").alias("n_all"), F.count_if("home").alias("n_home")).filter("n_home > 0 AND n_all > 1")
-        sized = members.join(counts, "region")
-        ready = sized if level >= levels else sized.filter(F.col("n_all") <= region)
-        pieces = lambda n: F.ceil(F.col(n) / region).cast("int")
-        own = F.pmod(F.xxhash64("cls"), pieces("n_all")).cast("int")
-        mine = F.pmod(F.xxhash64("cls", F.lit(1)), pieces("n_home")).cast("int")
-        # Home classes of one block meet the classes of every block; a home class is a partner too.
-        homes = ready.filter("home").select("region", "cls", "comp", "home", "d", mine.alias("hb"),
-                                            F.explode(F.sequence(F.lit(0), pieces("n_all") - 1)).alias("ab"))
-        partners = ready.select("region", "cls", "comp", F.lit(False).alias("home"), "d",
-                                F.explode(F.sequence(F.lit(0), pieces("n_home") - 1)).alias("hb"), own.alias("ab"))
-        blocks = homes.unionByName(partners).groupBy("region", "hb", "ab", "cls", "comp", "d").agg(
-            F.max("home").alias("home"))
-        out.append(blocks.join(bodies, "cls").groupBy("region", "hb", "ab").applyInPandas(_join_block, "a long, b long"))
-        if level >= levels:
-            break
-        large = stage(sized.filter(F.col("n_all") > region))
-        if large.isEmpty():
-            break
-        members = _divide(large, bodies, region, level)
-        level += 1
-    links = out[0]
-    for more in out[1:]:
-        links = links.unionByName(more)
-    return links
-
-
-def _divide(large: DataFrame, bodies: DataFrame, region: int, level: int) -> DataFrame:
-    """Cells of the large regions: home classes at their nearest pivot, others within reach of a cell."""
-    wanted = F.least(F.lit(32), F.ceil(F.col("n_all") / region) + 1)
-    draw = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
-    pivots = large.filter("home").filter(draw * F.col("n_home") < wanted).select("region", F.col("cls").alias("p"))
-    tried = large.select("region", F.col("cls").alias("c"), "comp", F.col("home").cast("long").alias("home")).join(
-        pivots, "region")
-    seen = stage(measured(tried, bodies, "region", "comp", "home").withColumn("d", F.expr(_DISTANCE)))
-    nearest = seen.filter("home = 1").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("cell"))
-    placed = seen.join(nearest, ["region", "c"], "left").withColumn("here", F.coalesce(F.col("cell") == F.col("p"), F.lit(False)))
-    reach = placed.filter("here").groupBy("region", "p").agg(F.max("d").alias("most"), F.min("d").alias("least"))
-    near = placed.join(reach, ["region", "p"]).filter(
-        (F.col("d") <= F.col("most") + EPS + _NEAR) & (F.col("d") >= F.col("least") - EPS - _NEAR))
-    cells = near.select(F.xxhash64("region", "p", F.lit(level)).alias("region"), F.col("c").alias("cls"), "comp",
-                        F.col("here").alias("home"), "d")
-    # A region for which no pivot was drawn stays as it is.
-    return cells.unionByName(large.join(pivots, "region", "left_anti").select("region", "cls", "comp", "home", "d"))
-
-
 def link_classes(sets: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:
     """(node, component) of every class of ``sets`` (staged) that links with another class."""
-    spark = sets.sparkSession
     rows = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     hot, counts = frequent_shingles(sets)
-    parts = partitions_for(spark, rows * (100 - FIRST_PERCENT) // 100, PREFIX_ROWS_PER_TASK)
-    shared = stage(shared_prefixes(sets, parts, hot, counts).distinct())
-    for _ in range(ROUNDS):
-        shared = stage(_enough_shared(shared))
-    leads = shared.groupBy("s").agg(F.max(F.struct("score", "cls")).alias("most"), F.min("cls").alias("x"),
-                                    F.max("cls").alias("y")).filter("x <> y").select("s", F.col("most.cls").alias("p"))
-    regions = stage(shared.join(leads, "s").filter("p <> cls").select("p", F.col("cls").alias("c")).distinct())
-    classes = regions.select(F.col("c").alias("cls")).unionByName(regions.select(F.col("p").alias("cls"))).distinct()
-    bodies = stage(class_bodies(sets, classes))
-    seen = stage(measured(regions, bodies))
-    stars = seen.filter(_LINK).select(F.col("p").alias("a"), F.col("c").alias("b"))
-    comps = stage(connected_components(stars))
-    members = _region_members(seen, comps)
-    links = stage(join_regions(members, bodies, region, levels))
-    return connected_components(stars.unionByName(links))
-
-
-def _region_members(seen: DataFrame, comps: DataFrame) -> DataFrame:
-    """Home classes of every region and the pivot-linked classes inside some home class's window."""
-    of_p = comps.select(F.col("node").alias("p"), F.col("component").alias("p_comp"))
-    of_c = comps.select(F.col("node").alias("c"), F.col("component").alias("c_comp"))
-    each = seen.join(of_c, "c", "left").join(of_p, "p", "left").select(
-        F.col("p").alias("region"), F.col("c").alias("cls"), F.coalesce("c_comp", "c").alias("comp"),
-        (F.coalesce("c_comp", "c") != F.coalesce("p_comp", "p")).alias("home"), F.expr(_DISTANCE).alias("d"))
-    reach = each.groupBy("region").agg(
-        F.min(F.when(F.col("home"), F.col("d"))).alias("least"), F.max(F.when(F.col("home"), F.col("d"))).alias("most"),
-        F.count("*").alias("n")).filter("least IS NOT NULL AND n > 1")
-    return each.join(reach, "region").filter(
-        F.col("home") | ((F.col("d") >= F.col("least") - EPS - _NEAR) & (F.col("d") <= F.col("most") + EPS + _NEAR))
-    ).select("region", "cls", "comp", "home", "d")
+    parts = partitions_for(sets.sparkSession, rows * (100 - FIRST_PERCENT) // 100, ROWS_PER_TASK)
+    shared = stage(shared_keys(first_shingles(sets, parts, hot, counts), parts))
+    return link_shared(shared, lambda bits: _bodies(sets, bits), PERCENT, region, levels)
 
 
 def ngram_join(docs: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:

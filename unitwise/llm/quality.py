@@ -237,3 +237,25 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int =
     prepare(docs.sparkSession)
     rows = docs.select("doc_id", "text", (fold("doc_id", folds) == left_out).alias("held_out"))
     return score(rows, learn(rows.filter("NOT held_out"), labels))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` predicted to be of label 1, with all their columns.
+
+    Learns like ``classify`` from the rows outside the left-out fold; the verdict is added next to
+    every row where its text is read, so no join is needed.
+    """
+    spark = prepare(docs.sparkSession)
+    rows = docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
+    shared = spark.sparkContext.broadcast(learn(rows.filter("NOT held_out"), labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, own = Tokens(), shared.value
+        for batch in slices(batches, "text", 16 << 20):
+            if own is None:
+                yield batch
+                continue
+            found = own.scores(np.stack([pool(x.as_py(), own.vectors, tokens) for x in batch.column("text")]))
+            yield batch.filter(pa.array(found >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

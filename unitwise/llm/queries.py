@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitwise.llm import chat, exact_dedup, language, mixing, ngram_join, packing, quality, quality_rules, secret_scan
+from unitwise.llm import chat, exact_dedup, language, line_dedup, mixing, ngram_join, packing, quality, quality_rules, secret_scan
 
 QUERIES = {}
 ORACLE = {}
@@ -65,6 +65,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(_table(spark, sf_dir, "documents"), mixing.domains_of(_table(spark, sf_dir, "labels")))
 
 
+@query("op6_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 _SECRET_KINDS = (("assign", secret_scan.ASSIGN, 2, 6), ("access", secret_scan.ACCESS, 0, 20),
                  ("hex", secret_scan.HEX, 0, 24), ("live", secret_scan.TOKEN, 0, 20))
 
