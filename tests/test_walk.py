@@ -102,3 +102,45 @@ def test_dedupe_conventions(spark):
     a = {r.place: r.status for r in W.dedupe_units(df).collect()}
     b = {r.place: r.status for r in W.dedupe_units(df, "current-occupancy").collect()}
     assert a == {5: "applicant", 7: "down"} and b == {5: "vacant", 7: "down"}
+
+
+def test_mapped_columns_beyond_the_capture_limit(spark):
+    for shift in (0, 5):
+        wide = [None] * 90
+        grid = [["Unit"] + wide[1:85] + ["Rent", "PET", "Total", "Note"],
+                ["1A"] + wide[1:85] + [1200, 35, 1235, "far"], ["1B"] + wide[1:85] + [900, 0, 900, None]]
+        cells = G.cells(spark, G.cell_rows(1, "s", grid, shift))
+        plans = G.structures(spark, G.structure(
+            1, "s", columns={"unit_number": 0, "monthly_rent": 85}, charge_columns=[("PET", 86, "fee")], total=87))
+        w = W.walk(cells, plans)
+        u = by_unit(w.units)
+        assert (u["1A"].monthly_rent, u["1B"].monthly_rent) == (D("1200.00"), D("900.00"))
+        assert u["1A"].block_charge_total == D("1235") and u["1A"].charge_sum == D("35")
+        assert not u["1A"].source_columns
+        assert {(r.code, r.amount) for r in w.lines.collect()} == {("PET", D("35"))}
+
+
+def test_a_bad_sheet_costs_only_itself(spark):
+    grid = [["Unit", "Rent", "Extra"], ["1A", 1200, "x"], ["1B", 900, "y"]]
+    good = list(G.cell_rows(1, "s", grid))
+    bad = list(G.cell_rows(2, "s", grid))
+    cells = G.cells(spark, good, bad, bad, [(2, "s", 1, 2, "s", "z", None, None)])
+    plan = lambda doc, **k: G.structure(doc, "s", columns={"unit_number": 0}, **k)
+    plans = G.structures(
+        spark, plan(1, charge_columns=[("R", 1, "rent")], extra=[("E", 2)]),
+        plan(2, charge_columns=[("R", 1, "rent"), ("S", 1, "rent")], extra=[("E", 2), ("F", 2)]))
+    found = {(r.doc_id, r.unit_number): r for r in W.walk(cells, plans).units.collect()}
+    assert set(found) == {(d, u) for d in (1, 2) for u in ("1A", "1B")}
+    assert found[1, "1A"].monthly_rent == D("1200.00")
+    # The last header named for a column counts, and of two contents of a cell the greater.
+    assert [tuple(c) for c in found[2, "1A"].source_columns] == [("F", "z")]
+
+
+def test_charge_columns_are_read_from_the_anchor_row_only(spark):
+    grid = [["Unit", "Charge", "Amount"], ["1A", None, None], [None, "rent", 900], ["1B", "rent", 800]]
+    plans = G.structures(spark, G.structure(
+        1, "s", "block", columns={"unit_number": 0, "market_rent": 2, "unit_type": 1},
+        block=(1, 2, ["rent"], [], [], [], [])))
+    u = by_unit(W.walk(G.cells(spark, G.cell_rows(1, "s", grid)), plans).units)
+    assert (u["1A"].market_rent, u["1A"].unit_type, u["1A"].monthly_rent) == (None, None, D("900.00"))
+    assert (u["1B"].market_rent, u["1B"].unit_type) == (D("800.00"), "rent")

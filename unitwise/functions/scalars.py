@@ -33,6 +33,15 @@ def let_sql(value: Column, body: str) -> Column:
     return F.get(bound, F.lit(0))
 
 
+def last_map(entries: Column) -> Column:
+    """Map of an array of (key, value) structs in which a repeated key keeps its last value."""
+    keys = F.transform(entries, lambda e: e.getField("k"))
+    later = lambda e, i: F.exists(
+        F.slice(entries, i + 2, F.size(entries)), lambda o: o.getField("k") == e.getField("k"))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(entries), F.map_from_entries(entries)).otherwise(
+        F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i))))
+
+
 def sql_text(value: str) -> str:
     """A raw SQL string literal; rules hold no single quotes of both kinds."""
     return f"r'{value}'"

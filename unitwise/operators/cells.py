@@ -22,7 +22,8 @@ def sheet_grid(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
     if max_rows is not None:
         shown = shown.filter(F.col("row") < F.col("first_row") + max_rows)
     rows = shown.groupBy(*SHEET, "row", "first_col").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "shown"))).alias("m"))
+        S.last_map(F.array_sort(F.collect_list(F.struct(
+            F.col("col").alias("k"), F.col("shown").alias("v"))))).alias("m"))
     last = F.array_max(F.map_keys("m"))
     line = F.array_join(F.transform(
         F.sequence(F.col("first_col"), last),

@@ -14,7 +14,6 @@ from unitwise.functions.charge_codes import (
     charge_category, is_ancillary, is_rent_class, is_total_line)
 from unitwise.functions.scalars import MONEY, cents, clean_text
 from unitwise.operators.stats import TOTAL
-from unitwise.session import stage
 
 
 def drop_total_lines(charges: DataFrame) -> DataFrame:
@@ -25,30 +24,13 @@ def drop_total_lines(charges: DataFrame) -> DataFrame:
     ).withColumn("code", code)
 
 
-# Codes a task holds in memory at most when their categories are broadcast.
-MAX_BROADCAST_CODES = 100_000
-
-
-def _keyword(charges: DataFrame) -> DataFrame:
-    """Lines with ``_keyword``, the category the rules give their code.
+def categorize(charges: DataFrame) -> DataFrame:
+    """Fill missing categories from the keyword rules; set ones stand.
 
-    A portfolio prints the same few codes over and over, so the rules run on
-    the distinct codes, which are counted first: up to the limit they are
-    broadcast, beyond it the rules run on every line and nothing is moved.
+    The rules run where a line is read: nothing is counted, broadcast or moved.
     """
-    known = stage(charges.select("code").distinct().limit(MAX_BROADCAST_CODES + 1))
-    if known.count() > MAX_BROADCAST_CODES:
-        return charges.withColumn("_keyword", charge_category("code"))
-    return charges.join(
-        F.broadcast(known.select(F.col("code").alias("_c"), charge_category("code").alias("_keyword"))),
-        F.col("code").eqNullSafe(F.col("_c")), "left").drop("_c")
-
-
-def categorize(charges: DataFrame) -> DataFrame:
-    """Fill missing categories from the keyword rules; set ones stand."""
-    keyed = _keyword(charges)
     own = F.col("category") if "category" in charges.columns else F.lit(None).cast("string")
-    return keyed.withColumn("category", F.coalesce(own, "_keyword")).drop("_keyword")
+    return charges.withColumn("category", F.coalesce(own, charge_category("code")))
 
 
 def total_charges(charges: DataFrame) -> DataFrame:
@@ -145,7 +127,7 @@ def apply_code_proposals(charges: DataFrame, proposals: DataFrame) -> DataFrame:
     pair = V.REDUCTION_PAIR
     own = F.col("category") if "category" in charges.columns else F.lit(None).cast("string")
     lines = (
-        _keyword(charges).withColumn("category", F.coalesce(own, "_keyword"))
+        charges.withColumn("_keyword", charge_category("code")).withColumn("category", F.coalesce(own, "_keyword"))
         .join(valid, ["doc_id", "code"], "left")
         .join(answered.withColumn("_answered", F.lit(True)), "doc_id", "left"))
     verdict = F.when(F.col("_proposed").isNotNull(), gate_code_proposal("_keyword", "_proposed"))

@@ -37,16 +37,35 @@ def used_range(cells: DataFrame) -> DataFrame:
         F.min("col").alias("first_col"), F.max("col").alias("last_col"))
 
 
-def sheet_rows(cells: DataFrame, max_col: int = V.MAX_COLUMNS) -> DataFrame:
-    """One row per sheet row: map of column to (s text, n number, serial)."""
-    read = cells.filter(F.col("col") <= max_col).select(
+def sheet_rows(cells: DataFrame, mapped: DataFrame | None = None,
+               max_col: int = V.MAX_COLUMNS) -> DataFrame:
+    """One row per sheet row: map of column to (s text, n number, serial).
+
+    Columns right of ``max_col`` are read where a structure names them (``mapped``:
+    doc_id, sheet, col). Of a cell listed several times the greatest content counts.
+    """
+    near = cells.filter(F.col("col") <= max_col)
+    if mapped is not None:
+        near = near.unionByName(
+            cells.filter(F.col("col") > max_col).join(mapped, [*SHEET, "col"], "left_semi"))
+    read = near.select(
         *SHEET, "row", "col", F.struct(
             S.clean_text("text").alias("s"),
             F.when(F.col("ctype") == "n", F.col("num")).otherwise(S.parse_number("text"))
             .alias("n"),
             F.when(F.col("ctype") == "n", F.col("num")).alias("serial")).alias("cell"))
     return read.groupBy(*SHEET, "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"))
+        S.last_map(F.array_sort(F.collect_list(F.struct(
+            F.col("col").alias("k"), F.col("cell").alias("v"))))).alias("m"))
+
+
+def far_columns(plan: DataFrame, max_col: int = V.MAX_COLUMNS) -> DataFrame:
+    """(doc_id, sheet, col) of columns right of ``max_col`` that a structure maps."""
+    none = F.array().cast("array<int>")
+    named = F.array(*[f"c_{c}" for c in V.UNIT_COLUMNS], "c_desc", "c_amt", "c_total")
+    charges = F.coalesce(F.transform("mapped_columns", lambda c: c["index"]), none)
+    return plan.select(*SHEET, F.explode(F.array_distinct(F.concat(named, charges))).alias("col")).filter(
+        F.col("col") > max_col)
 
 
 def row_text(m: Column, max_col: int = V.MAX_TEXT_COLUMN) -> Column:
@@ -112,7 +131,7 @@ def sheet_plan(structures: DataFrame, ranges: DataFrame) -> DataFrame:
                  lambda p: p != "").alias("skips"),
         F.filter(F.transform(F.coalesce("stop_markers", none), lambda p: F.lower(p)),
                  lambda p: p != "").alias("stops"),
-        F.map_from_entries(F.transform(
+        S.last_map(F.transform(
             F.filter("extra_columns", lambda c: (c["index"] >= 0) & (c["header"] != "")),
             lambda c: F.struct((c["index"] + F.col("first_col")).alias("k"),
                                F.trim(c["header"]).alias("v")))).alias("mapper_headers"),
@@ -177,7 +196,7 @@ def full_plan(plan: DataFrame, flagged: DataFrame) -> DataFrame:
     """Plan plus header texts, charge column roles, captured columns and the cut."""
     stats = column_stats(flagged).groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct(
         "col", F.struct("filled", "numeric", "total")))).alias("stats"))
-    filled = F.size(F.map_filter("m", lambda k, v: v["s"].isNotNull()))
+    filled = F.size(F.map_filter("m", lambda k, v: (k <= V.MAX_COLUMNS) & v["s"].isNotNull()))
     above = F.col("row") < F.col("start")
     sheet = flagged.groupBy(*SHEET).agg(
         F.min(F.when(F.col("is_stop") & ~above & (F.col("txt") != ""), F.col("row"))).alias("cut"),
@@ -196,12 +215,13 @@ def full_plan(plan: DataFrame, flagged: DataFrame) -> DataFrame:
                 column_role(c["kind"], F.col("stats")[c["index"]]["total"], c["header"])
                 .alias("role"))))
         .withColumn("audits", (F.size("charge_columns") > 0) & F.col("c_total").isNotNull()))
-    own_header = F.map_from_entries(F.transform(
+    own_header = S.last_map(F.transform(
         F.coalesce("mapped_columns", none),
         lambda c: F.struct(c["index"].alias("k"), c["header"].alias("v"))))
     taken = F.array_compact(F.array("c_unit_number", "c_desc", "c_amt"))
     captured = F.array_sort(F.map_keys(F.coalesce(
         "stats", F.create_map().cast("map<int,struct<filled:bigint,numeric:bigint,total:decimal(38,4)>>"))))
+    captured = F.filter(captured, lambda c: c <= V.MAX_COLUMNS)
     captured = F.array_except(F.array_except(captured, taken),
                               F.transform("charge_columns", lambda c: c["index"]))
     return out.withColumn("own_header", own_header).withColumn("captured", F.transform(
@@ -278,14 +298,19 @@ def _block_units(blocks: DataFrame) -> DataFrame:
         F.count_if(line & ~total).alias("n_lines"))
 
 
-def _first_cells(near: Column) -> Column:
-    """First cell present per column over the unbroken rows from the anchor."""
+def _first_cells(near: Column, anchored: Column) -> Column:
+    """First cell present per column over the unbroken rows from the anchor.
+
+    The ``anchored`` columns (unit id, charge code and amount) are read in the anchor row only:
+    below it they hold the next line.
+    """
     length = F.coalesce(F.array_min(F.filter(
         F.sequence(F.lit(1), F.lit(V.SCALAR_SCAN_ROWS + 1)),
         lambda k: ~F.map_contains_key(near, k))), F.lit(V.SCALAR_SCAN_ROWS + 1))
     below = F.filter(F.sequence(F.lit(1), F.lit(V.SCALAR_SCAN_ROWS)), lambda k: k < length)
     return F.aggregate(below, near[F.lit(0)], lambda acc, k: F.map_concat(
-        acc, F.map_filter(near[k], lambda c, _: ~F.map_contains_key(acc, c))))
+        acc, F.map_filter(near[k], lambda c, _: ~F.map_contains_key(acc, c)
+                          & ~F.array_contains(anchored, c))))
 
 
 def _row_money(df: DataFrame) -> DataFrame:
@@ -361,7 +386,7 @@ UNIT_FIELDS = (
     "lease_start_date", "lease_end_date", "block_charge_total", "charge_sum", "n_lines",
     "source_columns")
 
-_PLAN_FOR_UNITS = [f"c_{c}" for c in V.UNIT_COLUMNS] + ["captured"]
+_PLAN_FOR_UNITS = [f"c_{c}" for c in V.UNIT_COLUMNS] + ["c_desc", "c_amt", "captured"]
 
 
 def _units(rows: DataFrame, blocks: DataFrame, plan: DataFrame) -> DataFrame:
@@ -372,7 +397,7 @@ def _units(rows: DataFrame, blocks: DataFrame, plan: DataFrame) -> DataFrame:
         .join(plan.select(*SHEET, *_PLAN_FOR_UNITS), SHEET)
         .withColumns({
             "source_row": F.col("block_row"), "m": F.col("near")[F.lit(0)],
-            "f": _first_cells(F.col("near")),
+            "f": _first_cells(F.col("near"), F.array_compact(F.array("c_unit_number", "c_desc", "c_amt"))),
             "monthly_rent": S.cents(F.col("b_rent")), "subsidy_rent": S.cents(F.col("b_subsidy")),
             "employee_discount": S.cents(F.col("b_discount")),
             "concession": S.cents(F.col("b_concession")),
@@ -408,22 +433,15 @@ def _lines(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return row.unionByName(block)
 
 
-def _range_of(rows: DataFrame) -> DataFrame:
-    """:func:`used_range` from gathered rows."""
-    filled = F.map_keys(F.map_filter("m", lambda k, v: v["s"].isNotNull()))
-    return rows.withColumn("_c", filled).filter(F.size("_c") > 0).groupBy(*SHEET).agg(
-        F.min("row").alias("first_row"), F.max("row").alias("last_row"),
-        F.min(F.array_min("_c")).alias("first_col"), F.max(F.array_max("_c")).alias("last_col"))
-
-
 def walk(cells: DataFrame, structures: DataFrame) -> Walk:
     """Walk every planned sheet.
 
-    The gathered rows (read several times) and the plan (one row per sheet)
-    are staged, so cells are read once and every branch has a short lineage.
+    The ranges come from a narrow aggregation over all cells. The gathered rows (read
+    several times) and the plan (one row per sheet) are staged, so every branch has a
+    short lineage and prunes what it reads.
     """
-    rows = stage(sheet_rows(cells))
-    plan0 = sheet_plan(structures, _range_of(rows))
+    plan0 = stage(sheet_plan(structures, used_range(cells)))
+    rows = stage(sheet_rows(cells, far_columns(plan0)))
     plan = stage(full_plan(plan0, row_flags(rows.join(plan0, SHEET))))
     flagged = row_flags(rows.join(plan, SHEET))
     alone, blocks = assign_blocks(flagged)

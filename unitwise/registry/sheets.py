@@ -183,6 +183,31 @@ _cols_lease = ["doc_id", "sheet", "source_row", "unit_number", "status", "monthl
                "block_charge_total", "charge_sum", "n_lines"]
 register("walk_block_layout", lambda sp, d: walk_of(sp, d, "lease").units.select(*_cols_lease),
          duck("SELECT " + ", ".join(_cols_lease) + f" FROM ({_LEASE_UNITS})", "lease"))
+def _moved(sp, d) -> W.Walk:
+    """The roll with everything from the sixth column on printed a hundred columns further right."""
+    far, first = G.ROLL_FIRST_COL + 5, lambda i: F.when(i >= 5, i + 100).otherwise(i)
+    cells = roll(sp, d).withColumn("col", F.when(F.col("col") >= far, F.col("col") + 100).otherwise(F.col("col")))
+    plans = G.structures(sp, d, "roll")
+    columns = F.struct(*[first(F.col(f"columns.{c}")).alias(c) for c in V.UNIT_COLUMNS])
+    return W.walk(cells, plans.withColumns({
+        "columns": columns, "charge_total_column": first(F.col("charge_total_column")),
+        "charge_columns": F.transform("charge_columns", lambda c: c.withField("index", first(c["index"])))}))
+
+
+def _irregular(sp, d) -> W.Walk:
+    """Cells listed twice, a header index named twice, and a scalar mapped on the amount column."""
+    cells, plans = both(sp, d), G.structures(sp, d, "roll", "lease")
+    return W.walk(cells.unionByName(cells.filter("col % 2 = 0")), plans.withColumns({
+        "extra_columns": F.concat("extra_columns", "extra_columns"),
+        "columns": F.when(F.col("sheet") == "lease", F.col("columns").withField("market_rent", F.lit(5)))
+        .otherwise(F.col("columns"))}))
+
+
+register("walk_wide_sheet", lambda sp, d: _moved(sp, d).units.select(*_cols_roll), duck(_ROLL_UNITS, "roll"))
+register("walk_irregular", lambda sp, d: _irregular(sp, d).units.select(*_cols_lease), duck(
+    "SELECT " + ", ".join(_cols_lease) + f" FROM ({_ROLL_UNITS}) UNION ALL SELECT "
+    + ", ".join(f"CAST(NULL AS {M}) AS market_rent" if c == "market_rent" else c for c in _cols_lease)
+    + f" FROM ({_LEASE_UNITS})", "roll", "lease"))
 _ROLL_LINES = " UNION ALL ".join(
     f"SELECT doc_id, 'roll' AS sheet, unit_row_id + 3 AS source_row, CAST({i} AS BIGINT) AS line_no,"
     f" '{code}' AS code, CAST({v} AS DECIMAL(18,4)) AS amount, {cat} AS category FROM rr_units WHERE"
