@@ -153,7 +153,11 @@ def is_date_format(num_fmt) -> Column:
 
 
 def _date_rule() -> str:
-    """Date of a trimmed text ``v``: month/day/year, else an ISO-like text."""
+    """Date of a trimmed text ``v``: month/day/year, an ISO-like text, or a date in words.
+
+    Dates in words are read without commas, weekdays and the dashes between their parts;
+    without a day they mean the first of the month.
+    """
     part = lambda i: f"try_cast(regexp_extract(v, {sql_text(V.MONTH_DAY_YEAR)}, {i}) AS INT)"
     digits = f"regexp_extract(v, {sql_text(V.MONTH_DAY_YEAR)}, 3)"
     year = (f"CASE WHEN length({digits}) = 2 THEN {part(3)} + IF({part(3)} > 50, 1900, 2000)"
@@ -163,16 +167,18 @@ def _date_rule() -> str:
     mdy = f"date_add({first}, least({part(2)}, day(last_day({first}))) - 1)"
     free = ", ".join(f"try_to_date(v, '{p}')" for p in (
         "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy"))
+    plain = (r"regexp_replace(regexp_replace(v, r'(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[., ]+', ''),"
+             r" r'[-., ]+', ' ')")
+    in_words = ", ".join(f"try_to_date({plain}, '{p}')" for p in (
+        "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d MMM yy", "MMM yyyy", "MMMM yyyy"))
+    clock = ", ".join(f"CAST(try_to_timestamp(v, '{p}') AS DATE)" for p in ("M/d/yyyy H:mm", "M/d/yyyy h:mm a"))
     return (f"CASE WHEN v RLIKE {sql_text(V.MONTH_DAY_YEAR)} THEN IF({part(3)} > 0 OR"
             f" length({digits}) = 2, {mdy}, NULL)"
-            f" ELSE coalesce({free}, CAST(try_to_timestamp(v) AS DATE)) END")
+            f" ELSE coalesce({free}, CAST(try_to_timestamp(v) AS DATE), {in_words}, {clock}) END")
 
 
 def parse_date(text, serial=None) -> Column:
-    """Date of a cell: serial number, month/day/year, or an ISO-like text.
-
-    Free-form dates beyond the listed patterns are NULL.
-    """
+    """Date of a cell: serial number, month/day/year, an ISO-like text, or a date in words."""
     from_text = let_sql(clean_text(text), _date_rule())
     if serial is None:
         return from_text

@@ -20,24 +20,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_records(current: DataFrame, changes: DataFrame, key: str = "job_id",
-                   set_fields: str | None = None) -> DataFrame:
+                   set_fields: str | None = None, order: str | None = None) -> DataFrame:
     """Shallow merge: fields a change sets replace the stored ones.
 
     A change sets its non-NULL fields, or exactly those named in its array
-    column ``set_fields``, which can also set NULL. Changes to unknown jobs are
-    dropped; several changes must be reduced to one per job beforehand.
+    column ``set_fields``, which can also set NULL. Of several changes of a job to one
+    field the one of greatest ``order`` counts (of greatest value without an order).
+    Changes to unknown jobs are dropped.
     """
     fields = [c for c in current.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields if c in changes.columns],
-                         *([set_fields] if set_fields else []))
+    given = [c for c in fields if c in changes.columns]
+    sets = lambda c: F.array_contains(set_fields, c) if set_fields else F.col(c).isNotNull()
+    rank = lambda c: F.struct(*([order] if order else []), F.col(c).alias("_value"))
+    new = changes.groupBy(key).agg(
+        *[F.max_by(F.struct(F.col(c).alias("v")), F.when(sets(c), rank(c))).alias(f"_new_{c}") for c in given])
     out = current.join(new, key, "left")
 
     def merged(c: str) -> Column:
-        if f"_new_{c}" not in out.columns:
+        if c not in given:
             return F.col(c)
-        if set_fields:
-            return F.when(F.array_contains(set_fields, c), F.col(f"_new_{c}")).otherwise(F.col(c))
-        return F.coalesce(f"_new_{c}", c)
+        return F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")["v"]).otherwise(F.col(c))
 
     return out.select(key, *[merged(c).alias(c) for c in fields])
 

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitwise.functions import fixed_values as V
 from unitwise.functions import scalars as S
 from unitwise.functions.scan import numbered
-from unitwise.session import stage
+from unitwise.session import ship_package, stage
 
 
 def occurrence_number(df: DataFrame, keys: list[str], pos: str, out: str = "k") -> DataFrame:
@@ -100,6 +99,7 @@ def align_affix(truth: DataFrame, found: DataFrame, exact: DataFrame) -> DataFra
         single.unionByName(several).withColumn("truth", F.lit(True))
         .unionByName(live_e.join(e_ids.select("doc_id", "id", "pos"), ["doc_id", "id"])
                      .withColumn("truth", F.lit(False))))
+    ship_package(placed.sparkSession)
     return placed.join(family, ["doc_id", "id"]).groupBy("doc_id", "family").applyInPandas(
         _greedy, "doc_id long, gt_pos long, ex_pos long")
 
@@ -303,6 +303,3 @@ def count_scorecard(results: DataFrame, expected: DataFrame) -> DataFrame:
                                    F.col("expected_count") == F.col("n_units")),
         "matches_stated": F.when(F.col("stated_units").isNotNull(),
                                  F.col("stated_units") == F.col("n_units"))})
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_greedy"]))

@@ -355,3 +355,13 @@ register("apply_category_proposals", lambda sp, d: C.apply_category_proposals(
     f" (SELECT *, {Q.CAT_PROPOSED} AS proposed, {Q.CAT_EVIDENCE} AS evidence FROM cand) WHERE"
     f" {Q.CAT_VERDICT} = 'accept') p ON p.doc_id = r.doc_id AND p.shape_key = r.shape_key",
     "rr_units", extra=_shapes))
+
+# --- dates in words -------------------------------------------------------------
+_WORDED = ("MMMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "d-MMM-yyyy", "EEE MMM dd yyyy", "EEEE, d MMM yyyy",
+           "MMM yyyy", "MMMM, yyyy", "M/d/yyyy H:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+register("parse_date_free", lambda sp, d: T.table(sp, d, "orders").select(
+    "o_orderkey", S.parse_date(F.expr("CASE o_orderkey % 10 " + " ".join(
+        "WHEN {} THEN date_format(o_orderdate, '{}')".format(i, p.replace("'", "\\'")) for i, p in enumerate(_WORDED))
+        + " END")).cast("string").alias("day")),
+    "SELECT o_orderkey, CAST(CAST(CASE WHEN o_orderkey % 10 IN (6, 7) THEN date_trunc('month', o_orderdate)"
+    " ELSE o_orderdate END AS DATE) AS VARCHAR) AS day FROM orders")

@@ -9,14 +9,15 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitwise import schema
+from unitwise.session import ship_package
 
 # Built-in number formats that show a day.
 _BUILTIN_DATES = {14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 22: "m/d/yy h:mm"}
+_UNREADABLE = "unreadable"
 _FILE_CELLS = "path string, sheet string, row long, col int, ctype string, text string, num double, num_fmt string"
 
 
@@ -97,26 +98,39 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             rows = []
-            for cell in _cells_of(path, bytes(content)):
-                rows.append(cell)
-                if len(rows) == 50_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
-                    rows = []
+            try:
+                for cell in _cells_of(path, bytes(content)):
+                    rows.append(cell)
+                    if len(rows) == 50_000:
+                        yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
+                        rows = []
+            except Exception as e:  # any damage of a file is reported as a row, the others are read
+                rows.append((path, None, None, None, _UNREADABLE, f"{type(e).__name__}: {e}", None, None))
             if rows:
                 yield pd.DataFrame(rows, columns=names).astype({"num": "float64"})
 
 
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    ship_package(spark)
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xXmM]")
+        .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+    return files.mapInPandas(_read, _FILE_CELLS)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """All cells of all workbooks under a path; a file is the unit of work.
 
     Files are read by Spark as binary rows, one decoded at a time and emitted in
-    pieces, so memory follows the largest single file.
+    pieces, so memory follows the largest single file. A damaged file gives the cells
+    before the damage and is listed by :func:`unreadable_files`.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]")
-        .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    decoded = files.mapInPandas(_read, _FILE_CELLS)
-    return decoded.withColumn("doc_id", F.xxhash64("path"))
+    return _decoded(spark, path).filter(F.col("ctype") != _UNREADABLE).withColumn("doc_id", F.xxhash64("path"))
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, message) of the workbooks that cannot be read to their end."""
+    return _decoded(spark, path).filter(F.col("ctype") == _UNREADABLE).select("path", F.col("text").alias("message"))
 
 
 def read_flat_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -125,6 +139,3 @@ def read_flat_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     if fmt != "parquet":
         reader = reader.schema(schema.CELLS)
     return (reader.option("header", "true") if fmt == "csv" else reader).load(path)
-
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["_read"]))

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from unitwise.functions import fixed_values as V
 from unitwise.functions.scan import running
+from unitwise.session import ship_package
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -52,17 +52,22 @@ def stale_jobs(events: DataFrame, as_of, finished: tuple[str, ...] = ()) -> Data
     return stale.filter(~F.col("stage").isin(*finished)) if finished else stale
 
 
-def stale_sessions(events: DataFrame, watermark: str = "1 minute") -> DataFrame:
-    """Streaming form: a session closes when a job is silent for ten minutes.
+def stale_sessions(events: DataFrame, watermark: str = "1 minute",
+                   finished: tuple[str, ...] = ("complete", "failed")) -> DataFrame:
+    """Streaming form: an unfinished job is stale when it is silent for ten minutes.
 
-    Rows later than the watermark are dropped by the engine.
+    A session closes at the gap; it is stale unless its last stage is a finished one. A job
+    that goes on after a gap and stalls again is reported again with its later session. Rows
+    later than the watermark are dropped, and closed sessions leave the state.
     """
     return (
         events.withWatermark("event_at", watermark)
         .groupBy("job_id", F.session_window("event_at", f"{V.STALE_MINUTES} minutes"))
-        .agg(F.count(F.lit(1)).alias("n_updates"))
+        .agg(F.count(F.lit(1)).alias("n_updates"),
+             F.max_by("stage", F.struct("event_at", "event_id")).alias("stage"))
+        .filter(~F.coalesce(F.col("stage").isin(*finished), F.lit(False)))
         .select("job_id", F.col("session_window.start").alias("first_at"),
-                F.col("session_window.end").alias("stale_at"), "n_updates"))
+                F.col("session_window.end").alias("stale_at"), "n_updates", "stage"))
 
 
 def _written(times: list[int], forced: list[bool], last: int | None) -> tuple[list[bool], int]:
@@ -118,12 +123,19 @@ def throttle(events: DataFrame) -> DataFrame:
     e = e.withColumn("forced", forced)
     e = running(e, ["job_id"], "ms", {"seg": F.when(F.col("forced"), F.col("ms"))}, "max",
                 levels=3, order=[F.col("ms"), F.col("event_id")])
+    ship_package(e.sparkSession)
     chain = e.select("job_id", "seg", "ms", "event_id", "forced").repartition(
         "job_id", "seg").sortWithinPartitions("job_id", "seg", "ms", "event_id")
     return chain.mapInPandas(_throttle_batches, "job_id long, event_id long")
 
 
+_FORGET_MS = 24 * 3600 * 1000
+
+
 def _keyed_writes(key, batches, state: GroupState):
+    if state.hasTimedOut:
+        state.remove()
+        return
     last_write, stage, n_events = state.get if state.exists else (None, None, 0)
     rows = pd.concat(list(batches)).sort_values(["event_at", "event_id"])
     out = []
@@ -138,20 +150,28 @@ def _keyed_writes(key, batches, state: GroupState):
             stage = r.stage
             out.append((key[0], int(r.event_id), r.stage, n_events))
     state.update((last_write, stage, n_events))
+    state.setTimeoutDuration(_FORGET_MS)
     yield pd.DataFrame(out, columns=["job_id", "event_id", "stage", "n_events"])
 
 
 def throttled_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of :func:`throttle` with the capped event count."""
+    """Streaming form of :func:`throttle` with the capped event count.
+
+    The state of a job goes after a day without updates.
+    """
+    ship_package(events.sparkSession)
     return events.groupBy("job_id").applyInPandasWithState(
         _keyed_writes, "job_id long, event_id long, stage string, n_events long",
-        "last_write long, stage string, n_events long", "append", GroupStateTimeout.NoTimeout)
+        "last_write long, stage string, n_events long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def incremental_ingest(files: DataFrame, content: str = "content") -> DataFrame:
-    """Stream of files: only content not seen before passes."""
-    return files.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256)).dropDuplicates(
-        ["sha256"])
+def incremental_ingest(files: DataFrame, content: str = "content", arrived: str = "modificationTime",
+                       remember: str = "30 days") -> DataFrame:
+    """Stream of files: only content not seen before passes.
 
-
-cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["throttle"]))
+    Digests are remembered for ``remember`` behind the latest arrival, which bounds the state;
+    older content is kept apart by the stored corpus (:func:`unitwise.sources.corpus.new_content`).
+    """
+    return (
+        files.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
+        .withWatermark(arrived, remember).dropDuplicatesWithinWatermark(["sha256"]))
