@@ -96,11 +96,13 @@ register("charge_columns", lambda sp, d: codes.charge_columns(c(sp, d)), with_vi
 register("charge_pivot", lambda sp, d: codes.charge_pivot(c(sp, d)), with_views(
     "SELECT doc_id, unit_row_id, lower(trim(code)) AS code_key, CAST(sum(amount) AS"
     " DECIMAL(18,2)) AS amount FROM rr_charges GROUP BY 1, 2, 3", "rr_charges"))
-_wide = ["rent-rent", "scrie", "petrent"]
+_wide = {k: k.split("-")[0] + "_amount" for k in (
+    "rent-rent", "hap-housing assistance payment", "petrent", "conc-concession", "scrie", "vtrash",
+    "mliw-mandatory liability insurance waiver", "ltol-loss to lease", "como")}
 register("charge_pivot_wide", lambda sp, d: codes.charge_pivot_wide(
-    c(sp, d), _wide).withColumnsRenamed({"rent-rent": "rent_rent"}), with_views(
+    c(sp, d), list(_wide)).withColumnsRenamed(_wide), with_views(
     "SELECT doc_id, unit_row_id, " + ", ".join(
-        f"CAST(sum(amount) FILTER (lower(code) = '{k}') AS DECIMAL(18,2)) AS {k.replace('-', '_')}"
+        f"CAST(sum(amount) FILTER (lower(code) = '{k}') AS DECIMAL(18,2)) AS {_wide[k]}"
         for k in _wide) + " FROM rr_charges GROUP BY 1, 2", "rr_charges"))
 
 

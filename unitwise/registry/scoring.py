@@ -30,10 +30,14 @@ FOUND = {
     "unit_type": f"CASE WHEN {_K} % 17 = 0 THEN concat(CAST({_K} % 4 AS STRING), 'BR/1BA') ELSE"
                  " unit_type END",
     "lease_start_date": f"CASE WHEN {_K} % 59 <> 0 THEN lease_start_date END",
+    "lease_end_date": f"CASE WHEN {_K} % 61 <> 0 THEN lease_end_date END",
+    "move_in_date": f"CASE WHEN {_K} % 67 = 0 THEN CAST(move_in_date + INTERVAL '1' DAY AS DATE) ELSE move_in_date END",
+    "move_out_date": f"CASE WHEN {_K} % 71 <> 0 THEN move_out_date ELSE lease_start_date END",
     "category": "category",
 }
 _TRUTH = [f for f in FOUND]
-FIELDS = ("status", "monthlyRent", "tenantName", "unitSqft", "unitType", "leaseStartDate", "category")
+FIELDS = ("status", "monthlyRent", "tenantName", "unitSqft", "unitType", "leaseStartDate", "leaseEndDate",
+          "moveInDate", "moveOutDate", "category")
 
 
 def truth(sp, d):
@@ -87,6 +91,9 @@ _RULE = {
                 f" contains({_al('e.unit_type')}, {_al('g.unit_type')}) OR"
                 f" {_bb('g.unit_type')} = {_bb('e.unit_type')} END",
     "leaseStartDate": "g.lease_start_date IS NOT DISTINCT FROM e.lease_start_date",
+    "leaseEndDate": "g.lease_end_date IS NOT DISTINCT FROM e.lease_end_date",
+    "moveInDate": "g.move_in_date IS NOT DISTINCT FROM e.move_in_date",
+    "moveOutDate": "g.move_out_date IS NOT DISTINCT FROM e.move_out_date",
     "category": "g.category = e.category",
 }
 _scored["joined"] = (

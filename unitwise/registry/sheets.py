@@ -506,20 +506,20 @@ def _attempt_units(sp, d):
 register("attempts_agree", lambda sp, d: C.attempts_agree(_attempt_units(sp, d)), with_views(
     "SELECT doc_id, NOT (doc_id % 4 = 0 AND count(*) FILTER (unit_row_id % 50 = 7) > 0) AS agree"
     " FROM rr_units GROUP BY doc_id", "rr_units"))
-_ATTEMPT = ("SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 + 1 AS INT) AS attempt_no, max(o_orderkey"
-            " % 4 = 0) AS ok, CAST(max(o_orderkey % 5) AS BIGINT) AS n_issues, CAST(max(o_orderkey %"
-            " 7) AS BIGINT) AS n_units, (o_custkey % 2 = 0) AS has_anchors FROM orders GROUP BY 1, 2, 6")
+_ATTEMPT = ("SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS INT) AS attempt_no FROM (SELECT"
+            " o_custkey AS doc_id, o_orderkey % 3 AS m, max(o_orderkey % 4 = 0) AS ok, CAST(max(o_orderkey % 5)"
+            " AS BIGINT) AS n_issues, CAST(max(o_orderkey % 7) AS BIGINT) AS n_units, (o_custkey % 2 = 0) AS"
+            " has_anchors FROM orders GROUP BY 1, 2, 6)")
 
 
 def _attempts(sp, d):
     k = F.col("o_orderkey")
-    a = T.table(sp, d, "orders").groupBy(
-        F.col("o_custkey").alias("doc_id"), (k % 3 + 1).cast("int").alias("attempt_no")).agg(
+    a = T.table(sp, d, "orders").groupBy(F.col("o_custkey").alias("doc_id"), (k % 3).alias("m")).agg(
         F.max(k % 4 == 0).alias("ok"), F.max(k % 5).cast("long").alias("n_issues"),
         F.max(k % 7).cast("long").alias("n_units"))
-    a = a.withColumn("has_anchors", F.col("doc_id") % 2 == 0)
-    first = a.filter("attempt_no = 1").select("doc_id")
-    return a.join(first, "doc_id", "left_semi")
+    # At most three attempts of a document, numbered in their order.
+    return a.withColumn("has_anchors", F.col("doc_id") % 2 == 0).withColumn(
+        "attempt_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("m"))).drop("m")
 
 
 def _better(a: str, b: str) -> str:
@@ -540,13 +540,28 @@ register("best_attempt", lambda sp, d: C.best_attempt(_attempts(sp, d), _attempt
     f" {_better('1', '3')} WHEN two = 2 AND NOT ok2 AND anch THEN {_better('2', '3')} ELSE two END WHEN"
     " NOT anch AND ok2 IS NOT NULL AND i2 <= i1 AND doc_id % 3 <> 0 THEN 2 ELSE 1 END AS INT) AS"
     f" attempt_no FROM (SELECT *, {_better('1', '2')} AS two FROM ({_WIDE_ATT}) WHERE ok1 IS NOT NULL)"))
-register("dedupe_chunks", lambda sp, d: C.dedupe_chunks(T.units(sp, d).select(
-    "doc_id", "building", "unit_number", "unit_row_id", (F.col("unit_row_id") % 8).alias("chunk"),
-    F.lit(None).cast("string").alias("tenant_name"), F.floor(F.col("monthly_rent") / 1000).alias(
-        "monthly_rent")), "unit_row_id").select("doc_id", "unit_row_id"), with_views(
-    "SELECT doc_id, unit_row_id FROM (SELECT doc_id, unit_row_id, row_number() OVER (PARTITION BY"
-    " doc_id, coalesce(building, ''), unit_number, floor(monthly_rent / 1000) ORDER BY unit_row_id %"
-    " 8, unit_row_id) AS rn FROM rr_units) WHERE rn = 1", "rr_units"))
+
+
+def _chunked(sp, d):
+    """Units in eight chunks; every fifth is read again at the start of the next, one in ten with another rent."""
+    u = T.units(sp, d).select("doc_id", "building", "unit_number", "unit_row_id", "tenant_name", "monthly_rent",
+                              (F.col("unit_row_id") % 8).alias("chunk"))
+    k = F.col("unit_row_id")
+    again = u.filter(k % 5 == 0).withColumns({
+        "chunk": F.col("chunk") + 1, "unit_number": F.lower("unit_number"),
+        "monthly_rent": F.when(k % 10 == 0, F.col("monthly_rent") + 1).otherwise(F.col("monthly_rent")).cast(M)})
+    return u.unionByName(again)
+
+
+register("dedupe_chunks", lambda sp, d: C.dedupe_chunks(_chunked(sp, d), "unit_row_id").select(
+    "doc_id", "unit_row_id", "chunk", F.col("monthly_rent").cast("string").alias("rent")), with_views(
+    "SELECT doc_id, unit_row_id, chunk, CAST(monthly_rent AS VARCHAR) AS rent FROM (SELECT *, row_number() OVER"
+    " (PARTITION BY doc_id, upper(coalesce(building, '')), upper(unit_number), upper(coalesce(tenant_name, '')),"
+    f" monthly_rent ORDER BY chunk, unit_row_id) AS rn FROM (SELECT doc_id, building, unit_number, tenant_name,"
+    f" unit_row_id, CAST(monthly_rent AS {M}) AS monthly_rent, unit_row_id % 8 AS chunk FROM rr_units UNION ALL"
+    " SELECT doc_id, building, lower(unit_number), tenant_name, unit_row_id, CAST(monthly_rent + CASE WHEN"
+    f" unit_row_id % 10 = 0 THEN 1 ELSE 0 END AS {M}), unit_row_id % 8 + 1 FROM rr_units WHERE unit_row_id % 5 = 0))"
+    " WHERE rn = 1", "rr_units"))
 
 
 def _views_of_units(sp, d):
