@@ -2,9 +2,9 @@
 
 Documents become pieces of at most ``CAPACITY`` ids. Groups of pieces are packed in
 parallel: best fit, longest first, then local search among the bins that are not full.
-The search drains the emptiest bin: it moves a piece, swaps one for one, two for one or
-one for two with a fuller bin. Each step raises the sum of squared fills, until the bin
-is empty or no step is left; it ends as soon as no smaller number of bins is possible.
+The search moves a piece, or swaps one for one, two for one or one for two, from an emptier
+to a fuller bin, so that each step raises the sum of squared fills, until bins are empty; it
+ends when no smaller number of bins is possible or no step is left.
 The emptiest bin of every group goes, piece by piece, to the next round over fewer
 groups, until one group is left, so groups cost no bins.
 
@@ -34,8 +34,8 @@ from unitwise.session import stage
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_GROUP = 100_000
-PASSES = 8
-_CACHED = 500_000
+TRIES = 100_000
+_CACHED = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -70,13 +70,17 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [self.words(t) for t in texts]
         new = list(set().union(*split).difference(self.known))
-        # Once the cache is full the first words, mostly the frequent ones, stay.
-        known = self.known if len(self.known) < _CACHED else dict(self.known)
+        known = self.known
+        full = len(known) >= _CACHED
         for at in range(0, len(new), 50_000):
             part = new[at:at + 50_000]
             for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 known[word] = array("I", found.ids).tobytes()
-        return [b"".join(map(known.__getitem__, found)) for found in split]
+        out = [b"".join(map(known.__getitem__, found)) for found in split]
+        if full:  # the first words, mostly the frequent ones, stay
+            for word in new:
+                del known[word]
+        return out
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -185,30 +189,40 @@ def _exchange(low: list[tuple[int, int]], high: list[tuple[int, int]], space: in
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Drain the emptiest bin into the others while that can lower the number of bins."""
+    """Raise the sum of squared fills by exchanges until no fewer bins are possible or no step is left.
+
+    The emptiest bin is drained first; when it is stuck, one exchange between two other bins is
+    looked for, emptier ones first, and the draining goes on. ``TRIES`` bounds the pairs looked at.
+    """
     least = -(-int(lengths.sum()) // capacity)
     held = [sorted((int(lengths[i]), i) for i in own) for own in bins]
     fill = [sum(n for n, _ in own) for own in held]
     live = set(range(len(held)))
-    while len(live) > least:
-        low = min(live, key=lambda b: (fill[b], b))
-        others = sorted((b for b in live if b != low and fill[b] < capacity), key=lambda b: (-fill[b], b))
-        for _ in range(PASSES):
-            before = fill[low]
-            for high in others:
-                while held[low] and fill[high] < capacity and fill[high] >= fill[low]:
-                    carried = _exchange(held[low], held[high], capacity - fill[high])
-                    if not carried:
-                        break
-                    fill[low] -= carried
-                    fill[high] += carried
-                if not held[low]:
+    tries = TRIES
+
+    def carry(low: int, high: int) -> int:
+        nonlocal tries
+        tries -= 1
+        carried = _exchange(held[low], held[high], capacity - fill[high])
+        fill[low] -= carried
+        fill[high] += carried
+        return carried
+
+    while len(live) > least and tries > 0:
+        rising = sorted((b for b in live if fill[b] < capacity), key=lambda b: (fill[b], b))
+        moved = False
+        for at, low in enumerate(rising):
+            for high in reversed(rising[at + 1:]):
+                while held[low] and fill[low] <= fill[high] < capacity and tries > 0 and carry(low, high):
+                    moved = True
+                # Away from the emptiest bin one exchange is enough to try that bin again.
+                if not held[low] or tries <= 0 or (moved and at):
                     break
-            if not held[low] or fill[low] == before:
+            if moved or tries <= 0:
                 break
-        if held[low]:
+        live = {b for b in live if held[b]}
+        if not moved:
             break
-        live.discard(low)
     return [[i for _, i in reversed(held[b])] for b in sorted(live)]
 
 
