@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from unitwise.session import stage
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with the least of u and its neighbours as m."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return pairs.join(least, "u")
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """(u, v) with u > v to the edges after one large-star and one small-star step."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(_least_neighbour(both), "u").filter("v > u AND v <> m").select(
-        F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    small = large.join(_least_neighbour(large), "u")
-    return small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        small.select("u", F.col("m").alias("v"))).distinct()
+    both = edges.select(F.explode(F.array(
+        F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    large = _with_least(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = _with_least(large).select(F.explode(F.array(
+        F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return small.select("e.*").filter("u <> v").distinct()
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Does every node have one edge up, to a node that has none?"""
+    up = edges.groupBy("u").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(True))
+    return up.join(roots, "u", "left").filter("n > 1 OR root").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,13 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = stage(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
-    before = now.agg(mark).first()[0]
-    while before[0]:
+    while not _is_forest_of_stars(now):
         now = stage(_round(now))
-        after = now.agg(mark).first()[0]
-        if after == before:
-            break
-        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

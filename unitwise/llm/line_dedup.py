@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitwise.llm.common import mix, partitions_for, prepare, slices
-from unitwise.llm.regions import (LEVELS, LOW48, PACKED, REGION, ROWS_PER_TASK, Packer, Picker, link_shared,
-                                  shared_keys, to_bytes)
+from unitwise.llm.regions import (LEVELS, LOW48, PACKED, ROWS_PER_TASK, Packer, Picker, link_shared, shared_keys,
+                                  to_bytes)
 from unitwise.session import stage
 
 CHARS = 7
 PERCENT = 80
 BANDS = 14
 ROWS = 5
+#: Lines have few runs, so a block may hold more of them than of whole texts.
+REGION = 8192
 _BLANK = " \t\n\x0b\x0c\r"
 _AT_ONCE = 1 << 17
 
@@ -175,7 +177,7 @@ def dropped_lines(docs: DataFrame, found: DataFrame, region: int = REGION, level
     found = found.filter("cls IS NOT NULL")
     parts = partitions_for(docs.sparkSession, BANDS * found.count(), ROWS_PER_TASK)
     shared = stage(shared_keys(_banded(docs, parts), parts))
-    comps = stage(link_shared(shared, lambda bits: _bodies(docs, bits), PERCENT, region, levels))
+    comps = stage(link_shared(shared, lambda bits: _bodies(docs, bits), PERCENT, region, levels, counted=False))
     grouped = stage(found.join(comps, found["cls"] == comps["node"], "left").select(
         "row_id", "doc_id", "line", F.coalesce("component", "cls").alias("group")))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_id").alias("c"),

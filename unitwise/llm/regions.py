@@ -151,7 +151,7 @@ def _few(k: str = "k") -> Column:
     return (F.col(k) > 0) & (F.col(k) <= PAIRED)
 
 
-def able_pairs(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def able_pairs(shared: DataFrame, percent: int, counted: bool) -> tuple[DataFrame, DataFrame]:
     """(p, c) pairs that meet at keys of few classes and may link, and rows (s, cls, score) of other keys.
 
     Classes that hold fewer shared keys than ``least`` go first. Of a pair, the keys of few classes
@@ -161,8 +161,10 @@ def able_pairs(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     either holds of these, so classes that hold too few are left out there. All this is exact;
     counts that include repeated rows only keep more.
     """
-    total = shared.groupBy("cls").agg(F.count("*").alias("n"), F.first("least").alias("need"))
-    rows = stage(shared.join(total.filter("n < need").select("cls"), "cls", "left_anti"))
+    rows = shared
+    if counted:
+        total = shared.groupBy("cls").agg(F.count("*").alias("n"), F.first("least").alias("need"))
+        rows = stage(shared.join(total.filter("n < need").select("cls"), "cls", "left_anti"))
     many, few = rows.filter(~_few()), rows.filter(_few())
     held = many.groupBy("cls").agg(F.count("*").alias("n"), F.first("least").alias("need"))
     side = lambda c: few.select("s", F.struct("cls", "least", "score").alias(c))
@@ -170,17 +172,23 @@ def able_pairs(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(
         F.count("*").alias("n"), F.first("a.least").alias("x"), F.first("b.least").alias("y"),
         F.first("a.score").alias("u"), F.first("b.score").alias("v"))
+    if not counted:
+        return _pivoted(met), many.select("s", "cls", "score").distinct()
     of = lambda c: held.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"))
     enough = F.col("n") + F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) >= F.greatest("x", "y")
     # ``least`` is a twentieth of the size, rounded up and cut off at 1023.
     sizes = (F.greatest("x", "y") >= 1023) | (100 * F.least("x", "y") >= percent * (F.greatest("x", "y") - 1))
     able = met.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(enough & sizes)
-    first = (F.col("u") > F.col("v")) | ((F.col("u") == F.col("v")) & (F.col("a") > F.col("b")))
-    return able.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("p"),
-                       F.when(first, F.col("b")).otherwise(F.col("a")).alias("c")), many.join(
+    return _pivoted(able), many.join(
         held.filter("n >= need").select("cls"), "cls", "left_semi").select("s", "cls", "score").distinct()
 
 
+def _pivoted(pairs: DataFrame) -> DataFrame:
+    first = (F.col("u") > F.col("v")) | ((F.col("u") == F.col("v")) & (F.col("a") > F.col("b")))
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("p"),
+                        F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"))
+
+
 def filter_bits(classes: DataFrame, count: int) -> np.ndarray:
     """Bit table of at most ``FILTER_BITS`` bits that holds all classes, and others by chance."""
     size = min(FILTER_BITS, 1 << max(10, int(16 * max(count, 1)).bit_length()))
@@ -351,12 +359,14 @@ def _region_members(seen: DataFrame, comps: DataFrame, percent: int) -> DataFram
 
 
 def link_shared(shared: DataFrame, bodies_of: Callable[[np.ndarray], DataFrame], percent: int,
-                region: int = REGION, levels: int = LEVELS) -> DataFrame:
+                region: int = REGION, levels: int = LEVELS, counted: bool = True) -> DataFrame:
     """(node, component) of every class that links with another one it shares a key with.
 
+    Unless ``counted``, one shared key is enough for a pair to be looked at (``least`` is 1 throughout).
+
     ``bodies_of`` gives (cls, n, body) rows of the classes a bit table holds, each class once.
     """
-    near, many = able_pairs(shared, percent)
+    near, many = able_pairs(shared, percent, counted)
     many = stage(many)
     leads = many.groupBy("s").agg(F.max(F.struct("score", "cls")).alias("most"), F.min("cls").alias("x"),
                                   F.max("cls").alias("y")).filter("x <> y").select("s", F.col("most.cls").alias("p"))
