@@ -12,8 +12,7 @@ def test_verify_portfolio(spark, sf_dir):
 
 def test_score_portfolio_of_itself(spark, sf_dir):
     t = scoring.truth(spark, sf_dir).filter("doc_id < 3").selectExpr(
-        "*", "CAST(NULL AS DATE) AS lease_end_date", "CAST(NULL AS DATE) AS move_in_date",
-        "CAST(NULL AS DATE) AS move_out_date", "CAST(NULL AS STRING) AS regulation",
+        "*", "CAST(NULL AS STRING) AS regulation",
         "CAST(NULL AS array<struct<header:string,value:string>>) AS source_columns",
         "CAST(NULL AS array<struct<code:string,amount:decimal(18,4),category:string>>) AS charges")
     s = score_portfolio(t, t)
