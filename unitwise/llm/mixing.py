@@ -102,7 +102,7 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], most: int = SAM
         yield pd.DataFrame({"found": [np.append(found.ravel(), rows).astype(np.float32).tobytes()]})
 
     total = np.zeros(len(names) * TOKENS + len(names))
-    for row in sample.coalesce(_SAMPLE_TASKS).mapInPandas(frequencies, "found binary").toLocalIterator():
+    for row in sample.coalesce(_SAMPLE_TASKS).mapInPandas(frequencies, "found binary").collect():
         total += np.frombuffer(row["found"], np.float32)
     rows, found = total[-len(names):], total[:-len(names)].reshape(len(names), TOKENS)
     slot = np.full(TOKENS, -1)

@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Classi
         yield pd.DataFrame({"sums": [total.astype(np.float32).tobytes()]})
 
     table = np.zeros((TOKENS, SIZE))
-    for row in sample.coalesce(_SAMPLE_TASKS).mapInPandas(sums, "sums binary").toLocalIterator():
+    for row in sample.coalesce(_SAMPLE_TASKS).mapInPandas(sums, "sums binary").collect():
         table += np.frombuffer(row["sums"], np.float32).reshape(TOKENS, SIZE)
     norm = np.sqrt((table * table).sum(axis=1, keepdims=True))
     vectors = np.where(norm > 0, table / np.maximum(norm, 1e-9), index / NONZERO ** 0.5).astype(np.float32)

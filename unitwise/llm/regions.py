@@ -201,7 +201,7 @@ def filter_bits(classes: DataFrame, count: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(size // 8, np.uint8)
-    for row in classes.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+    for row in classes.coalesce(8).mapInArrow(mark, "bits binary").collect():
         out |= np.frombuffer(row["bits"], np.uint8)
     return out
 
