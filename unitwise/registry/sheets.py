@@ -161,9 +161,10 @@ _ROLL_UNITS = (
 _cols_roll = ["doc_id", "sheet", "source_row", "unit_number", "status", "category",
               "include_in_unit_count", "monthly_rent", "market_rent", "subsidy_rent", "concession",
               "tenant_name", "unit_sqft", "unit_type", "lease_status",
-              F.col("lease_start_date").cast("string"), F.col("lease_end_date").cast("string"),
+              "CAST(lease_start_date AS STRING) AS lease_start_date",
+              "CAST(lease_end_date AS STRING) AS lease_end_date",
               "block_charge_total", "charge_sum", "n_lines"]
-register("walk_row_layout", lambda sp, d: walk_of(sp, d, "roll").units.select(*_cols_roll),
+register("walk_row_layout", lambda sp, d: walk_of(sp, d, "roll").units.selectExpr(*_cols_roll),
          duck(_ROLL_UNITS, "roll"))
 _at = lambda k: f"max(amount) FILTER (line_no = {k})"
 _LEASE_UNITS = (
@@ -203,7 +204,7 @@ def _irregular(sp, d) -> W.Walk:
         .otherwise(F.col("columns"))}))
 
 
-register("walk_wide_sheet", lambda sp, d: _moved(sp, d).units.select(*_cols_roll), duck(_ROLL_UNITS, "roll"))
+register("walk_wide_sheet", lambda sp, d: _moved(sp, d).units.selectExpr(*_cols_roll), duck(_ROLL_UNITS, "roll"))
 register("walk_irregular", lambda sp, d: _irregular(sp, d).units.select(*_cols_lease), duck(
     "SELECT " + ", ".join(_cols_lease) + f" FROM ({_ROLL_UNITS}) UNION ALL SELECT "
     + ", ".join(f"CAST(NULL AS {M}) AS market_rent" if c == "market_rent" else c for c in _cols_lease)
