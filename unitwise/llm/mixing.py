@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitwise.llm.common import bounded_sample, prepare, slices
-from unitwise.llm.quality import TOKENS, Tokens
+from unitwise.llm.quality import TOKENS, Tokens, known_tokens
 from unitwise.session import stage
 
 SAMPLE_ROWS = 12_000
@@ -152,7 +152,7 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, own = Tokens(), shared.value
+        tokens, own = known_tokens(), shared.value
         for batch in slices(batches, "text", 8 << 20):
             each = [token_counts(x.as_py(), tokens, own.slot) for x in batch.column("text")]
             sizes = np.array([n for _, n in each])

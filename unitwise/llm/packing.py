@@ -35,7 +35,7 @@ CAPACITY = 2048
 END_ID = 0
 PIECES_PER_GROUP = 100_000
 TRIES = 100_000
-_CACHED = 1_000_000
+_CACHED = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"

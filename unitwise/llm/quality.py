@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +42,37 @@ REACH = 2
 EPOCHS = 40
 _SAME = 0
 _SAMPLE_TASKS = 8
-_CACHED = 300_000
+_CACHED = 500_000
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
+def _kind(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+
+
+_ASCII = {k: _kind(chr(k)) for k in range(128)}
+_MARKS = "".join(chr(k) for k in range(128) if not chr(k).isalnum())
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+
+
 def _shape(word: str) -> str:
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
-    return "".join(k for k, before in zip(kinds, [None, *kinds], strict=False) if k != before)
+    """Runs of upper case, lower case, digits and each mark, one character each."""
+    return _RUN.sub(r"\1", word.translate(_ASCII) if word.isascii() else "".join(map(_kind, word)))
 
 
 class Tokens(dict):
     """Word to (token of the word, token of its shape); hashing is cached up to a bound."""
 
-    _ends = re.compile(r"^[\W_]+|[\W_]+$")
-
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= _CACHED:
-            self.clear()
         text = word.decode("utf-8", "replace")
-        bare = self._ends.sub("", text).lower()
+        bare = (text.strip(_MARKS) if text.isascii() else _ENDS.sub("", text)).lower()
         first = 1 + xxhash.xxh64_intdigest("w" + bare) % (TOKENS - 1)
         second = 1 + xxhash.xxh64_intdigest("s" + _shape(text)) % (TOKENS - 1)
-        self[word] = packed = first << 20 | second
+        packed = first << 20 | second
+        if len(self) < _CACHED:
+            self[word] = packed
         return packed
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +81,14 @@ class Tokens(dict):
         return packed >> 20, packed & 0xFFFFF
 
 
+_KNOWN = Tokens()
+
+
+def known_tokens() -> Tokens:
+    """The words this process has met; later tasks of a worker find them known."""
+    return _KNOWN
+
+
 def index_vectors() -> np.ndarray:
     """Sparse ternary vectors, the same everywhere."""
     rng = np.random.default_rng(20_11)
@@ -218,7 +234,7 @@ def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, own = Tokens(), shared.value
+        tokens, own = known_tokens(), shared.value
         for batch in slices(batches, "text", 16 << 20):
             if own is None:
                 found = np.full(batch.num_rows, 0.5)
@@ -250,7 +266,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(learn(rows.filter("NOT held_out"), labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, own = Tokens(), shared.value
+        tokens, own = known_tokens(), shared.value
         for batch in slices(batches, "text", 16 << 20):
             if own is None:
                 yield batch
