@@ -258,7 +258,8 @@ def _pack_round(pieces: DataFrame, groups: int, round_: int, capacity: int) -> D
             "open", pa.array(bin_of == emptiest))
         yield from placed.to_batches(50_000)
 
-    return pieces.repartition(groups, *(F.col(n) for n in names[:2])).mapInArrow(pack, _PLACED)
+    dealt = pieces.coalesce(1) if groups == 1 else pieces.repartition(groups, *(F.col(n) for n in names[:2]))
+    return dealt.mapInArrow(pack, _PLACED)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
