@@ -19,6 +19,7 @@ _SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 _SHIPPED: set[str] = set()
+_STAGED: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -52,6 +53,23 @@ def stage_path(spark: SparkSession, folder: str | None = None) -> str:
     return path
 
 
+def staged_tables() -> int:
+    """A mark in the list of staged tables, for :func:`release`."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables nothing will read any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged_since(mark: int) -> list[str]:
+    """Paths of the tables staged after a mark."""
+    return _STAGED[mark:]
+
+
 def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a table that several branches read once, as Parquet, and read it back.
 
@@ -59,6 +77,7 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, folder)
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
