@@ -6,37 +6,59 @@ most a part of one stage. Stages that filter return the columns of ``documents``
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitwise.llm import exact_dedup, mixing, ngram_join, packing, quality
-from unitwise.session import stage_path
+from unitwise.session import release, stage_path, staged_since, staged_tables
+
+
+_OPEN: list[str] = []
+
+
+def _stage(function):
+    """A stage first deletes what the stage before it staged: its result has been written by then."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _OPEN)
+        mark = staged_tables()
+        out = function(spark, docs, sf_dir)
+        _OPEN[:] = staged_since(mark)
+        return out
+    return run_stage
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts."""
     return quality.accepted(docs, _labels(spark, sf_dir))
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every component of texts whose word shingles link."""
     return ngram_join.drop_near_copies(docs)
 
 
+@_stage
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the fitted rates say."""
     return mixing.mix_rows(docs, mixing.domains_of(_labels(spark, sf_dir)))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
     return packing.best_fit_packing(docs)

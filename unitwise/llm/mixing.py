@@ -73,7 +73,10 @@ class DomainModel:
 
 
 def inputs(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.hstack([counts > 0, counts / np.maximum(sizes, 1)[:, None]]).astype(np.float32)
+    out = np.empty((len(counts), 2 * FEATURES), np.float32)
+    out[:, :FEATURES] = counts > 0
+    np.divide(counts, np.maximum(sizes, 1)[:, None], out=out[:, FEATURES:], casting="unsafe")
+    return out
 
 
 def token_counts(text: str | None, tokens: Tokens, slot: np.ndarray) -> tuple[np.ndarray, int]:
@@ -120,11 +123,15 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], most: int = SAM
                                 "counts": [c.astype(np.uint32).tobytes() for c, _ in each]})
 
     seen = sample.mapInPandas(features, "doc_id long, domain string, n long, counts binary").toPandas().sort_values("doc_id")
-    counts = np.stack([np.frombuffer(x, np.uint32) for x in seen["counts"]])
-    x = inputs(counts, seen["n"].to_numpy())
-    scale = np.sqrt((x * x).mean(axis=0)) + 1e-3
+    x = np.empty((len(seen), 2 * FEATURES), np.float32)
+    for at in range(0, len(seen), 1000):
+        part = seen.iloc[at:at + 1000]
+        counts = np.stack([np.frombuffer(c, np.uint32) for c in part["counts"]])
+        x[at:at + 1000] = inputs(counts, part["n"].to_numpy())
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)).astype(np.float32) + np.float32(1e-3)
+    x /= scale
     y = np.eye(len(names), dtype=np.float32)[[names.index(d) for d in seen["domain"]]]
-    weights, bias = _softmax_fit(x / scale, y)
+    weights, bias = _softmax_fit(x, y)
     return DomainModel(names, slot, scale, weights, bias)
 
 
