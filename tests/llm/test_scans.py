@@ -162,6 +162,40 @@ def test_swaps_drain_a_bin_that_moves_cannot():
     assert len(bins) == 2 and sorted(sizes[own].sum() for own in bins) == [10, 10]
 
 
+def test_local_search_leaves_no_step():
+    sizes = np.minimum(np.random.default_rng(5).lognormal(np.log(900), 0.4, 6000).astype(int), packing.CAPACITY)
+    start = packing.best_fit(sizes, packing.CAPACITY)
+    bins = packing.local_search(start, sizes, packing.CAPACITY)
+    assert sorted(k for own in bins for k in own) == list(range(len(sizes)))
+    assert -(-sizes.sum() // packing.CAPACITY) < len(bins) < len(start)
+    under = []
+    for own in bins:
+        n = sizes[own].tolist()
+        if sum(n) < packing.CAPACITY:
+            pairs = [a + b for k, a in enumerate(n) for b in n[:k]]
+            under.append((sum(n), n, pairs))
+    under.sort(key=lambda x: x[0])
+    for at, (_, singles, pairs) in enumerate(under):
+        for fill, others, two in under[at + 1:]:
+            space = packing.CAPACITY - fill
+            assert not any(0 < x - y <= space for x in singles for y in [0, *others, *two])
+            assert not any(0 < x - y <= space for x in pairs for y in others)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_least_bins_is_a_lower_bound(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 11, 7)
+
+    def fewest(left, spaces):
+        if not left:
+            return len(spaces)
+        into = [fewest(left[1:], (*spaces[:k], s - left[0], *spaces[k + 1:])) for k, s in enumerate(spaces) if s >= left[0]]
+        return min([*into, fewest(left[1:], (*spaces, 10 - left[0]))])
+
+    assert packing.least_bins(sizes, 10) <= fewest(tuple(sizes.tolist()), ())
+
+
 def test_chat(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"),
              (1, 1, "assistant", "b"), (2, 0, "user", None), (3, 0, "user", ""), (4, 0, None, "alone"), (None, 0, "user", "n"),

@@ -4,7 +4,7 @@ Documents become pieces of at most ``CAPACITY`` ids. Groups of pieces are packed
 parallel: best fit, longest first, then local search among the bins that are not full.
 The search moves a piece, or swaps one for one, two for one or one for two, from an emptier
 to a fuller bin, so that each step raises the sum of squared fills, until bins are empty; it
-ends when no smaller number of bins is possible or no step is left.
+ends when no smaller number of bins is possible or no step is left, however many that takes.
 The emptiest bin of every group goes, piece by piece, to the next round over fewer
 groups, until one group is left, so groups cost no bins.
 
@@ -20,8 +20,8 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,6 @@ from unitwise.session import stage
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_GROUP = 100_000
-TRIES = 100_000
 _CACHED = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -151,79 +150,141 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(low: list[tuple[int, int]], high: list[tuple[int, int]], space: int) -> int:
-    """Carry length from ``low`` to ``high`` by one step; how much, 0 if no step is possible.
-
-    Both are sorted lists of (length, item).
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound of the bins needed: total length, and for every t the pieces longer than ``capacity - t``
+    beside the rest of at least ``t`` each (Martello and Toth)."""
+    count = np.bincount(lengths, minlength=capacity + 1)
+    mass = count * np.arange(capacity + 1)
+    pieces, total = np.append(0, np.cumsum(count)), np.append(0, np.cumsum(mass))  # of lengths below k
+    half = capacity // 2
+    t = np.arange(half + 1)
+    alone = pieces[capacity + 1] - pieces[capacity - t + 1]
+    long = pieces[capacity - t + 1] - pieces[half + 1]
+    room = long * capacity - (total[capacity - t + 1] - total[half + 1])
+    short = total[half + 1] - total[t]
+    return int((alone + long + np.maximum(0, -((room - short) // capacity))).max())
+
+
+def _masks(own: dict[int, list[int]]) -> tuple[int, int]:
+    """Bit n of the first is set for a piece of length n, of the second for two pieces of total length n."""
+    single = pair = 0
+    for n, items in own.items():
+        pair |= single << n
+        if len(items) > 1:
+            pair |= 1 << 2 * n
+        single |= 1 << n
+    return single, pair
+
+
+class _Underfull:
+    """Bins that are not full by their free space, each space with the lengths its bins can give.
+
+    Lengths of bins that left a space stay until a look-up meets them in vain.
     """
-    place = bisect_right(low, (space, 2**62))
-    if place:
-        moved = low.pop(place - 1)
-        high.insert(bisect_right(high, moved), moved)
-        return moved[0]
-    best = (0, (), ())
-    sizes = [n for n, _ in high]
-    for i, (x, _) in enumerate(low):
-        # One for one: the shortest piece of the fuller bin that still makes room.
-        k = bisect_right(sizes, x - space - 1)
-        if k < len(high) and 0 < x - sizes[k] <= space and x - sizes[k] > best[0]:
-            best = (x - sizes[k], (i,), (k,))
-        # One for two.
-        for k, y in enumerate(sizes):
-            m = bisect_right(sizes, x - y - space - 1)
-            if m == k:
-                m += 1
-            if m < len(high) and 0 < x - y - sizes[m] <= space and x - y - sizes[m] > best[0]:
-                best = (x - y - sizes[m], (i,), (k, m))
-        # Two for one.
-        for j in range(i):
-            pair = x + low[j][0]
-            k = bisect_right(sizes, pair - space - 1)
-            if k < len(high) and 0 < pair - sizes[k] <= space and pair - sizes[k] > best[0]:
-                best = (pair - sizes[k], (i, j), (k,))
-    if best[0]:
-        gone, come = [low[i] for i in best[1]], [high[k] for k in best[2]]
-        low[:] = sorted([x for i, x in enumerate(low) if i not in best[1]] + come)
-        high[:] = sorted([x for k, x in enumerate(high) if k not in best[2]] + gone)
-    return best[0]
+
+    def __init__(self, capacity: int):
+        self.bins: list[dict[int, tuple[int, int]]] = [{} for _ in range(capacity + 1)]
+        self.gives = [[0, 0] for _ in range(capacity + 1)]
+
+    def add(self, bin_: int, space: int, single: int, pair: int) -> None:
+        # For one piece: nothing, one or two of the fuller bin's; for two pieces: one.
+        own = (1 | single | pair, single)
+        self.bins[space][bin_] = own
+        self.gives[space][0] |= own[0]
+        self.gives[space][1] |= own[1]
+
+    def remove(self, bin_: int, space: int) -> None:
+        del self.bins[space][bin_]
+        if not self.bins[space]:
+            self.gives[space] = [0, 0]
+
+    def step(self, takes: tuple[int, int], most: int) -> tuple[int, int, int, int] | None:
+        """(carried, kind, given back, bin) of the step that carries most into a bin of at most ``most`` free space."""
+        found = [0, 0]
+        for carried in range(most, 0, -1):
+            gives = self.gives[carried]
+            found[0] |= gives[0]
+            found[1] |= gives[1]
+            for kind in (0, 1):
+                while both := (takes[kind] >> carried) & found[kind]:
+                    back = both & -both
+                    for space in range(carried, most + 1):
+                        if self.gives[space][kind] & back:
+                            for bin_, own in self.bins[space].items():
+                                if own[kind] & back:
+                                    return carried, kind, back.bit_length() - 1, bin_
+                            self.gives[space][kind] &= ~back
+                    found[kind] &= ~back
+        return None
+
+
+def _take(own: dict[int, list[int]], total: int, pieces: int) -> list[tuple[int, int]]:
+    """Remove ``pieces`` pieces (0, 1 or 2) of ``total`` length: (length, item)."""
+    if pieces == 2:
+        first = next(n for n, items in own.items() if total - n in own and (2 * n != total or len(items) > 1))
+        return _take(own, first, 1) + _take(own, total - first, 1)
+    if not pieces:
+        return []
+    item = own[total].pop()
+    if not own[total]:
+        del own[total]
+    return [(total, item)]
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills by exchanges until no fewer bins are possible or no step is left.
 
-    The emptiest bin is drained first; when it is stuck, one exchange between two other bins is
-    looked for, emptier ones first, and the draining goes on. ``TRIES`` bounds the pairs looked at.
+    Bins are drained from the emptiest on, each by the steps that carry most, found by look-up among the
+    fuller bins; passes over them end when one finds no step. Every step raises the sum, so they do end.
     """
-    least = -(-int(lengths.sum()) // capacity)
-    held = [sorted((int(lengths[i]), i) for i in own) for own in bins]
-    fill = [sum(n for n, _ in own) for own in held]
-    live = set(range(len(held)))
-    tries = TRIES
-
-    def carry(low: int, high: int) -> int:
-        nonlocal tries
-        tries -= 1
-        carried = _exchange(held[low], held[high], capacity - fill[high])
-        fill[low] -= carried
-        fill[high] += carried
-        return carried
-
-    while len(live) > least and tries > 0:
-        rising = sorted((b for b in live if fill[b] < capacity), key=lambda b: (fill[b], b))
+    least = least_bins(lengths, capacity)
+    held: list[dict[int, list[int]]] = []
+    for own in bins:
+        held.append({})
+        for i in own:
+            held[-1].setdefault(int(lengths[i]), []).append(i)
+    space = [capacity - sum(n * len(items) for n, items in own.items()) for own in held]
+    live = len(held)
+    index = _Underfull(capacity)
+    masks: dict[int, tuple[int, int]] = {}
+    for b, own in enumerate(held):
+        if space[b]:
+            masks[b] = _masks(own)
+            index.add(b, space[b], *masks[b])
+
+    moved = True
+    while moved and live > least:
         moved = False
-        for at, low in enumerate(rising):
-            for high in reversed(rising[at + 1:]):
-                while held[low] and fill[low] <= fill[high] < capacity and tries > 0 and carry(low, high):
-                    moved = True
-                # Away from the emptiest bin one exchange is enough to try that bin again.
-                if not held[low] or tries <= 0 or (moved and at):
-                    break
-            if moved or tries <= 0:
-                break
-        live = {b for b in live if held[b]}
-        if not moved:
-            break
-    return [[i for _, i in reversed(held[b])] for b in sorted(live)]
+        due = [(-space[b], b) for b in masks]
+        heapify(due)
+        while due and live > least:
+            left, low = heappop(due)
+            if low not in masks or space[low] != -left:
+                continue
+            index.remove(low, space[low])
+            while held[low] and (found := index.step(masks[low], space[low])):
+                carried, kind, back, high = found
+                index.remove(high, space[high])
+                gone = _take(held[low], carried + back, kind + 1)
+                come = _take(held[high], back, 0 if not back else 1 if masks[high][0] >> back & 1 else 2)
+                for into, some in ((held[high], gone), (held[low], come)):
+                    for n, item in some:
+                        into.setdefault(n, []).append(item)
+                space[low] += carried
+                space[high] -= carried
+                masks[low], masks[high] = _masks(held[low]), _masks(held[high])
+                if space[high]:
+                    index.add(high, space[high], *masks[high])
+                    heappush(due, (-space[high], high))
+                else:
+                    del masks[high]
+                moved = True
+            if held[low]:
+                index.add(low, space[low], *masks[low])
+            else:
+                del masks[low]
+                live -= 1
+    return [[i for n in sorted(own, reverse=True) for i in own[n]] for own in held if own]
 
 
 def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
