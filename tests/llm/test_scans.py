@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import re
@@ -6,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from samples import EDGE, LONG, copies, corpus
@@ -73,6 +75,33 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(corpus(spark, [])).count() == 0
 
 
+def noise(size, width, seed=0):
+    text = base64.b64encode(np.random.default_rng(seed).bytes(size)).decode()
+    return " ".join(text[k:k + width] for k in range(0, size, width))[:size]
+
+
+def prose(size, seed=0):
+    rng = np.random.default_rng(seed)
+    known = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(400)]
+    return " ".join(known[int(k) % 400] for k in rng.zipf(1.3, size))[:size]
+
+
+@pytest.mark.parametrize("size", [120, 256, 400, 600, 1024, 2048, 4096, 6000, 8191, 8192, 12000, 40000])
+def test_noise_of_every_length_goes(size):
+    compress = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False).compress
+    for width in (4, 6, 10, size):
+        assert not any(quality_rules.compression_verdict(noise(size, width, k).encode(), compress)[0] for k in range(5))
+    assert all(quality_rules.compression_verdict(prose(size, k).encode(), compress)[0] for k in range(5))
+
+
+def test_noise_in_half_of_a_text_goes():
+    compress = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False).compress
+    for text in (prose(4000) + noise(4001, 10), noise(4001, 10) + prose(4000), prose(900) + noise(1100, 10)):
+        kept, _, chunks, bad = quality_rules.compression_verdict(text.encode(), compress)
+        assert not kept and (chunks, bad) == (2, 1)
+    assert quality_rules.compression_verdict((prose(12_000) + noise(500, 10)).encode(), compress)[0]
+
+
 def test_exact_dedup(spark):
     rows = EDGE + [(k, t) for k, t in copies(9)] + [(500, "x y"), (499, "xy "), (498, "x y")]
     found = exact_dedup.exact_dedup(corpus(spark, rows)).collect()

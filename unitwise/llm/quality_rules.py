@@ -1,10 +1,17 @@
 """Quality rules: base word counts and compression bands.
 
-The method compresses every whole text, and fixed chunks of it, with zstandard. Well
+The method compresses every whole text, and chunks that cover all of it, with zstandard. Well
 formed prose keeps its ratio (bytes in per byte out) within a band that depends on the
 length: short texts hardly compress, long ones compress more. A ratio above the band
-means repetition, one below it means noise. A text goes when its whole ratio leaves the
-band of its length, or when more than ``CHUNK_SHARE`` of its chunks leave the chunk band.
+means repetition, one below it means noise: ``LEAST`` lies above what random base64
+reaches at each length, in words of four or more characters, and below what prose reaches.
+A text goes when its whole ratio leaves the band of its length, or when ``CHUNK_SHARE`` of
+its chunks or more leave the band of theirs. Texts are cut into equal chunks of at most
+``CHUNK`` bytes, two at least; below ``SPLIT`` bytes the text is its only chunk.
+
+Under about 100 bytes nothing compresses and no limit parts noise from prose, but most such
+texts have fewer than twenty words. Random hexadecimal digits carry four bits a byte, as much
+as or less than short prose, so only texts of over 16,384 bytes have a limit above them.
 
 Defined results: a null text counts as empty; a text without words has no repeated
 words, fails the base rule of twenty words and is not kept. Repeated rows give repeated
@@ -24,9 +31,13 @@ from unitwise.llm.common import prepare, slices, words
 LEVEL = 3
 CHUNK = 4096
 CHUNK_SHARE = 0.5
-#: (bytes up to, least ratio, largest ratio); the last band has no upper length.
-BANDS = ((256, 0.30, 3.0), (1024, 1.10, 3.5), (4096, 1.30, 4.0), (16384, 1.50, 4.5), (None, 1.60, 5.0))
-CHUNK_BAND = (1.30, 4.5)
+SPLIT = 512
+#: (bytes, least ratio), straight lines between them.
+LEAST = ((64, 0.30), (100, 0.97), (128, 1.03), (160, 1.07), (200, 1.13), (256, 1.17), (320, 1.22), (400, 1.26), (512, 1.30),
+         (800, 1.37), (1024, 1.40), (2048, 1.44), (4096, 1.47), (8192, 1.50), (16384, 1.50), (16385, 2.03))
+#: (bytes up to, largest ratio); the last band has no upper length.
+BANDS = ((256, 3.0), (1024, 3.5), (4096, 4.0), (16384, 4.5), (None, 5.0))
+CHUNK_MOST = 4.5
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -73,25 +84,28 @@ def repeated_words(tokens: list[bytes], window: int = WINDOW) -> int:
 
 
 def band_of(size: int) -> tuple[float, float]:
-    for top, low, high in BANDS:
+    least = float(np.interp(size, *zip(*LEAST, strict=True)))
+    for top, high in BANDS:
         if top is None or size <= top:
-            return low, high
+            return least, high
     raise AssertionError("the last band is open")
 
 
 def compression_verdict(data: bytes, compress) -> tuple[bool, float, int, int]:
-    """(kept, whole ratio, chunks, chunks outside the chunk band)."""
+    """(kept, whole ratio, chunks, chunks outside the band of their length)."""
     if not data:
         return False, 0.0, 0, 0
     ratio = len(data) / len(compress(data))
     low, high = band_of(len(data))
-    chunks = bad = 0
-    if len(data) >= 2 * CHUNK:
-        for at in range(0, len(data) - CHUNK + 1, CHUNK):
-            chunk = CHUNK / len(compress(data[at:at + CHUNK]))
-            chunks += 1
-            bad += not CHUNK_BAND[0] <= chunk <= CHUNK_BAND[1]
-    return low <= ratio <= high and bad <= CHUNK_SHARE * chunks, ratio, chunks, bad
+    if len(data) < SPLIT:
+        bad = int(not low <= ratio <= high)
+        return not bad, ratio, 1, bad
+    chunks, bad = max(2, -(-len(data) // CHUNK)), 0
+    cuts = [len(data) * k // chunks for k in range(chunks + 1)]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        chunk = (end - start) / len(compress(data[start:end]))
+        bad += not band_of(end - start)[0] <= chunk <= CHUNK_MOST
+    return low <= ratio <= high and bad < CHUNK_SHARE * chunks, ratio, chunks, bad
 
 
 def measure(text: str | None, compress) -> tuple:
