@@ -95,6 +95,44 @@ def test_mixing_meets_its_targets(spark, tables):
     assert (np.abs(rows["copies"] - rows["rate"]) < 1 + 1e-9).all()
 
 
+def _members(spark, seed, rare, rows=4000):
+    """Rows of the first domain that belong to the others in small parts, as after a quality stage."""
+    rng = np.random.default_rng(seed)
+    z = np.exp(np.stack([np.full(rows, 4.0), rng.normal(-2, 1.5, rows) + np.log(rare), rng.normal(-1, 1.5, rows) + np.log(rare)], axis=1))
+    posterior = z / z.sum(axis=1, keepdims=True)
+    tokens = rng.integers(20, 3000, rows)
+    return spark.createDataFrame(list(zip(tokens.tolist(), posterior.tolist(), strict=True)),
+                                 "n_tokens long, posterior array<double>").repartition(2), posterior, tokens
+
+
+@pytest.mark.parametrize("rare", [0.2, 1.0, 3.0])
+def test_rates_meet_targets_of_domains_that_are_nearly_absent(spark, rare):
+    members, posterior, tokens = _members(spark, 1, rare)
+    steps, now, target = mixing.fit_rates(members, mixing.TARGETS)
+    assert np.all(np.abs(now - target) <= mixing.TOLERANCE * target)
+    rates = mixing.replay(posterior, steps)
+    assert (rates >= 0).all() and np.allclose((tokens * rates) @ posterior, now)
+
+
+def test_targets_out_of_reach_end_at_the_least_misfit_and_are_named(spark):
+    rng = np.random.default_rng(2)
+    low = rng.uniform(0.1, 0.2, 500)
+    posterior = np.stack([1 - low - 0.05, low, np.full(500, 0.05)], axis=1)
+    tokens = rng.integers(20, 3000, 500).astype(float)
+    share = np.array(list(mixing.TARGETS.values()))
+    steps, now, target = mixing.descend(lambda s, tried: mixing.domain_tokens(posterior, tokens, s, tried), share, mixing.GROWTH)
+    present = tokens @ posterior
+    u, rates = (now - target) / present, mixing.replay(posterior, steps)
+    slope = posterior @ u
+    # At the least misfit no rate above zero has a slope, and none at zero a falling one.
+    assert np.abs(now - target).max() > 1e-3 * target.max()
+    assert np.average(np.abs(np.where(rates > 0, slope, np.minimum(slope, 0))), weights=tokens) < 1e-2 * np.abs(u).max()
+    rows = corpus(spark, [(k, f"word{k} and some more words") for k in range(20)])
+    marks = spark.createDataFrame([(k, "clean") for k in range(20)], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="no rates meet the targets.*low"):
+        mixing.mixing(rows, marks).count()
+
+
 def test_mixing_edge_cases(spark, tables):
     docs, labels = tables
     marks = mixing.domains_of(labels)
