@@ -1,6 +1,7 @@
 """Reader, records and feeds: round trips, damaged input, bounded streams."""
 
 import datetime as dt
+import os
 
 import grids as G  # noqa: F401  (shared path of the helpers)
 from test_workbook import write_book
@@ -69,3 +70,36 @@ def test_incremental_ingest(spark, tmp_path):
         availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("ingested").count() == 2
+
+
+def test_old_dated_files_of_a_later_batch_pass_once(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    got = []
+
+    def run(checkpoint):
+        files = spark.readStream.format("binaryFile").option("maxFileAge", "9000d").schema(
+            spark.read.format("binaryFile").load(str(source)).schema).load(str(source))
+        X.incremental_ingest(files).writeStream.foreachBatch(X.ingest_into(str(out), lambda rows, k: got.append(
+            sorted(bytes(r.content).decode() for r in rows.collect())))).option(
+            "checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start().awaitTermination(120)
+
+    def put(name, text, days=0):
+        (source / name).write_text(text)
+        os.utime(source / name, (1.7e9 - 86400 * days,) * 2)
+
+    put("a.txt", "x")
+    run("first")
+    put("b.txt", "y", 400)
+    put("c.txt", "x", 400)
+    run("first")
+    put("d.txt", "z", 900)
+    run("first")
+    assert [x for x in got if x] == [["x"], ["y"], ["z"]]
+    # A stream that has forgotten every digest still finds them in the manifest.
+    put("e.txt", "w", 900)
+    got.clear()
+    spark.read.parquet(str(out)).select("sha256").write.parquet(str(tmp_path / "kept/batch_id=-1"))
+    out = tmp_path / "kept"
+    run("second")
+    assert [x for x in got if x] == [["w"]]

@@ -6,7 +6,7 @@ a mere detail update.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -165,13 +165,39 @@ def throttled_stream(events: DataFrame) -> DataFrame:
         "last_write long, stage string, n_events long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def incremental_ingest(files: DataFrame, content: str = "content", arrived: str = "modificationTime",
-                       remember: str = "30 days") -> DataFrame:
-    """Stream of files: only content not seen before passes.
+def incremental_ingest(files: DataFrame, content: str = "content", remember: str = "30 days",
+                       ingested: str = "ingested_at") -> DataFrame:
+    """Stream of files: only content not seen before passes, whatever date the file bears.
 
-    Digests are remembered for ``remember`` behind the latest arrival, which bounds the state;
-    older content is kept apart by the stored corpus (:func:`unitwise.sources.corpus.new_content`).
+    Digests are remembered for ``remember`` behind the latest ingest, which bounds the state. The time is
+    that of the micro-batch (``ingested``), so no file is ever late. Content older than that is kept apart
+    by the stored manifest, see :func:`ingest_into`. Spark's file source itself skips files dated more than
+    ``maxFileAge`` (a week) before the newest; set that option of the reader as far as dates may go back.
     """
     return (
         files.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
-        .withWatermark(arrived, remember).dropDuplicatesWithinWatermark(["sha256"]))
+        .withColumn(ingested, F.current_timestamp())
+        .withWatermark(ingested, remember).dropDuplicatesWithinWatermark(["sha256"]))
+
+
+def ingest_into(manifest: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: ``write`` gets the rows whose digest no earlier batch stored in ``manifest``.
+
+    ``manifest`` is a Parquet folder with the digests of every batch in a folder of its own. A batch
+    that is run again overwrites its own part and passes the same rows, so ``write`` has to be
+    idempotent by batch id.
+    """
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        stored = spark.createDataFrame([], "sha256 string, batch_id long")
+        where = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            stored = spark.read.schema("sha256 string, batch_id long").parquet(manifest)
+        known = stored.filter(F.col("batch_id").isNull() | (F.col("batch_id") != batch_id)).select("sha256")
+        fresh = rows.join(known, "sha256", "left_anti").persist()
+        try:
+            write(fresh, batch_id)
+            fresh.select("sha256").write.mode("overwrite").parquet(f"{manifest.rstrip('/')}/batch_id={batch_id}")
+        finally:
+            fresh.unpersist()
+    return batch
