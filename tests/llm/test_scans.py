@@ -46,6 +46,16 @@ def test_secret_spans(spark):
     assert secret_scan.scan(corpus(spark, EDGE)).count() == len(EDGE)
 
 
+def test_copies_of_one_owner_are_one_repository(spark):
+    token = "zQ3" + "xY9k" * 6
+    row = lambda k, text: (k, text, "en", "o1", None, None, 1, 1, 1)
+    many = secret_scan.MAX_REPOSITORIES + 5
+    copied = secret_scan.scan(corpus(spark, [row(k, token + " aws") for k in range(many)])).collect()
+    assert len(copied) == many and {(r.spans, r.n_live) for r in copied} == {("live:0:27", 1)}
+    varied = secret_scan.scan(corpus(spark, [row(k, f"{token} aws {k}") for k in range(many)])).collect()
+    assert {(r.spans, r.n_live) for r in varied} == {("", 0)}
+
+
 def brute_rules(text):
     words = re.findall("[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
