@@ -121,12 +121,17 @@ def test_targets_out_of_reach_end_at_the_least_misfit_and_are_named(spark):
     tokens = rng.integers(20, 3000, 500).astype(float)
     share = np.array(list(mixing.TARGETS.values()))
     steps, now, target = mixing.descend(lambda s, tried: mixing.domain_tokens(posterior, tokens, s, tried), share, mixing.GROWTH)
-    present = tokens @ posterior
-    u, rates = (now - target) / present, mixing.replay(posterior, steps)
+    u, rates = (now - target) / target, mixing.replay(posterior, steps)
     slope = posterior @ u
     # At the least misfit no rate above zero has a slope, and none at zero a falling one.
     assert np.abs(now - target).max() > 1e-3 * target.max()
     assert np.average(np.abs(np.where(rates > 0, slope, np.minimum(slope, 0))), weights=tokens) < 1e-2 * np.abs(u).max()
+    # A domain that is all but absent does not draw the others off their targets.
+    posterior = np.stack([1 - low - 1e-6, low, np.full(500, 1e-6)], axis=1)
+    posterior[:, 1] *= rng.uniform(0, 1, 500) < 0.1
+    posterior[:, 0] = 1 - posterior[:, 1:].sum(axis=1)
+    _, now, target = mixing.descend(lambda s, tried: mixing.domain_tokens(posterior, tokens, s, tried), share, mixing.GROWTH)
+    assert np.all(np.abs(now - target)[:2] <= 1e-3 * target[:2]) and now[2] < 0.01 * target[2]
     rows = corpus(spark, [(k, f"word{k} and some more words") for k in range(20)])
     marks = spark.createDataFrame([(k, "clean") for k in range(20)], "doc_id long, domain string")
     with pytest.warns(UserWarning, match="no rates meet the targets.*low"):

@@ -3,7 +3,7 @@
 A multinomial classifier learned from a labelled table gives every document a posterior over
 the domains. Document rates r >= 0 are then fitted by projected-gradient least squares so that
 the expected tokens of every domain, sum of rate x tokens x posterior, meet their targets. The
-squared misfit of a domain is weighted by its present tokens, and a document's step by its
+squared misfit of a domain is divided by its target, and a document's step by its
 length, so one step is ``r = max(0, r - posterior . u)`` with one number in ``u`` per domain. A
 round sums the domains' tokens over the cluster and sends those few numbers to the driver; the
 rates themselves are never stored, each task replays the steps. Steps are preconditioned by the
@@ -227,20 +227,21 @@ def descend(measure: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray],
     k = len(share)
     steps: list[np.ndarray] = []
     now, cross = np.split(measure(steps, [np.zeros(k)])[0], [k])
-    present = np.maximum(now, 1e-9)
     target = share / share[0] * growth * now[0]
-    root = np.sqrt(present)
+    # A domain that is nearly absent would outweigh all others if its present tokens were the weight.
+    weight = np.maximum(target, 1.0)
+    root = np.sqrt(weight)
     scaled = cross.reshape(k, k) / np.outer(root, root)
     # Largest eigenvalue of the weighted normal matrix bounds the gradient step.
     bound = max(float(np.linalg.eigvalsh(scaled).max()), 1e-9)
     while np.any(np.abs(now - target) > TOLERANCE * np.maximum(target, 1.0)):
         off = now - target
         newton = np.linalg.lstsq(scaled, off / root, rcond=1e-9)[0] / root
-        tried = [newton / 4.0 ** j for j in range(8)] + [off / present / bound * 4.0 ** j for j in range(8)]
+        tried = [newton / 4.0 ** j for j in range(8)] + [off / weight / bound * 4.0 ** j for j in range(8)]
         found = measure(steps, tried)
-        left = ((found[:, :k] - target) ** 2 / present).sum(axis=1)
+        left = ((found[:, :k] - target) ** 2 / weight).sum(axis=1)
         best = int(left.argmin())
-        if not left[best] < (1 - STATIONARY) * float((off * off / present).sum()):
+        if not left[best] < (1 - STATIONARY) * float((off * off / weight).sum()):
             break
         steps.append(tried[best])
         now, scaled = found[best, :k], found[best, k:].reshape(k, k) / np.outer(root, root)
