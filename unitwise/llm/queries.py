@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unitwise.llm import chat, exact_dedup, language, line_dedup, mixing, ngram_join, packing, quality, quality_rules, secret_scan
+from unitwise.llm import (
+    chat,
+    cost_packing,
+    divergence,
+    exact_dedup,
+    language,
+    lexical,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    quality_rules,
+    secret_scan,
+)
 
 QUERIES = {}
 ORACLE = {}
@@ -141,3 +155,69 @@ SELECT doc_id,
 FROM d""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_cost_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost_packing.cost_balanced_packing(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+held AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS n FROM held GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(sums.n, 0)::HUGEINT + coalesce(langs.v, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sums USING (lang, source) LEFT JOIN langs USING (lang)),
+p AS (
+  SELECT lang, source, term, coalesce(held.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(held.n, 0) + 1) // total AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN held USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (kept.n + 1) // (langs.n + langs.v) AS q FROM kept JOIN langs USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b USING (lang) LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  WHERE a.source <> b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+c AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS total FROM d),
+b AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(
+           coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+t AS (
+  SELECT k, doc_id, n, term, count(*) AS tf
+  FROM (SELECT k, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, docs),
+scored AS (
+  SELECT item_id, k, doc_id, CAST(sum(
+           times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM t JOIN w USING (term) JOIN asked USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
