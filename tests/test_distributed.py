@@ -82,6 +82,34 @@ def test_align(spark):
     assert {tuple(r) for r in got.select("doc_id", "gt_pos", "ex_pos").collect()} == want
 
 
+def test_align_waits_for_earlier_rows(spark):
+    """Long families, many copies of a truth id, and chains in which each taking waits for the one before."""
+    rnd = random.Random(8)
+    truth, found, want = [], [], set()
+    for doc in range(25):
+        ids = ["".join(rnd.choice("12") for _ in range(rnd.randint(1, 5))) for _ in range(14)]
+        g = [(p * 3, rnd.choice(ids)) for p in range(40)]
+        e = [(p * 2, rnd.choice(ids)) for p in range(rnd.randint(1, 25))]
+        truth += [(doc, p, u) for p, u in g]
+        found += [(doc, p, u) for p, u in e]
+        want |= {(doc, i, j) for i, j in brute_align(g, e).items()}
+    # Nines of falling length: every id ends with all shorter ones.
+    chain_g = [(p, "9" * (10 - p)) for p in range(8)]
+    chain_e = [(0, "A" + "9" * 10), (1, "999999999"), (2, "99999999"), (3, "9999999")]
+    truth += [(99, p, u) for p, u in chain_g]
+    found += [(99, p, u) for p, u in chain_e]
+    want |= {(99, i, j) for i, j in brute_align(chain_g, chain_e).items()}
+    schema = "doc_id long, pos long, unit_number string"
+    got = score.align(spark.createDataFrame(truth, schema), spark.createDataFrame(found, schema))
+    assert {tuple(r) for r in got.select("doc_id", "gt_pos", "ex_pos").collect()} == want
+
+
+def test_align_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, pos long, unit_number string")
+    some = spark.createDataFrame([(1, 1, "12"), (1, 2, None), (None, 3, "2")], none.schema)
+    assert score.align(none, some).count() == 0 and score.align(some, none).count() == 0
+
+
 def brute_views(sheets):
     keep = [True] * len(sheets)
     for a, (ua) in enumerate(sheets):
@@ -143,6 +171,35 @@ def test_throttle(spark):
     assert {tuple(r) for r in X.throttle(df).select("job_id", "event_id").collect()} == want
 
 
+def test_throttle_long_chains(spark, monkeypatch):
+    """Seconds in groups of two, so that chains run through every level; repeated times and ids in any order."""
+    monkeypatch.setattr(X, "_SCAN_BITS", 1)
+    monkeypatch.setattr(X, "_SCAN_LEVELS", 4)
+    rnd = random.Random(6)
+    rows, want = [], set()
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    for job in range(8):
+        t, events = 0, []
+        for _ in range(300):
+            t += rnd.choice([0, 0, 1, 5, 130, 330, 700, 999])
+            events.append((t, rnd.randrange(10**9), "a" if rnd.random() < 0.99 else None,
+                           "info" if rnd.random() < 0.01 * (job % 3) else None))
+        events.sort(key=lambda e: e[:2])
+        want |= {(job, e) for e in brute_throttle([(i, ms, st, k) for ms, i, st, k in events])}
+        rows += [(job, i, start + dt.timedelta(milliseconds=ms), st, None, k) for ms, i, st, k in events]
+    df = spark.createDataFrame(rows, "job_id long, event_id long, event_at timestamp, stage string,"
+                                     " detail string, kind string")
+    assert {tuple(r) for r in X.throttle(df.repartition(5)).collect()} == want
+    assert X.throttle(df.limit(0)).count() == 0
+
+
+def test_throttle_orders_no_job_in_one_task(spark):
+    """No Python, and every exchange is dealt by more than the job but the one of the topmost groups."""
+    df, _ = feed(spark)
+    plan = X.throttle(df)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
+
+
 def test_streams_equal_batch(spark, tmp_path):
     df, want = feed(spark)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitwise.functions import fixed_values as V
 from unitwise.functions import scalars as S
 from unitwise.functions.scan import numbered
-from unitwise.session import ship_package, stage
+from unitwise.session import stage
 
 
 def occurrence_number(df: DataFrame, keys: list[str], pos: str, out: str = "k") -> DataFrame:
@@ -29,79 +28,71 @@ def align_exact(truth: DataFrame, found: DataFrame) -> DataFrame:
         "doc_id", "gt_pos", "ex_pos")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential part of the affix match for one small family of ids."""
-    pool = {i: p for i, p, t in zip(pdf["id"], pdf["pos"], pdf["truth"]) if not t}
-    pairs = []
-    for row in pdf[pdf["truth"]].sort_values("pos").itertuples():
-        near = [e for e in pool
-                if min(len(e), len(row.id)) >= 2 and (e.endswith(row.id) or row.id.endswith(e))]
-        if len(near) == 1:
-            pairs.append((row.doc_id, row.pos, pool.pop(near[0])))
-    return pd.DataFrame(pairs, columns=["doc_id", "gt_pos", "ex_pos"])
+def _affix_links(gt: DataFrame, ex: DataFrame) -> DataFrame:
+    """(doc_id, g, e) distinct ids of which one ends with the other, both two characters or longer.
+
+    They meet through the shorter one, as a suffix of the longer. Ids that cannot match are left out: an
+    extracted id on several rows is never the only candidate, so neither is any other of its truth ids; and
+    a truth id with two candidates nothing else can take keeps both.
+    """
+    ids = lambda df: df.filter(F.length("id") >= 2).groupBy("doc_id", "id").agg(
+        F.count(F.lit(1)).alias("copies"))
+    g, e = ids(gt), ids(ex)
+    suffixes = lambda df, name, least: df.select("*", F.explode(F.transform(
+        F.filter(F.sequence(F.lit(2), F.length("id")), lambda n: n <= F.length("id") - least),
+        lambda n: F.right("id", n))).alias("suffix")).withColumnRenamed("id", name)
+    longer_g = suffixes(g.drop("copies"), "g", 0).join(
+        e.withColumnRenamed("id", "suffix"), ["doc_id", "suffix"]).select(
+        "doc_id", "g", F.col("suffix").alias("e"), "copies")
+    longer_e = suffixes(e, "e", 1).join(
+        g.select("doc_id", F.col("id").alias("suffix")), ["doc_id", "suffix"]).select(
+        "doc_id", F.col("suffix").alias("g"), "e", "copies")
+    links = stage(longer_g.unionByName(longer_e))
+    takers = links.groupBy("doc_id", "e").agg(F.count(F.lit(1)).alias("takers"))
+    able = links.join(takers, ["doc_id", "e"]).groupBy("doc_id", "g").agg(
+        F.max("copies").alias("copies"), F.count_if(F.col("takers") == 1).alias("own"),
+        F.count(F.lit(1)).alias("n")).filter("copies = 1 AND own <= 1").select("doc_id", "g", "n")
+    return links.drop("copies").join(able, ["doc_id", "g"])
 
 
 def align_affix(truth: DataFrame, found: DataFrame, exact: DataFrame) -> DataFrame:
     """Leftover ids that end with one another, when exactly one is free.
 
-    Only ids sharing a suffix that is itself an id can meet, so families are
-    keyed by document and the shortest such suffix. Three facts keep them small:
-    an extracted id left over on several rows can never be the only candidate;
-    a truth id with two candidates nothing else can take never matches; and of
-    the copies of a truth id with one candidate only the first can match. The
-    sequential pass sees what remains.
+    Truth rows take in document order: a row takes an id if that is its only free candidate. So a truth id
+    can take from its first row after all its candidates but one are gone, and an extracted id goes to the
+    least row that can take it. Rounds apply these two rules to all ids at once, each with the times (row
+    positions) of the round before, until no time changes. A taking depends on earlier ones only, so round k
+    has every taking right that depends on fewer than k others, and times that stay are the sequential
+    result. Rounds are joins and aggregations; there are as many as the longest chain of takings.
     """
     left = lambda df, name: df.select(
         "doc_id", "pos", S.norm_unit("unit_number").alias("id")).filter(
         F.col("id") != "").join(exact.select("doc_id", F.col(name).alias("pos")),
                                 ["doc_id", "pos"], "left_anti")
     gt, ex = stage(left(truth, "gt_pos")), stage(left(found, "ex_pos"))
-    g_ids = gt.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("copies"))
-    e_ids = ex.groupBy("doc_id", "id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("pos").alias("pos"))
-    suffixes = lambda df, name: df.select(
-        "doc_id", "id", F.explode(F.transform(
-            F.sequence(F.lit(2), F.length("id")), lambda n: F.right("id", n))).alias("suffix")
-    ).withColumnRenamed("id", name)
-    long_enough = lambda df: df.filter(F.length("id") >= 2)
-    g2, e2 = long_enough(g_ids), long_enough(e_ids)
-    # Candidate links: one side's id is a suffix of the other's.
-    longer_g = suffixes(g2.select("doc_id", "id"), "g").join(
-        e2.select("doc_id", F.col("id").alias("suffix"), F.col("id").alias("e"), "copies"),
-        ["doc_id", "suffix"]).select("doc_id", "g", "e", "copies")
-    longer_e = suffixes(e2.select("doc_id", "id"), "e").join(
-        g2.select("doc_id", F.col("id").alias("suffix"), F.col("id").alias("g")),
-        ["doc_id", "suffix"]).filter(F.col("e") != F.col("g")).join(
-        e2.select("doc_id", F.col("id").alias("e"), "copies"), ["doc_id", "e"]).select(
-        "doc_id", "g", "e", "copies")
-    links = stage(longer_g.unionByName(longer_e))
-    takers = links.groupBy("doc_id", "e").agg(F.count(F.lit(1)).alias("takers"))
-    per_g = links.join(takers, ["doc_id", "e"]).groupBy("doc_id", "g").agg(
-        F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_near"),
-        F.count_if(F.col("takers") == 1).alias("exclusive"))
-    live_g = stage(per_g.filter((F.col("most_copies") == 1) & (F.col("exclusive") <= 1)).select(
-        "doc_id", "g", "n_near"))
-    live = links.join(live_g.select("doc_id", "g"), ["doc_id", "g"], "left_semi")
-    live_e = live.select("doc_id", F.col("e").alias("id")).distinct()
-    members = live_g.select("doc_id", F.col("g").alias("id"), F.lit(True).alias("truth")).unionByName(
-        live_e.withColumn("truth", F.lit(False)))
-    # The family of an id: its shortest suffix that is itself an id.
-    ids = members.select("doc_id", F.col("id").alias("suffix")).distinct()
-    family = suffixes(members.select("doc_id", "id").distinct(), "id").join(
-        ids, ["doc_id", "suffix"]).groupBy("doc_id", "id").agg(
-        F.min_by("suffix", F.length("suffix")).alias("family"))
-    # With a single candidate only the first copy of a truth id can take it.
-    single = live_g.withColumnRenamed("g", "id").filter("n_near = 1").join(
-        gt, ["doc_id", "id"]).groupBy("doc_id", "id").agg(F.min("pos").alias("pos"))
-    several = live_g.withColumnRenamed("g", "id").filter("n_near > 1").join(
-        gt, ["doc_id", "id"]).select("doc_id", "id", "pos")
-    placed = (
-        single.unionByName(several).withColumn("truth", F.lit(True))
-        .unionByName(live_e.join(e_ids.select("doc_id", "id", "pos"), ["doc_id", "id"])
-                     .withColumn("truth", F.lit(False))))
-    ship_package(placed.sparkSession)
-    return placed.join(family, ["doc_id", "id"]).groupBy("doc_id", "family").applyInPandas(
-        _greedy, "doc_id long, gt_pos long, ex_pos long")
+    links = stage(_affix_links(gt, ex))
+    rows = stage(gt.withColumnRenamed("id", "g").join(
+        links.select("doc_id", "g").distinct(), ["doc_id", "g"], "left_semi"))
+    last = Window.partitionBy("doc_id", "g").orderBy(F.desc_nulls_first("at"), "e")
+    taken, n_taken = None, 0
+    while True:
+        # A candidate that is not gone has no time and comes first; the second one says when the first is alone.
+        timed = links.withColumn("at", F.lit(None).cast("long")) if taken is None else links.join(
+            taken, ["doc_id", "e"], "left")
+        alone = timed.withColumn("nth", F.row_number().over(last)).filter("nth <= 2").groupBy("doc_id", "g").agg(
+            F.max("n").alias("n"), F.max(F.when(F.col("nth") == 1, F.col("e"))).alias("e"),
+            F.max(F.when(F.col("nth") == 1, F.col("at"))).alias("gone"),
+            F.max(F.when(F.col("nth") == 2, F.col("at"))).alias("since")).filter("n = 1 OR since IS NOT NULL")
+        takes = rows.join(alone, ["doc_id", "g"]).filter(
+            (F.col("since").isNull() | (F.col("pos") > F.col("since")))
+            & (F.col("gone").isNull() | (F.col("pos") <= F.col("gone"))))
+        new = stage(takes.groupBy("doc_id", "e").agg(F.min("pos").alias("at")))
+        n_new = new.count()
+        if n_new == n_taken and (taken is None or new.join(taken, ["doc_id", "e", "at"], "left_semi").count() == n_new):
+            break
+        taken, n_taken = new, n_new
+    place = ex.groupBy("doc_id", F.col("id").alias("e")).agg(F.min("pos").alias("ex_pos"))
+    return new.join(place, ["doc_id", "e"]).select("doc_id", F.col("at").alias("gt_pos"), "ex_pos")
 
 
 def align(truth: DataFrame, found: DataFrame) -> DataFrame:

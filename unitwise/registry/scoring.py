@@ -121,7 +121,46 @@ def cells(sp, d):
 
 
 register("align_exact", pairs, _sql("SELECT * FROM pairs"))
-register("align", lambda sp, d: score.align(truth(sp, d), found(sp, d)))
+_FILES = ("SELECT doc_id, count(*) FILTER (correct) AS correct, count(*) AS total, count(*) FILTER"
+          " (correct) / count(*) AS accuracy FROM cells GROUP BY doc_id")
+# What is left over after the exact match goes by affix, row by row in document order.
+_scored_affix = _scored | {
+    "gl": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM gk WHERE NOT EXISTS (SELECT 1 FROM"
+          " pairs p WHERE p.doc_id = gk.doc_id AND p.gt_pos = gk.pos)",
+    "el": "SELECT * FROM ek WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id = ek.doc_id AND p.ex_pos = ek.pos)",
+    "near": "SELECT g.doc_id, g.n, g.pos, coalesce(list(e.pos) FILTER (e.pos IS NOT NULL), []) AS near FROM gl g LEFT"
+            " JOIN el e ON e.doc_id = g.doc_id AND least(length(e.id), length(g.id)) >= 2 AND (suffix(e.id, g.id) OR"
+            " suffix(g.id, e.id)) GROUP BY g.doc_id, g.n, g.pos",
+    "taken": "SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS gt_pos, CAST([] AS BIGINT[]) AS used,"
+             " CAST([] AS BIGINT[]) AS free FROM near WHERE n = 1 UNION ALL SELECT doc_id, n, gt_pos, CASE WHEN"
+             " len(free) = 1 THEN list_concat(used, free) ELSE used END, free FROM (SELECT x.doc_id, x.n, x.pos AS"
+             " gt_pos, t.used, list_filter(x.near, lambda y: NOT list_contains(t.used, y)) AS free FROM taken t JOIN"
+             " near x ON x.doc_id = t.doc_id AND x.n = t.n + 1)",
+    "aligned": "SELECT * FROM pairs UNION ALL SELECT doc_id, gt_pos, free[1] FROM taken WHERE len(free) = 1"}
+
+
+def _affix_sql(body: str, **more: str) -> str:
+    first = {k: v for k, v in _scored_affix.items() if k not in ("joined", "cells")}
+    return with_views(body, "rr_units", extra=first | more).replace("WITH", "WITH RECURSIVE", 1)
+
+
+register("align", lambda sp, d: score.align(truth(sp, d), found(sp, d)), _affix_sql("SELECT * FROM aligned"))
+# Ids of few letters and digits, so that many end with one another and takings wait for each other.
+_FAMILY = "concat(substr('AB', CAST({k} % 2 + 1 AS INT), CAST({k} % 3 AS INT)), CAST({k} % {m} AS STRING))"
+_families = {"gt": (f"SELECT doc_id * 4 + {_K} % 4 AS doc_id, {_K} AS pos, " + _FAMILY.format(k=_K, m=113)
+                    + f" AS unit_number FROM rr_units WHERE {_K} % 5 <> 0"),
+             "ex": (f"SELECT doc_id * 4 + {_K} % 4 AS doc_id, {_K} AS pos, " + _FAMILY.format(k=f"({_K} * 7)", m=131)
+                    + f" AS unit_number FROM rr_units WHERE {_K} % 3 <> 0")}
+
+
+def _family(sp, d, side):
+    T.units(sp, d).createOrReplaceTempView("rr_units")
+    return sp.sql(_families[side])
+
+
+register("align_families", lambda sp, d: score.align(_family(sp, d, "gt"), _family(sp, d, "ex")),
+         _affix_sql("SELECT * FROM aligned").replace(_scored["gt"], _families["gt"].replace("AS STRING", "AS VARCHAR")).replace(
+             _FOUND_SQL.replace("AS STRING", "AS VARCHAR"), _families["ex"].replace("AS STRING", "AS VARCHAR")))
 register("missed_units", lambda sp, d: score.missed_units(truth(sp, d), pairs(sp, d)).select(
     "doc_id", "pos", "unit_number"), _sql(
     "SELECT doc_id, pos, unit_number FROM gt WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id ="
@@ -132,14 +171,16 @@ register("hallucinated_units", lambda sp, d: score.hallucinated_units(
     " ex.doc_id AND p.ex_pos = ex.pos)"))
 register("score_cells", cells, _sql("SELECT * FROM cells"))
 register("score_cells_aligned", lambda sp, d: score.file_scores(score.score_cells(
-    truth(sp, d), found(sp, d), score.align(truth(sp, d), found(sp, d)), gradable=FIELDS)))
+    truth(sp, d), found(sp, d), score.align(truth(sp, d), found(sp, d)), gradable=FIELDS)).withColumn(
+    "accuracy", F.round("accuracy", 6)), _affix_sql(
+    f"SELECT doc_id, correct, total, round(accuracy, 6) AS accuracy FROM ({_FILES})",
+    joined=_scored["joined"].replace("JOIN pairs p", "JOIN aligned p"),
+    cells=_scored["cells"].replace("JOIN pairs p", "JOIN aligned p")))
 register("score_rollup", lambda sp, d: score.score_rollup(cells(sp, d)), _sql(
     "SELECT doc_id, field, count(*) FILTER (correct) AS correct, count(*) AS total FROM cells GROUP"
     " BY ROLLUP (doc_id, field)"))
 register("field_breakdown", lambda sp, d: score.field_breakdown(cells(sp, d)), _sql(
     "SELECT field, count(*) FILTER (correct) AS correct, count(*) AS total FROM cells GROUP BY field"))
-_FILES = ("SELECT doc_id, count(*) FILTER (correct) AS correct, count(*) AS total, count(*) FILTER"
-          " (correct) / count(*) AS accuracy FROM cells GROUP BY doc_id")
 register("file_scores", lambda sp, d: score.file_scores(cells(sp, d)).withColumn(
     "accuracy", F.round("accuracy", 6)), _sql(
     f"SELECT doc_id, correct, total, round(accuracy, 6) AS accuracy FROM ({_FILES})"))

@@ -6,16 +6,15 @@ a mere detail update.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from unitwise.functions import fixed_values as V
-from unitwise.functions.scan import running
-from unitwise.session import ship_package
+from unitwise.session import ship_package, stage
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -80,53 +79,109 @@ def _written(times: list[int], forced: list[bool], last: int | None) -> tuple[li
     return out, last
 
 
-def _throttle_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Carries the last write time along rows sorted by segment and time."""
-    segment, last = None, None
-    for pdf in batches:
-        keep = []
-        for job, seg, t, must in zip(pdf["job_id"], pdf["seg"], pdf["ms"], pdf["forced"]):
-            if (job, seg) != segment:
-                segment, last = (job, seg), None
-            (one,), last = _written([t], [must], last)
-            keep.append(one)
-        yield pdf.loc[keep, ["job_id", "event_id"]]
+def _forced(events: DataFrame) -> DataFrame:
+    """Events with ms, their second ``b`` and whether they are written whatever was written before.
+
+    Certain are the first event of a job, a stage change, a timeline event and the end of a pause of a
+    second. An event's predecessor is in its second or in the one before, else there was a pause.
+    """
+    e = events.withColumn("ms", F.unix_millis("event_at")).withColumn("b", F.floor(F.col("ms") / V.THROTTLE_MS))
+    inside = Window.partitionBy("job_id", "b").orderBy("ms", "event_id")
+    e = e.withColumns({"prev_ms": F.lag("ms").over(inside), "prev_stage": F.lag("stage").over(inside)})
+    before = e.groupBy("job_id", "b").agg(F.max(F.struct("ms", "event_id", "stage")).alias("tail")).select(
+        "job_id", (F.col("b") + 1).alias("b"), F.col("tail.ms").alias("t_ms"), F.col("tail.stage").alias("t_stage"))
+    e = e.join(before, ["job_id", "b"], "left").withColumns({
+        "prev_stage": F.when(F.col("prev_ms").isNull(), F.col("t_stage")).otherwise(F.col("prev_stage")),
+        "prev_ms": F.coalesce("prev_ms", "t_ms")})
+    return e.withColumn("forced", F.col("prev_ms").isNull() | (F.col("ms") - F.col("prev_ms") >= V.THROTTLE_MS)
+                        | ~F.col("stage").eqNullSafe(F.col("prev_stage")) | F.col("kind").isNotNull())
+
+
+#: Seconds of a group, and groups of a group, in the scan over seconds: 2 to this power.
+_SCAN_BITS = 8
+_SCAN_LEVELS = 3
+
+
+def _then(state: Column, x: Column) -> Column:
+    """State after a second or group ``x``: fixed by a certain write, else looked up."""
+    return F.coalesce(x["fixed"], F.get(x["step"], state))
+
+
+def _composed(parts: Column) -> Column:
+    """(fixed, step) of consecutive seconds or groups taken together; both are bounded by one second's events."""
+    kind = "struct<fixed:int,step:array<int>>"
+    ask = F.transform(F.coalesce(F.get(parts, F.lit(0))["step"], F.array().cast("array<int>")), lambda _, i: i)
+    start = F.struct(F.lit(None).cast("int").alias("fixed"), ask.alias("step")).cast(kind)
+    return F.aggregate(parts, start, lambda acc, x: F.when(x["fixed"].isNotNull(), F.struct(
+        x["fixed"].alias("fixed"), F.lit(None).cast("array<int>").alias("step"))).when(
+        acc["fixed"].isNotNull(), F.struct(F.get(x["step"], acc["fixed"]).alias("fixed"),
+                                           F.lit(None).cast("array<int>").alias("step"))).otherwise(
+        F.struct(F.lit(None).cast("int").alias("fixed"),
+                 F.transform(acc["step"], lambda i: F.get(x["step"], i)).alias("step"))).cast(kind))
+
+
+def _entered(parts: DataFrame, levels: int) -> DataFrame:
+    """(job_id, at, entry): the state each part is entered with.
+
+    ``parts``: job_id, at, fixed, step. Parts are composed in groups of consecutive places, the groups are
+    entered in the same way one level up, and each group is then gone through once.
+    """
+    order = F.array_sort(F.collect_list(F.struct("at", "fixed", "step")))
+    groups = parts.groupBy("job_id", (F.shiftright("at", _SCAN_BITS) if levels else F.lit(0).cast("long")).alias("g")).agg(
+        order.alias("parts"))
+    if levels:
+        outer = groups.withColumn("all", _composed(F.col("parts"))).select(
+            "job_id", F.col("g").alias("at"), "all.fixed", "all.step")
+        groups = groups.join(_entered(outer, levels - 1).withColumnRenamed("at", "g"), ["job_id", "g"], "left")
+    else:
+        groups = groups.withColumn("entry", F.lit(None).cast("int"))
+    entries = F.aggregate("parts", F.array("entry"), lambda acc, x: F.concat(
+        acc, F.array(_then(F.element_at(acc, -1), x))))
+    return groups.select("job_id", F.posexplode(F.arrays_zip(
+        F.transform("parts", lambda x: x["at"]).alias("at"), entries.alias("entry")))).filter(
+        "col.at IS NOT NULL").select("job_id", F.col("col.at").alias("at"), F.col("col.entry").alias("entry"))
 
 
 def throttle(events: DataFrame) -> DataFrame:
     """Updates that are written: detail-only ones in the same stage wait a second.
 
-    A write is certain at the first event of a job, at a stage change, at a
-    timeline event and after a pause of a second; the chain of "a second since
-    the last write" restarts there. Jobs are therefore cut into segments at
-    these points by a bucketed scan, and only inside a segment, streamed in
-    order, is the chain followed event by event.
+    Certain writes are known from an event and its predecessor. Of the other events a second holds at most
+    one write, before its first certain one: the first event at least a second after the last write. So the
+    state between seconds is which of a second's times the last write had, or that it had none, and a second
+    is a step from that state to the next: the number of its times before the same point one second later.
+    A second with a certain write has a fixed outcome. Steps are composed associatively, so seconds, groups
+    of seconds and groups of groups are taken in parallel whatever a job's share of the events; a group's
+    step is never longer than the times of one second, a thousand.
     """
-    ms = F.unix_millis("event_at")
-    e = events.withColumn("ms", ms)
-    # Which second-bucket neighbours precede an event decides the pause test
-    # without ordering a whole job: look back at most two buckets.
-    e = e.withColumn("b", F.floor(F.col("ms") / V.THROTTLE_MS))
-    inside = Window.partitionBy("job_id", "b").orderBy("ms", "event_id")
-    e = e.withColumns({
-        "prev_ms": F.lag("ms").over(inside), "prev_stage": F.lag("stage").over(inside)})
-    tail = e.groupBy("job_id", "b").agg(
-        F.max(F.struct("ms", "event_id", "stage")).alias("tail"))
-    before = tail.select("job_id", (F.col("b") + 1).alias("b"), F.col("tail.ms").alias("t_ms"),
-                         F.col("tail.stage").alias("t_stage"))
-    e = e.join(before, ["job_id", "b"], "left").withColumns({
-        "prev_ms": F.coalesce("prev_ms", "t_ms"),
-        "prev_stage": F.coalesce("prev_stage", "t_stage")})
-    # No event in this bucket or the one before: more than a second of silence.
-    forced = (F.col("prev_ms").isNull() | (F.col("ms") - F.col("prev_ms") >= V.THROTTLE_MS)
-              | (F.col("stage") != F.col("prev_stage")) | F.col("kind").isNotNull())
-    e = e.withColumn("forced", forced)
-    e = running(e, ["job_id"], "ms", {"seg": F.when(F.col("forced"), F.col("ms"))}, "max",
-                levels=3, order=[F.col("ms"), F.col("event_id")])
-    ship_package(e.sparkSession)
-    chain = e.select("job_id", "seg", "ms", "event_id", "forced").repartition(
-        "job_id", "seg").sortWithinPartitions("job_id", "seg", "ms", "event_id")
-    return chain.mapInPandas(_throttle_batches, "job_id long, event_id long")
+    e = stage(_forced(events).select("job_id", "event_id", "ms", "b", "forced"))
+    times = e.filter("b IS NOT NULL").groupBy("job_id", "b", "ms").agg(
+        F.min("event_id").alias("event_id"), F.max("forced").alias("certain"),
+        F.min(F.when(F.col("forced"), F.col("event_id"))).alias("first_certain"))
+    seconds = times.groupBy("job_id", "b").agg(
+        F.array_sort(F.collect_list(F.struct("ms", "event_id"))).alias("times"),
+        F.max(F.when(F.col("certain"), F.col("ms"))).alias("last_ms"),
+        F.min(F.when(F.col("certain"), F.struct("ms", F.col("first_certain").alias("event_id")))).alias("until"))
+    ahead = seconds.select("job_id", (F.col("b") + 1).alias("b"), F.transform(
+        "times", lambda t: t["ms"] + V.THROTTLE_MS).alias("due"))
+    own = F.transform("times", lambda t: t["ms"])
+    # Due points and times in one order: a point's place less the points before it counts the times before it.
+    merged = F.array_sort(F.concat(
+        F.transform("due", lambda t: F.struct(t.alias("t"), F.lit(0).alias("own"))),
+        F.transform(own, lambda t: F.struct(t.alias("t"), F.lit(1).alias("own")))))
+    points = F.filter(F.transform(merged, lambda x, i: F.struct(x["own"].alias("own"), i.alias("i"))),
+                      lambda x: x["own"] == 0)
+    # The last state is "no write in the second before", after which the first time is due.
+    step = F.concat(F.transform(points, lambda x, k: x["i"] - k), F.array(F.lit(0)))
+    steps = stage(seconds.join(ahead, ["job_id", "b"], "left").withColumn("step", F.when(
+        F.col("due").isNotNull(), step)).withColumn(
+        "fixed", F.when(F.col("last_ms").isNotNull(), F.array_position(own, F.col("last_ms")).cast("int") - 1)).select(
+        "job_id", F.col("b").alias("at"), "fixed", "step", "times", "until"))
+    entered = _entered(steps.select("job_id", "at", "fixed", "step"), _SCAN_LEVELS)
+    chosen = steps.join(entered, ["job_id", "at"]).select(
+        "job_id", "until", F.get("times", F.get("step", F.col("entry"))).alias("write"))
+    waited = chosen.filter(F.col("write").isNotNull() & (F.col("until").isNull() | (F.col("write") < F.col("until"))))
+    return e.filter("forced").select("job_id", "event_id").unionByName(
+        waited.select("job_id", F.col("write.event_id").alias("event_id")))
 
 
 _FORGET_MS = 24 * 3600 * 1000
