@@ -24,13 +24,31 @@ def drop_total_lines(charges: DataFrame) -> DataFrame:
     ).withColumn("code", code)
 
 
+def code_categories(lines: DataFrame) -> DataFrame:
+    """(code, keyword category) of the distinct codes of ``lines``; the rules run once for each."""
+    codes = lines.groupBy("code").agg(F.count(F.lit(1)).alias("_n"))
+    # Asking for the count keeps filters on the category above the aggregation, off the lines.
+    return codes.select("code", F.when(F.col("_n") > 0, charge_category("code")).alias("_keyword"))
+
+
 def categorize(charges: DataFrame) -> DataFrame:
     """Fill missing categories from the keyword rules; set ones stand.
 
-    The rules run where a line is read: nothing is counted, broadcast or moved.
+    Distinct codes are classified in the same plan and joined back. The runtime knows how many there are
+    when it picks the join, and splits a code that many lines share.
     """
-    own = F.col("category") if "category" in charges.columns else F.lit(None).cast("string")
-    return charges.withColumn("category", F.coalesce(own, charge_category("code")))
+    has = "category" in charges.columns
+    own = F.col("category") if has else F.lit(None).cast("string")
+    open_ = charges.filter("category IS NULL") if has else charges
+    out = charges.join(code_categories(open_), "code", "left").withColumn("category", F.coalesce(own, "_keyword"))
+    return out.select(*charges.columns, *([] if has else ["category"]))
+
+
+def _per_code(charges: DataFrame) -> DataFrame:
+    """Amount and number of lines by document, code and category; reduced before any line is joined."""
+    keys = [c for c in ("doc_id", "code", "category") if c in charges.columns]
+    return categorize(charges.groupBy(*keys).agg(
+        F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n_lines")))
 
 
 def total_charges(charges: DataFrame) -> DataFrame:
@@ -42,16 +60,16 @@ def total_charges(charges: DataFrame) -> DataFrame:
 
 def charge_summary(charges: DataFrame) -> DataFrame:
     """Per document and category: amount, units and number of codes (no rent)."""
-    lines = categorize(charges).filter(~is_rent_class("category"))
-    # One row per unit, category and code first: the distinct counts then run on
-    # pre-aggregated rows whose key spreads even a single huge document.
-    per_unit = lines.groupBy("doc_id", "category", "unit_row_id").agg(F.sum("amount").alias("amount"))
-    amounts = per_unit.groupBy("doc_id", "category").agg(
+    amounts = _per_code(charges).filter(~is_rent_class("category")).groupBy("doc_id", "category").agg(
         cents(F.sum("amount")).cast(TOTAL).alias("total_amount"),
+        F.count_distinct("code").alias("n_codes"))
+    # One row per unit and category before the count: its key spreads even a single huge document.
+    narrow = [c for c in ("doc_id", "unit_row_id", "code", "category") if c in charges.columns]
+    units = categorize(charges.select(*narrow)).filter(~is_rent_class("category")).select(
+        "doc_id", "category", "unit_row_id").distinct().groupBy("doc_id", "category").agg(
         F.count(F.lit(1)).alias("unit_count"))
-    codes = lines.groupBy("doc_id", "category", "code").agg(F.lit(1).alias("_one"))
-    n_codes = codes.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n_codes"))
-    return amounts.join(n_codes, ["doc_id", "category"])
+    return amounts.join(units, ["doc_id", "category"]).select(
+        "doc_id", "category", "total_amount", "unit_count", "n_codes")
 
 
 def charge_summary_sorted(charges: DataFrame) -> DataFrame:
@@ -62,16 +80,16 @@ def charge_summary_sorted(charges: DataFrame) -> DataFrame:
 
 def summary_codes(charges: DataFrame) -> DataFrame:
     """The codes behind each summary row, one row per code."""
-    return categorize(charges).filter(~is_rent_class("category")).select(
+    return _per_code(charges).filter(~is_rent_class("category")).select(
         "doc_id", "category", "code").distinct()
 
 
 def ancillary_total(charges: DataFrame) -> DataFrame:
     """Identified income on top of rent per document."""
-    return categorize(charges).groupBy("doc_id").agg(
+    return _per_code(charges).groupBy("doc_id").agg(
         F.coalesce(cents(F.sum(F.when(is_ancillary("category"), F.col("amount")))).cast(TOTAL),
                    F.lit(0).cast(TOTAL)).alias("total_charges_amount"),
-        F.count(F.lit(1)).alias("n_lines"))
+        F.sum("n_lines").alias("n_lines"))
 
 
 def top_categories(charges: DataFrame, n: int = 5) -> DataFrame:
@@ -102,8 +120,10 @@ def code_verdicts(charges: DataFrame, proposals: DataFrame) -> DataFrame:
     """Verdict per distinct code of a document that has a valid proposal."""
     valid = proposals.filter(F.col("category").isin(*V.CHARGE_CATEGORIES)).groupBy(
         "doc_id", "code").agg(F.max("category").alias("proposed"))
+    words = code_vocabulary(charges)
     return (
-        code_vocabulary(charges).withColumn("keyword", charge_category("code"))
+        words.join(code_categories(words).withColumnRenamed("_keyword", "keyword"), "code")
+        .select(*words.columns, "keyword")
         .join(valid, ["doc_id", "code"], "left")
         .withColumn("verdict", F.when(
             F.col("proposed").isNotNull(), gate_code_proposal("keyword", "proposed")))
@@ -117,28 +137,27 @@ def apply_code_proposals(charges: DataFrame, proposals: DataFrame) -> DataFrame:
 
     Only lines still at "other", or moves inside the reduction pair, change. A
     document without a single valid proposal keeps its lines as they are. The
-    proposals are joined to the lines directly: the verdict needs nothing but
-    the code itself, so no vocabulary has to be built and joined back.
+    verdict is found once per document and code, and the lines are joined to it.
     """
     valid = proposals.filter(F.col("category").isin(*V.CHARGE_CATEGORIES)).groupBy(
         "doc_id", "code").agg(F.max("category").alias("_proposed"))
+    words = charges.select("doc_id", "code").distinct()
     # A proposal for a code the document does not print does not count.
-    answered = charges.join(valid, ["doc_id", "code"], "left_semi").select("doc_id").distinct()
+    answered = words.join(valid, ["doc_id", "code"], "left_semi").select("doc_id").distinct()
     pair = V.REDUCTION_PAIR
-    own = F.col("category") if "category" in charges.columns else F.lit(None).cast("string")
-    lines = (
-        charges.withColumn("_keyword", charge_category("code")).withColumn("category", F.coalesce(own, "_keyword"))
-        .join(valid, ["doc_id", "code"], "left")
-        .join(answered.withColumn("_answered", F.lit(True)), "doc_id", "left"))
     verdict = F.when(F.col("_proposed").isNotNull(), gate_code_proposal("_keyword", "_proposed"))
     override = F.when(verdict == "accept", F.col("_proposed")).when(
-        (F.coalesce(verdict, F.lit("noop")) == "noop") & F.col("_keyword").isin(*pair),
-        F.col("_keyword"))
-    takes = F.col("_answered") & override.isNotNull() & (
-        (F.col("category") == "other") | (F.col("category").isin(*pair) & override.isin(*pair)))
-    return lines.withColumn(
-        "category", F.when(takes, override).otherwise(F.col("category"))
-    ).drop("_keyword", "_proposed", "_answered")
+        (F.coalesce(verdict, F.lit("noop")) == "noop") & F.col("_keyword").isin(*pair), F.col("_keyword"))
+    judged = words.join(code_categories(words), "code").join(valid, ["doc_id", "code"], "left").join(
+        answered.withColumn("_answered", F.lit(True)), "doc_id", "left").select(
+        "doc_id", "code", "_keyword", F.when(F.col("_answered"), override).alias("_override"))
+    has = "category" in charges.columns
+    own = F.coalesce(F.col("category") if has else F.lit(None).cast("string"), F.col("_keyword"))
+    takes = F.col("_override").isNotNull() & (
+        (own == "other") | (own.isin(*pair) & F.col("_override").isin(*pair)))
+    return charges.join(judged, ["doc_id", "code"], "left").withColumn(
+        "category", F.when(takes, F.col("_override")).otherwise(own)).select(
+        *charges.columns, *([] if has else ["category"]))
 
 
 def charge_columns(charges: DataFrame, pos: str = "unit_row_id") -> DataFrame:
