@@ -28,30 +28,32 @@ def running(
     levels: int = 2,
     bits: int = BITS,
     order: Sequence[Column] | None = None,
+    bucket: str | None = None,
 ) -> DataFrame:
     """Add inclusive running aggregates of ``values`` within ``keys`` along ``pos``.
 
     ``pos`` is an integer column; ``levels`` buckets of ``bits`` bits cover
     positions up to ``2**(bits * levels)``, and beyond that the topmost window
     grows but the result stays exact. ``order`` breaks ties inside a bucket
-    when several rows share an integer position.
+    when several rows share an integer position. ``bucket`` names a column that
+    already holds ``pos >> bits``; rows dealt by it are not exchanged again.
     """
     combine = {"sum": F.sum, "max": F.max}[how]
     keys = list(keys)
     work = df.withColumns({f"_in_{n}": v for n, v in values.items()})
-    out = _scan(work, keys, pos, list(values), combine, how, levels, bits, order)
+    out = _scan(work, keys, pos, list(values), combine, how, levels, bits, order, bucket)
     return out.drop(*[f"_in_{n}" for n in values])
 
 
-def _scan(df, keys, pos, names, combine, how, levels, bits, order):
+def _scan(df, keys, pos, names, combine, how, levels, bits, order, given=None):
     ordering = list(order) if order else [F.col(pos)]
     if levels <= 1:
         w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: combine(f"_in_{n}").over(w) for n in names})
 
-    bucket = f"_b{levels}"
-    work = df.withColumn(bucket, F.shiftright(F.col(pos).cast("long"), bits))
+    bucket = given or f"_b{levels}"
+    work = df if given else df.withColumn(bucket, F.shiftright(F.col(pos).cast("long"), bits))
     totals = work.groupBy(*keys, bucket).agg(
         *[combine(f"_in_{n}").alias(f"_in_{n}") for n in names])
     scanned = _scan(totals, keys, bucket, names, combine, how, levels - 1, bits, None)
@@ -71,7 +73,7 @@ def _scan(df, keys, pos, names, combine, how, levels, bits, order):
         if how == "sum" else F.greatest)
     return joined.withColumns(
         {n: merge(F.col(f"_w_{n}"), F.col(f"_before_{n}")) for n in names}
-    ).drop(bucket, *[f"_w_{n}" for n in names], *[f"_before_{n}" for n in names])
+    ).drop(*[] if given else [bucket], *[f"_w_{n}" for n in names], *[f"_before_{n}" for n in names])
 
 
 def _previous(scanned, keys, bucket, names, levels, bits):

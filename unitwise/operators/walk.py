@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from unitwise.functions import fixed_values as V
 from unitwise.functions import scalars as S
 from unitwise.functions.charge_codes import charge_category, is_total_line
-from unitwise.functions.scan import running
+from unitwise.functions.scan import BITS, running
 from unitwise.session import stage
 
 SHEET = ["doc_id", "sheet"]
+#: Rows of a sheet are dealt in buckets of ``2 ** BITS`` consecutive ones.
+BUCKET = "bucket"
 
 
 class Walk(NamedTuple):
@@ -37,35 +39,60 @@ def used_range(cells: DataFrame) -> DataFrame:
         F.min("col").alias("first_col"), F.max("col").alias("last_col"))
 
 
-def sheet_rows(cells: DataFrame, mapped: DataFrame | None = None,
-               max_col: int = V.MAX_COLUMNS) -> DataFrame:
-    """One row per sheet row: map of column to (s text, n number, serial).
+def sheet_rows(cells: DataFrame, max_col: int = V.MAX_COLUMNS) -> DataFrame:
+    """One row per sheet row: its bucket, populated columns, and maps of column to (s text, n number, serial).
 
-    Columns right of ``max_col`` are read where a structure names them (``mapped``:
-    doc_id, sheet, col). Of a cell listed several times the greatest content counts.
+    ``m`` holds the columns up to ``max_col``, ``far`` those right of it, of which a walk keeps what a
+    structure names. Of a cell listed several times the greatest content counts. All cells are read and
+    exchanged once, by sheet and bucket, so that no sheet is one task's.
+    """
+    near = F.col("col") <= max_col
+    cell = F.struct(F.col("col").alias("k"), F.struct(
+        S.clean_text("text").alias("s"),
+        F.when(F.col("ctype") == "n", F.col("num")).otherwise(S.parse_number("text")).alias("n"),
+        F.when(F.col("ctype") == "n", F.col("num")).alias("serial")).alias("v"))
+    full = F.when(F.col("e.v.s").isNotNull(), F.col("e.k"))
+    read = cells.select(*SHEET, "row", F.shiftright(F.col("row").cast("long"), BITS).alias(BUCKET), near.alias("near"),
+                        cell.alias("e"))
+    return read.groupBy(*SHEET, BUCKET, "row").agg(
+        F.min(full).alias("lo"), F.max(full).alias("hi"),
+        F.collect_list(F.when(F.col("near"), F.col("e"))).alias("e"),
+        F.collect_list(F.when(~F.col("near"), F.col("e"))).alias("f")).select(
+        *SHEET, BUCKET, "row", "lo", "hi", _cell_map("e").alias("m"), _cell_map("f").alias("far"))
+
+
+def _cell_map(entries: str) -> Column:
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.when(F.size(F.array_distinct(keys)) == F.size(entries), F.map_from_entries(entries)).otherwise(
+        S.last_map(F.array_sort(entries)))
+
+
+def row_ranges(rows: DataFrame) -> DataFrame:
+    """:func:`used_range` from gathered rows."""
+    return rows.filter("lo IS NOT NULL").groupBy(*SHEET).agg(
+        F.min("row").alias("first_row"), F.max("row").alias("last_row"),
+        F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
+
+
+def _dealt(plan: DataFrame) -> DataFrame:
+    """The plan once for every bucket of its sheet."""
+    first, last = (F.shiftright(F.col(c).cast("long"), BITS) for c in ("first_row", "last_row"))
+    return plan.withColumn(BUCKET, F.explode(F.sequence(first, last)))
+
+
+def planned_rows(rows: DataFrame, plan: DataFrame, max_col: int = V.MAX_COLUMNS) -> DataFrame:
+    """Rows with their sheet's plan, and with the far columns it names.
+
+    The plan is repeated for every bucket of its sheet, so rows of one sheet meet it in many tasks.
     """
-    near = cells.filter(F.col("col") <= max_col)
-    if mapped is not None:
-        near = near.unionByName(
-            cells.filter(F.col("col") > max_col).join(mapped, [*SHEET, "col"], "left_semi"))
-    read = near.select(
-        *SHEET, "row", "col", F.struct(
-            S.clean_text("text").alias("s"),
-            F.when(F.col("ctype") == "n", F.col("num")).otherwise(S.parse_number("text"))
-            .alias("n"),
-            F.when(F.col("ctype") == "n", F.col("num")).alias("serial")).alias("cell"))
-    return read.groupBy(*SHEET, "row").agg(
-        S.last_map(F.array_sort(F.collect_list(F.struct(
-            F.col("col").alias("k"), F.col("cell").alias("v"))))).alias("m"))
-
-
-def far_columns(plan: DataFrame, max_col: int = V.MAX_COLUMNS) -> DataFrame:
-    """(doc_id, sheet, col) of columns right of ``max_col`` that a structure maps."""
     none = F.array().cast("array<int>")
-    named = F.array(*[f"c_{c}" for c in V.UNIT_COLUMNS], "c_desc", "c_amt", "c_total")
-    charges = F.coalesce(F.transform("mapped_columns", lambda c: c["index"]), none)
-    return plan.select(*SHEET, F.explode(F.array_distinct(F.concat(named, charges))).alias("col")).filter(
-        F.col("col") > max_col)
+    named = F.array_distinct(F.concat(
+        F.array(*[f"c_{c}" for c in V.UNIT_COLUMNS], "c_desc", "c_amt", "c_total"),
+        F.coalesce(F.transform("mapped_columns", lambda c: c["index"]), none)))
+    dealt = _dealt(plan).withColumn("_far", F.filter(named, lambda c: c > max_col))
+    kept = F.map_filter("far", lambda k, _: F.array_contains("_far", k))
+    return rows.drop("lo", "hi").join(dealt, [*SHEET, BUCKET]).withColumn(
+        "m", F.when(F.size("_far") > 0, F.map_concat("m", kept)).otherwise(F.col("m"))).drop("far", "_far")
 
 
 def row_text(m: Column, max_col: int = V.MAX_TEXT_COLUMN) -> Column:
@@ -246,7 +273,7 @@ def assign_blocks(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     # In a row layout each row stands for itself: no scan, no exchange.
     rows = walked.filter((F.col("layout") == "row") & anchor).withColumn("block_row", F.col("row"))
     blocks = (
-        running(walked.filter(F.col("layout") == "block"), SHEET, "row", {"mark": mark}, "max")
+        running(walked.filter(F.col("layout") == "block"), SHEET, "row", {"mark": mark}, "max", bucket=BUCKET)
         .filter(F.col("mark") % 2 == 1)
         .withColumn("block_row", F.shiftright("mark", 1)).drop("mark"))
     return rows, blocks
@@ -394,7 +421,8 @@ def _units(rows: DataFrame, blocks: DataFrame, plan: DataFrame) -> DataFrame:
         {"source_row": F.col("block_row"), "f": F.col("m")})
     block_units = (
         _block_units(blocks)
-        .join(plan.select(*SHEET, *_PLAN_FOR_UNITS), SHEET)
+        .withColumn(BUCKET, F.shiftright(F.col("block_row").cast("long"), BITS))
+        .join(_dealt(plan.select(*SHEET, "first_row", "last_row", *_PLAN_FOR_UNITS)), [*SHEET, BUCKET])
         .withColumns({
             "source_row": F.col("block_row"), "m": F.col("near")[F.lit(0)],
             "f": _first_cells(F.col("near"), F.array_compact(F.array("c_unit_number", "c_desc", "c_amt"))),
@@ -403,9 +431,10 @@ def _units(rows: DataFrame, blocks: DataFrame, plan: DataFrame) -> DataFrame:
             "concession": S.cents(F.col("b_concession")),
         }))
     kinds = {"block_charge_total": S.LINE, "charge_sum": "decimal(24,4)"}
-    pick = lambda df: _unit_fields(df).select(*[
-        F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in UNIT_FIELDS])
-    return pick(row_units).unionByName(pick(block_units))
+    shared = [*SHEET, "source_row", "m", "f", *[f"c_{c}" for c in V.UNIT_COLUMNS], "captured", "monthly_rent",
+              "subsidy_rent", "employee_discount", "concession", "block_charge_total", "charge_sum", "n_lines"]
+    pick = lambda df: df.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in shared])
+    return _unit_fields(pick(row_units).unionByName(pick(block_units))).select(*UNIT_FIELDS)
 
 
 def _lines(rows: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -436,14 +465,13 @@ def _lines(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 def walk(cells: DataFrame, structures: DataFrame) -> Walk:
     """Walk every planned sheet.
 
-    The ranges come from a narrow aggregation over all cells. The gathered rows (read
-    several times) and the plan (one row per sheet) are staged, so every branch has a
-    short lineage and prunes what it reads.
+    The cells are read once. The gathered rows, from which ranges, plans and units come, and the plan (one
+    row per sheet) are staged, so every branch has a short lineage and prunes what it reads.
     """
-    plan0 = stage(sheet_plan(structures, used_range(cells)))
-    rows = stage(sheet_rows(cells, far_columns(plan0)))
-    plan = stage(full_plan(plan0, row_flags(rows.join(plan0, SHEET))))
-    flagged = row_flags(rows.join(plan, SHEET))
+    rows = stage(sheet_rows(cells))
+    plan0 = stage(sheet_plan(structures, row_ranges(rows)))
+    plan = stage(full_plan(plan0, row_flags(planned_rows(rows, plan0))))
+    flagged = row_flags(planned_rows(rows, plan))
     alone, blocks = assign_blocks(flagged)
     return Walk(plan, flagged, _units(alone, blocks, plan), _lines(alone, blocks))
 
