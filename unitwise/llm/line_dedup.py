@@ -102,10 +102,9 @@ def _chunks(lines: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(cls, line): one line of every class, so that each is banded and cut into runs once."""
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+def _banded(docs: DataFrame, parts: int) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, seen = Packer(parts), set()
         for batch in slices(batches, "text", 4 << 20):
             if len(seen) > 2_000_000:
                 seen.clear()  # only saves work: classes met again give the same rows
@@ -116,19 +115,9 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
                     if cls not in seen:
                         seen.add(cls)
                         fresh[cls] = line
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.string())], names=["cls", "line"])
-
-    return docs.select("text").mapInArrow(pick, "cls long, line string").dropDuplicates(["cls"])
-
-
-def _banded(lines: DataFrame, parts: int) -> DataFrame:
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts)
-        for batch in slices(batches, "line", 4 << 20):
-            classes = batch.column("cls").to_pylist()
+            classes = list(fresh)
             at = 0
-            for chunk in _chunks(batch.column("line").to_pylist()):
+            for chunk in _chunks(list(fresh.values())):
                 for keys in band_keys(chunk):
                     packer.add(keys | np.uint64(1 << 54), classes[at])
                     at += 1
@@ -137,7 +126,7 @@ def _banded(lines: DataFrame, parts: int) -> DataFrame:
         if packer.size:
             yield packer.flush()
 
-    return lines.mapInArrow(pack, PACKED)
+    return docs.select("text").mapInArrow(pack, PACKED)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -159,35 +148,41 @@ def occurrences(docs: DataFrame) -> DataFrame:
         find, "row_id long, doc_id long, line int, cls long, n_lines long")
 
 
-def _bodies(lines: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(cls, n, body) of the classes in the bit table."""
-    shared = lines.sparkSession.sparkContext.broadcast(bits)
+def _bodies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(cls, n, body) of the classes in the bit table; lines are exchanged as text, a sixth of their runs."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picker = Picker(shared.value)
-        for batch in slices(batches, "line", 4 << 20):
-            rows = picker(batch.column("cls").to_numpy())
+        for batch in slices(batches, "text", 4 << 20):
+            lines = [t for x in batch.column("text") for _, t in _lines(x.as_py())]
+            cls = np.array([line_class(t) for t in lines], np.int64)
+            rows = picker(cls) if lines else []
             if rows:
-                own = batch.take(pa.array(rows))
-                bodies = []
-                for chunk in _chunks(own.column("line").to_pylist()):
-                    hashes, counts = run_hashes(chunk)
-                    bodies += [np.unique(x & LOW48) for x in np.split(hashes, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("cls"), pa.array([len(b) for b in bodies], pa.int64()),
-                     pa.array([to_bytes(b) for b in bodies], pa.binary())], names=["cls", "n", "body"])
+                    [pa.array(cls[rows]), pa.array([lines[i] for i in rows], pa.string())], names=["cls", "line"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line", 4 << 20):
+            bodies = []
+            for chunk in _chunks(batch.column("line").to_pylist()):
+                hashes, counts = run_hashes(chunk)
+                bodies += [np.unique(x & LOW48) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), pa.array([len(b) for b in bodies], pa.int64()),
+                 pa.array([to_bytes(b) for b in bodies], pa.binary())], names=["cls", "n", "body"])
 
-    return lines.mapInArrow(pick, "cls long, n long, body binary")
+    return docs.select("text").mapInArrow(pick, "cls long, line string").dropDuplicates(["cls"]).mapInArrow(
+        cut, "cls long, n long, body binary")
 
 
 def dropped_lines(docs: DataFrame, found: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:
     """(row_id, line) of the lines that go; ``docs`` has row_id, doc_id and text, ``found`` its occurrences."""
     found = found.filter("cls IS NOT NULL")
     mark = staged_tables()
-    lines = stage(distinct_lines(docs))
-    parts = partitions_for(docs.sparkSession, BANDS * lines.count(), ROWS_PER_TASK)
-    shared = stage(shared_keys(_banded(lines, parts), parts))
-    comps = stage(link_shared(shared, lambda bits: _bodies(lines, bits), PERCENT, region, levels))
+    parts = partitions_for(docs.sparkSession, BANDS * found.count(), ROWS_PER_TASK)
+    shared = stage(shared_keys(_banded(docs, parts), parts))
+    comps = stage(link_shared(shared, lambda bits: _bodies(docs, bits), PERCENT, region, levels))
     release(docs.sparkSession, staged_since(mark)[:-1])
     grouped = stage(found.join(comps, found["cls"] == comps["node"], "left").select(
         "row_id", "doc_id", "line", F.coalesce("component", "cls").alias("group")))
