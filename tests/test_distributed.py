@@ -48,6 +48,32 @@ def test_order_statistics(spark):
         assert float(r.q) == vals[int(len(vals) * 0.25)] and r.n == 57
 
 
+def test_order_statistics_at_every_level(spark):
+    """Ranges of eight, ties, negative values and several values of one position."""
+    rnd = random.Random(12)
+    data = [(k, rnd.choice([-7.25, 0.0, 0.001, 0.002, 3.0, rnd.randint(-90, 900) / 4])) for k in range(5)
+            for _ in range(rnd.randint(1, 40))] + [(9, None)]
+    df = spark.createDataFrame(data, "k int, v double").withColumn("v", F.col("v").cast("decimal(18,3)"))
+    ranks = {"a": F.lit(0), "b": F.floor((F.col("_n") - 1) / 2), "c": F.floor(F.col("_n") * 0.75), "d": F.col("_n") - 1}
+    for levels in (1, 2, 4):
+        got = {r.k: r for r in order_statistics(df, ["k"], "v", ranks, levels=levels, bits=3).collect()}
+        assert set(got) == set(range(5))
+        for k, r in got.items():
+            vals = sorted(v for j, v in data if j == k)
+            n = len(vals)
+            want = [vals[i] for i in (0, (n - 1) // 2, int(n * 0.75), n - 1)]
+            assert r.n == n and [float(r[x]) for x in "abcd"] == want
+
+
+def test_quartiles_read_units_once(spark, sf_dir):
+    """Both fields are counted in one read; the levels go over the staged counts."""
+    from unitwise.operators import outliers
+    plan = outliers.highlights(T.units(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_totalprice") > 0 and "_pos" in plan
+    scans = [line for line in plan.splitlines() if "Relation [" in line]
+    assert sum("o_orderkey" in line for line in scans) == 1
+
+
 def brute_align(truth, found):
     used, out = set(), {}
     for i, g in truth:

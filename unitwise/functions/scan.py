@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitwise.session import stage
+
 BITS = 16
 
 
@@ -105,23 +107,38 @@ def numbered(df: DataFrame, keys: Sequence[str], pos: str, out: str,
     return running(df, keys, pos, {out: F.lit(1).cast("long")}, "sum", levels, order=order)
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
-                     ranks: dict[str, Column], scale: int = 100, levels: int = 3) -> DataFrame:
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
+                     scale: int = 100, levels: int = 3, bits: int = BITS) -> DataFrame:
     """Exact values at given 0-based ranks of ``value`` inside ``keys``.
 
-    ``ranks`` maps an output name to the wanted rank as an expression over
-    ``_n``, the number of values of the key. Equal values are counted before
-    anything is ordered, so the scan sees each distinct value once.
+    ``ranks`` maps an output name to the wanted rank as an expression over ``_n``, the number of values of
+    the key. Equal values are counted first, in the only read of ``df``; the counts are staged. They are then
+    summed by value range, the range that
+    holds a rank is found, and only its part of the counts is summed by finer ranges, ``levels`` times:
+    one aggregation a level, whose windows see the ranges inside one range, ``2**bits`` at most below the
+    topmost level.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_pos", F.floor(F.col(value) * scale).cast("long"))
-    cum = running(counts, keys, "_pos", {"_upto": F.col("_c")}, "sum", levels,
-                  order=[F.col("_pos"), F.col(value)])
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    located = cum.join(sizes, keys)
-    holds = lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))
-    return located.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        *[F.max(F.when(holds(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
+    counts = stage(df.filter(F.col(value).isNotNull()).groupBy(
+        *keys, F.floor(F.col(value) * scale).cast("long").alias("_pos"), F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")))
+    wanted = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*keys, "_n", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_r")) for name, rank in ranks.items()])).alias("_w")
+    ).select(*keys, "_n", "_w.*")
+    found = None
+    for level in range(levels - 1, -1, -1):
+        at = F.struct("_pos", "_v") if level == 0 else F.shiftright("_pos", bits * level)
+        ranges = counts.withColumn("_at", at)
+        if found is None:
+            sums = ranges.groupBy(*keys, "_at").agg(F.sum("_c").alias("_c")).join(wanted, keys)
+        else:
+            outer = F.shiftright("_pos", bits * (level + 1))
+            sums = ranges.withColumn("_outer", outer).join(found, [*keys, "_outer"]).groupBy(
+                *keys, "_n", "_name", "_r", "_at").agg(F.sum("_c").alias("_c"))
+        order = Window.partitionBy(*keys, "_name").orderBy("_at").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        found = sums.withColumn("_upto", F.sum("_c").over(order)).filter(
+            (F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c"))).select(
+            *keys, "_n", "_name", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_r"), F.col("_at").alias("_outer"))
+    return found.groupBy(*keys).agg(F.max("_n").alias("n"), *[
+        F.max(F.when(F.col("_name") == name, F.col("_outer")["_v"])).alias(name) for name in ranks])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitwise.functions import fixed_values as V
@@ -10,41 +10,44 @@ from unitwise.functions.scan import order_statistics
 from unitwise.operators.stats import pays_rent, tenanted
 
 
-def iqr_bounds(units: DataFrame, value: str, when: Column) -> DataFrame:
-    """Quartiles (no interpolation), median, fences and mean per document."""
-    pool = units.filter(when).select("doc_id", F.col(value).cast("decimal(18,2)").alias("v"))
+def quartiles(units: DataFrame, fields: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Quartiles (no interpolation), median and fences per document and field, all fields in one pass.
+
+    ``fields`` maps a name to the column and the condition of the rows that count.
+    """
+    pool = units.select("doc_id", F.explode(F.array_compact(F.array(*[
+        F.when(when, F.struct(F.lit(name).alias("name"), F.col(value).cast("decimal(18,2)").alias("v")))
+        for name, (value, when) in fields.items()]))).alias("x")).select("doc_id", "x.name", "x.v")
     n = F.col("_n")
-    q = order_statistics(pool, ["doc_id"], "v", {
+    q = order_statistics(pool, ["doc_id", "name"], "v", {
         "q1": F.floor(n * F.expr("0.25")), "q3": F.floor(n * F.expr("0.75")),
-        "m1": F.floor((n - 1) / 2), "m2": F.floor(n / 2)})
-    mean = pool.groupBy("doc_id").agg(
-        F.sum("v").cast("decimal(28,2)").alias("total"),
-        F.stddev_pop(F.col("v").cast("double")).alias("std_dev"))
+        "m1": F.floor((n - 1) / 2), "m2": F.floor(n / 2)}, levels=2)  # cents below 2^32 are 2^16 ranges
     iqr = F.col("q3") - F.col("q1")
-    return q.join(mean, "doc_id").select(
-        "doc_id", "n", "q1", "q3", ((F.col("m1") + F.col("m2")) / 2).cast("decimal(18,3)")
+    return q.select(
+        "doc_id", "name", "n", "q1", "q3", ((F.col("m1") + F.col("m2")) / 2).cast("decimal(18,3)")
         .alias("median"), iqr.cast("decimal(18,2)").alias("iqr"),
         (F.col("q1") - iqr * F.expr("1.5")).cast("decimal(18,3)").alias("lower"),
-        (F.col("q3") + iqr * F.expr("1.5")).cast("decimal(18,3)").alias("upper"),
-        "total", "std_dev")
+        (F.col("q3") + iqr * F.expr("1.5")).cast("decimal(18,3)").alias("upper"))
 
 
-def _flag(kind: str) -> Column:
-    return F.lit(kind)
+def iqr_bounds(units: DataFrame, value: str, when: Column) -> DataFrame:
+    """:func:`quartiles` of one field, with total and standard deviation."""
+    pool = units.filter(when).select("doc_id", F.col(value).cast("decimal(18,2)").alias("v"))
+    mean = pool.filter("v IS NOT NULL").groupBy("doc_id").agg(
+        F.sum("v").cast("decimal(28,2)").alias("total"),
+        F.stddev_pop(F.col("v").cast("double")).alias("std_dev"))
+    return quartiles(units, {value: (value, when)}).drop("name").join(mean, "doc_id")
 
 
 def highlights(units: DataFrame, pos: str = "unit_row_id") -> DataFrame:
     """One row per highlighted field; the last matching rule of a field stands."""
-    rent_b = iqr_bounds(units, "monthly_rent", pays_rent()).select(
-        "doc_id", F.col("n").alias("r_n"), F.col("iqr").alias("r_iqr"),
-        F.col("lower").alias("r_lo"), F.col("upper").alias("r_hi"))
-    sqft_b = iqr_bounds(units, "unit_sqft", F.col("unit_sqft") > 0).select(
-        "doc_id", F.col("n").alias("s_n"), F.col("iqr").alias("s_iqr"),
-        F.col("lower").alias("s_lo"), F.col("upper").alias("s_hi"))
-    t = units.join(rent_b, "doc_id", "left").join(sqft_b, "doc_id", "left")
+    stats = quartiles(units, {"r": ("monthly_rent", pays_rent()), "s": ("unit_sqft", F.col("unit_sqft") > 0)})
+    bounds = stats.groupBy("doc_id").agg(*[
+        F.max(F.when(F.col("name") == k, F.col(c))).alias(f"{k}_{c}") for k in ("r", "s") for c in ("n", "iqr", "lower", "upper")])
+    t = units.join(bounds, "doc_id", "left")
     rent, sqft = F.col("monthly_rent"), F.col("unit_sqft").cast("decimal(18,2)")
     outside = lambda v, p: (F.col(f"{p}_n") >= 5) & (F.col(f"{p}_iqr") > 0) & (
-        (v < F.col(f"{p}_lo")) | (v > F.col(f"{p}_hi")))
+        (v < F.col(f"{p}_lower")) | (v > F.col(f"{p}_upper")))
     name = F.trim(F.coalesce("tenant_name", F.lit("")))
     rent_type = (
         F.when(rent > 10000, "warning")
