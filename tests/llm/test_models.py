@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from samples import EDGE, corpus
@@ -34,34 +35,105 @@ def test_language_edge_cases(spark, tables):
         "lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_models_are_probabilities():
-    texts = ["abracadabra abra cadabra", "barbara cab"]
-    import pandas as pd
-    counted = next(language._count_grams(iter([pd.DataFrame({"lang": ["x", "y"], "text": texts})])))
-    both = pd.concat(language._count_grams(iter([pd.DataFrame({"lang": ["x", "y"], "text": texts})])))
-    assert len(counted) < len(both)
-    models = language.build_models(both)
-    letters = sorted({chr(x) for g in both["gram"] for x in np.frombuffer(g, np.uint32)[-1:]})
-    for before in ("", "ab", "abr"):
-        total = sum(np.exp(_last_log(models, before + c)) for c in letters)
-        assert (total <= 1 + 1e-6).all() and (total > 0.5).all()
-
-
-def _last_log(models, text):
-    flat, _ = language.codes([text])
-    at = len(flat) - language.ORDER - (not text.endswith(" "))  # the closing blank, or the place before it
-    out = np.zeros(len(models.languages))
-    for order in range(language.ORDER, 0, -1):
-        wanted = language.gram_hashes(flat, order)[at]
-        k = np.searchsorted(models.hashes[order - 1], wanted)
-        if k < len(models.hashes[order - 1]) and models.hashes[order - 1][k] == wanted:
-            return out + models.logs[order - 1][k]
-        if order > 1:
-            before = language.context_hashes(flat, order)[at]
-            k = np.searchsorted(models.context_hashes[order - 1], before)
-            if k < len(models.context_hashes[order - 1]) and models.context_hashes[order - 1][k] == before:
-                out = out + models.backoffs[order - 1][k]
-    return out + models.unseen
+def _brute_models(texts):
+    """Interpolated Kneser-Ney of one language, straight from the definition: a function (context, letter) -> p."""
+    grams = {}
+    for text in texts:
+        padded = "\0\0\0" + " ".join(text.lower().split()) + " "
+        for k in range(3, len(padded)):
+            gram = padded[k - 3:k + 1]
+            grams[gram] = grams.get(gram, 0) + 1
+    orders = {4: grams}
+    for order in (3, 2, 1):
+        orders[order] = {}
+        for gram in orders[order + 1]:
+            orders[order][gram[1:]] = orders[order].get(gram[1:], 0) + 1
+    discounts, masses, kinds = {}, {}, {}
+    for order, own in orders.items():
+        once, twice = (sum(n == k for n in own.values()) for k in (1, 2))
+        discounts[order] = once / (once + 2 * twice) if once and twice else 0.5
+        for gram, n in own.items():
+            masses[order, gram[:-1]] = masses.get((order, gram[:-1]), 0) + n
+            kinds[order, gram[:-1]] = kinds.get((order, gram[:-1]), 0) + 1
+
+    def probability(before, letter, letters, order=4):
+        if not order:
+            return 1 / letters
+        context = before[len(before) - order + 1:]
+        lower = probability(before, letter, letters, order - 1)
+        if (order, context) not in masses:
+            return lower
+        own = max(orders[order].get(context + letter, 0) - discounts[order], 0)
+        return (own + discounts[order] * kinds[order, context] * lower) / masses[order, context]
+    return probability, set(orders[1])
+
+
+def _languages(n, seed, rows=24):
+    """Rows (doc_id, text, lang) of ``n`` languages of their own letters and words, every third without blanks."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        letters = [chr(c) for c in rng.choice(np.arange(0x4E00, 0x4E80) if k % 3 == 0 else np.arange(97, 123), 18, False)]
+        words = ["".join(rng.choice(letters, rng.integers(1, 6))) for _ in range(60)]
+        for _ in range(rows):
+            out.append((len(out), ("" if k % 3 == 0 else " ").join(rng.choice(words, 40)), f"l{k:02d}"))
+    return out
+
+
+@pytest.mark.parametrize("cells", [1, 60_000, 10**9])
+def test_models_equal_an_independent_kneser_ney(spark, cells):
+    rows = _languages(7, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    places = {(r.lang, r.text): r.place for r in language.sample_rows(docs).collect()}
+    learned = [g.value for g in language.learn(docs, cells)]
+    assert [x for m in learned for x in m.languages] == [f"l{k:02d}" for k in range(7)]
+    assert len(learned) == {1: 7, 10**9: 1}.get(cells, len(learned)) and (cells != 60_000 or 1 < len(learned) < 7)
+    brute = {}
+    for lang in sorted({r[2] for r in rows}):
+        texts = {r[1] for r in rows if r[2] == lang}
+        brute[lang] = _brute_models([t for t in sorted(texts) if (p := places.get((lang, t))) and (p % 5 or p < 5)])
+    letters = len(set().union(*(x for _, x in brute.values()))) + 1
+    probes = [rows[0][1], rows[30][1][:50], rows[100][1] + " \u00fc" + rows[1][1][:9], "q", "\u4e01 zz \u4eff"]
+    for models in learned:
+        values, chars = models.entropy(probes)
+        for i, text in enumerate(probes):
+            padded = "\0\0\0" + " ".join(text.lower().split()) + " "
+            assert chars[i] == len(padded) - 3
+            for j, lang in enumerate(models.languages):
+                want = -np.mean([np.log(brute[lang][0](padded[k - 3:k], padded[k], letters)) for k in range(3, len(padded))])
+                assert abs(values[i, j] - want) < 1e-4
+
+
+def test_probabilities_sum_to_one(spark):
+    counted = spark.createDataFrame(next(language._count_grams(iter([pd.DataFrame(
+        {"lang": "x", "text": ["abracadabra abra cadabra", "barbara cab"]})]))), "lang string, gram binary, n long")
+    model = language.kneser_ney(counted).toPandas()
+    for (size, _), rows in model.groupby(["size", "context"]):
+        left = 1 - rows["p"].sum()
+        assert -1e-9 < left < 1 and (size > 1 or abs(left - rows["backoff"].iloc[0] / rows["letters"].iloc[0]) < 1e-9)
+
+
+def test_many_languages_in_groups(spark, monkeypatch):
+    rows = _languages(50, 5, 40)
+    monkeypatch.setattr(language, "GROUPS_AT_ONCE", 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    one = {r.doc_id: r for r in language.language_id(docs).collect()}
+    monkeypatch.setattr(language, "CELLS", 60_000)
+    many = {r.doc_id: r for r in language.language_id(docs).collect()}
+    want = {r[0]: r[2] for r in rows}
+    assert sum(one[k].lang_pred == want[k] for k in want) >= 0.99 * len(want)
+    for k in want:
+        assert one[k].lang_pred == many[k].lang_pred and one[k].rejected == many[k].rejected
+        assert abs(one[k].score - many[k].score) < 1e-3
+
+
+def test_sample_is_bounded_and_takes_equal_rows_once(spark):
+    docs = spark.range(3000).selectExpr("id % 2000 AS doc_id", "concat('text ', id % 2000) AS text", "'xx' AS lang")
+    sample = language.sample_rows(docs).collect()
+    assert len(sample) == language.DOCS_PER_LANGUAGE == len({r.text for r in sample})
+    assert {r.place for r in sample} == set(range(1, language.DOCS_PER_LANGUAGE + 1))
+    few = language.sample_rows(docs.filter("doc_id < 20")).count()
+    assert 18 <= few <= 20
 
 
 def test_quality_on_held_out_rows(spark, tables):

@@ -2,20 +2,28 @@
 
 One model per language over characters folded to lower case, learned from a bounded
 sample of labelled rows (``DOCS_PER_LANGUAGE`` rows of each language, whole texts).
-N-gram counts are made and summed by Spark; of each language the ``GRAMS_PER_LANGUAGE``
-most frequent highest-order grams stay, ``GRAMS_IN_ALL`` at most. The models share one sorted array of gram
-hashes per order with a column of log probabilities and of back-off weights for each
-language, so a text is scored for all languages in one look-up per character.
+Spark counts the n-grams of the sample and derives continuation counts, discounts,
+back-off weights and probabilities by grouping and joining; every gram of every language
+stays. Languages are taken in groups of at most ``CELLS`` table cells (one language at
+least). A group's models share one sorted array of gram hashes per order with a column of
+log probabilities and of back-off weights for each language, so a text is scored for the
+whole group in one look-up per character. Texts pass group after group and carry their
+best language along; which languages share a group changes no result.
 
 A text gets the language of lowest cross-entropy per character. ``rejected`` marks texts
 whose best cross-entropy lies above the calibrated limit of that language: the
 ``REJECT_QUANTILE`` of sample rows kept out of the counts, plus an allowance for short
 texts. The score is the posterior of the winner, softened for short texts.
 
+Memory: a task holds one group's arrays and the texts of ``_BYTES_AT_ONCE`` at a time; the
+driver one group's. After every ``GROUPS_AT_ONCE`` groups the texts are staged, so that no
+executor holds more groups than that.
+
 Defined results: a null text or one without a letter is ``und`` with score 0 and
 rejected; so is every text when no language can be learned. Rows with a null language
-are never learned from. Ties go to the language that sorts first. Repeated rows give
-repeated rows. Other columns are ignored, an empty table gives an empty result.
+are never learned from; equal rows are learned from once. Ties go to the language that
+sorts first. Repeated rows give repeated rows. Other columns are ignored, an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +43,14 @@ from unitwise.session import stage
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 600
-GRAMS_PER_LANGUAGE = 200_000
-GRAMS_IN_ALL = 1_000_000
 REJECT_QUANTILE = 0.999
-#: Languages beyond this many, the rarest in the sample first, are not learned.
-MAX_LANGUAGES = 200
+#: The sample keeps the least hash of each of these buckets of a language, then the least hashes of all.
+BUCKETS = 8192
+#: Grams of the highest order times languages of a group, 4 bytes each.
+CELLS = 16_000_000
+GROUPS_AT_ONCE = 8
 _BYTES_AT_ONCE = 1 << 20
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double"
-
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each behind ``ORDER - 1`` zeros, and where each text ends."""
@@ -100,7 +108,7 @@ class Models:
     logs: list[np.ndarray]
     context_hashes: list[np.ndarray]
     backoffs: list[np.ndarray]
-    unseen: float
+    unseen: np.ndarray
     limits: np.ndarray | None = None
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,140 +132,167 @@ class Models:
                                 len(self.context_hashes[order - 1]) - 1)
                 known = self.context_hashes[order - 1][at] == before
                 total[open_[known]] += self.backoffs[order - 1][at[known]]
-        total[open_] += np.float32(self.unseen)
+        total[open_] += self.unseen
         starts = np.concatenate([[0], ends[:-1]])
         sums = np.add.reduceat(total, np.minimum(starts, n - 1), axis=0) if n else np.zeros((0, len(self.languages)))
         chars = ends - starts - (ORDER - 1)
         return -sums / chars[:, None], chars
 
 
-def _interpolated(grams: np.ndarray, counts: np.ndarray, alphabet: int) -> list[dict]:
-    """Per order: {gram bytes: probability} and {context bytes: back-off} of one language.
+def _weights(counted: DataFrame) -> DataFrame:
+    """(lang, size, gram, w) of all orders: counts of the highest, distinct left neighbours below."""
+    every = current = counted.select("lang", F.lit(ORDER).alias("size"), "gram", F.col("n").cast("double").alias("w"))
+    for order in range(ORDER - 1, 0, -1):
+        current = current.groupBy("lang", F.expr("substring(gram, 5)").alias("gram")).agg(
+            F.count(F.lit(1)).cast("double").alias("w")).select("lang", F.lit(order).alias("size"), "gram", "w")
+        every = every.unionByName(current)
+    return every
+
 
-    Orders below the highest count distinct left neighbours (continuations); each order
-    has one absolute discount estimated from its counts of counts.
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """All models from (lang, gram, n) rows, as (lang, size, gram, p, context, backoff).
+
+    ``p`` is the interpolated probability of the gram's last character after the others;
+    ``backoff`` the weight its context gives the next lower order. Each order of a language
+    has one absolute discount, from its counts of counts.
     """
-    orders = []
-    current, weight = grams, counts.astype(np.float64)
-    for order in range(ORDER, 0, -1):
-        orders.append((order, current, weight))
-        if order > 1:
-            current, weight = np.unique(current[:, 1:], axis=0, return_counts=True)
-            weight = weight.astype(np.float64)
-    out = []
-    lower: dict[bytes, float] = {}
-    for order, current, weight in reversed(orders):
-        once, twice = (weight == 1).sum(), (weight == 2).sum()
-        discount = once / (once + 2 * twice) if once and twice else 0.5
-        before, where = np.unique(current[:, :-1], axis=0, return_inverse=True)
-        where = where.ravel()
-        mass = np.bincount(where, weight)
-        kinds = np.bincount(where)
-        backoff = discount * kinds / mass
-        probability = np.maximum(weight - discount, 0) / mass[where]
-        keys = [x.tobytes() for x in current]
-        if order == 1:
-            probability = probability + backoff[where] / alphabet
-        else:
-            probability = probability + backoff[where] * np.array([lower[k[4:]] for k in keys])
-        lower = dict(zip(keys, probability.tolist(), strict=True))
-        out.append({"grams": lower, "contexts": {x.tobytes(): b for x, b in zip(before, backoff, strict=True)}})
-    return out
-
-
-def build_models(counted: pd.DataFrame) -> Models:
-    """Models from (lang, gram, n) rows of the bounded sample."""
-    languages = sorted(counted["lang"].unique())
-    parts = []
-    letters: set[int] = set()
-    for lang in languages:
-        own = counted[counted["lang"] == lang]
-        grams = np.frombuffer(b"".join(own["gram"]), np.uint32).reshape(-1, ORDER)
-        letters.update(grams[:, -1].tolist())
-        parts.append((grams, own["n"].to_numpy()))
-    alphabet = len(letters) + 1
-    per = [_interpolated(grams, n, alphabet) for grams, n in parts]
-    hashes, logs, before, backoffs = [], [], [], []
-    for order in range(1, ORDER + 1):
-        keys = sorted(set().union(*(p[order - 1]["grams"] for p in per)))
-        table = np.empty((len(keys), len(languages)))
-        for j, p in enumerate(per):
-            for i, key in enumerate(keys):
-                table[i, j] = _probability(p, key, order, alphabet)
-        contexts = sorted(set().union(*(p[order - 1]["contexts"] for p in per)))
-        weights = np.array([[p[order - 1]["contexts"].get(c, 1.0) for p in per] for c in contexts])
-        for keys_, values, size, names, columns in ((keys, table, order, hashes, logs),
-                                                    (contexts, weights, order - 1, before, backoffs)):
-            hashed = _hash_keys(keys_, size)
-            by = np.argsort(hashed)
-            names.append(hashed[by])
-            columns.append(np.log(np.maximum(values[by], 1e-12)).astype(np.float32))
-    return Models(languages, hashes, logs, before, backoffs, float(np.log(0.5 / alphabet)))
-
-
-def _probability(model: list[dict], key: bytes, order: int, alphabet: int) -> float:
-    """Interpolated probability of the last character of ``key`` after the others."""
-    weight = 1.0
-    while order:
-        found = model[order - 1]["grams"].get(key)
-        if found is not None:
-            return weight * found
-        weight *= model[order - 1]["contexts"].get(key[:-4], 1.0)
-        key, order = key[4:], order - 1
-    return weight / alphabet
+    every = stage(_weights(counted).withColumn("context", F.expr("substring(gram, 1, 4 * (size - 1))")))
+    discount = every.groupBy("lang", "size").agg(
+        F.count_if(F.col("w") == 1).alias("once"), F.count_if(F.col("w") == 2).alias("twice")).select(
+        "lang", "size", F.when((F.col("once") > 0) & (F.col("twice") > 0), F.col("once") / (
+            F.col("once") + 2 * F.col("twice"))).otherwise(0.5).alias("discount"))
+    after = every.groupBy("lang", "size", "context").agg(F.sum("w").alias("mass"), F.count(F.lit(1)).alias("kinds"))
+    after = after.join(discount, ["lang", "size"]).withColumn(
+        "backoff", F.col("discount") * F.col("kinds") / F.col("mass"))
+    own = stage(every.join(after, ["lang", "size", "context"]).select(
+        "lang", "size", "gram", "context", "backoff",
+        (F.greatest(F.col("w") - F.col("discount"), F.lit(0.0)) / F.col("mass")).alias("own")))
+    letters = every.filter("size = 1").agg(F.count_distinct("gram")).first()[0]
+    found = lower = own.filter("size = 1").withColumn("p", F.col("own") + F.col("backoff") / (letters + 1)).drop("own")
+    for order in range(2, ORDER + 1):
+        below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        lower = own.filter(F.col("size") == order).withColumn("suffix", F.expr("substring(gram, 5)")).join(
+            below, ["lang", "suffix"]).withColumn("p", F.col("own") + F.col("backoff") * F.col("q")).drop(
+            "own", "suffix", "q")
+        found = found.unionByName(lower)
+    return found.withColumn("letters", F.lit(letters + 1))
 
 
 def _hash_keys(keys: list[bytes], size: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(keys), np.uint32).reshape(len(keys), size).astype(np.uint64)
     out = np.full(len(keys), size, np.uint64)
+    flat = np.frombuffer(b"".join(keys), np.uint32).reshape(len(keys), size).astype(np.uint64)
     for k in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + flat[:, k] + np.uint64(1))
     return out | np.uint64(1)
 
 
-def learn(rows: DataFrame) -> Models | None:
-    """Models and rejection limits from labelled rows (doc_id, text, lang); None without any."""
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Grams, the grams one shorter that end them and their contexts, as hashes."""
+    for pdf in batches:
+        for size, rows in pdf.groupby("size"):
+            grams = [bytes(x) for x in rows["gram"]]
+            hashed = {"gram": _hash_keys(grams, size), "suffix": _hash_keys([x[4:] for x in grams], size - 1),
+                      "context": _hash_keys([x[:-4] for x in grams], size - 1)}
+            yield pd.DataFrame({"lang": rows["lang"], "size": size, "log_p": np.log(rows["p"]),
+                                "log_b": np.log(rows["backoff"]), **{k: v.view(np.int64) for k, v in hashed.items()}})
+
+
+def build_models(languages: list[str], rows: pa.Table, letters: int) -> Models:
+    """Models of a group from its hashed rows; what a language lacks backs off to its lower order."""
+    code = {x: k for k, x in enumerate(languages)}
+    column = lambda name: rows.column(name).to_numpy()
+    unsigned = lambda name: column(name).astype(np.int64).view(np.uint64)
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    own = np.array([code[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    size, log_p, log_b = column("size"), column("log_p"), column("log_b")
+    gram, suffix, context = (unsigned(x) for x in ("gram", "suffix", "context"))
+    hashes, logs, before, backoffs = [], [], [], []
+    below = unseen = None
+    for order in range(1, ORDER + 1):
+        at = np.flatnonzero(size == order)
+        keys, first, where = np.unique(gram[at], return_index=True, return_inverse=True)
+        contexts, place = np.unique(context[at], return_inverse=True)
+        weight = np.zeros((len(contexts), len(languages)))
+        weight[place, own[at]] = log_b[at]
+        if order == 1:
+            unseen = weight[0] - np.log(letters)
+            table = np.tile(unseen, (len(keys), 1))
+        else:
+            table = weight[place[first]] + below[np.searchsorted(hashes[-1], suffix[at][first])]
+        table[where, own[at]] = log_p[at]
+        below = table
+        for kept, value in ((hashes, keys), (logs, table.astype(np.float32)), (before, contexts),
+                            (backoffs, weight.astype(np.float32))):
+            kept.append(value)
+    return Models(languages, hashes, logs, before, backoffs, unseen.astype(np.float32))
+
+
+def sample_rows(rows: DataFrame) -> DataFrame:
+    """At most ``DOCS_PER_LANGUAGE`` rows (lang, place, text) of each language, by hash; the texts move last."""
+    usable = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select(
+        "lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    least = usable.groupBy("lang", F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.min("h").alias("h"))
+    chosen = stage(least.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(
+        F.col("place") <= DOCS_PER_LANGUAGE).select("lang", "h", "place"))
+    return usable.join(chosen, ["lang", "h"]).groupBy("lang", "h", "place").agg(F.min("text").alias("text")).drop("h")
+
+
+def language_groups(sizes: dict[str, int], cells: int) -> list[list[str]]:
+    """Languages in order, cut so that a group's grams times its languages stay within ``cells``."""
+    groups: list[list[str]] = []
+    grams = 0
+    for lang in sorted(sizes):
+        grams += sizes[lang]
+        if not groups or grams * (len(groups[-1]) + 1) > cells:
+            groups.append([])
+            grams = sizes[lang]
+        groups[-1].append(lang)
+    return groups
+
+
+def learn(rows: DataFrame, cells: int | None = None) -> list[Broadcast[Models]]:
+    """Models and rejection limits from labelled rows (doc_id, text, lang), by groups of languages."""
     spark = rows.sparkSession
-    usable = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id")
-    sample = stage(usable.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= DOCS_PER_LANGUAGE))
-    known = [r["lang"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-             .limit(MAX_LANGUAGES).collect()]
-    if not known:
-        return None
-    sample = sample.filter(F.col("lang").isin(known)).repartition(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    sample = stage(sample_rows(rows)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "place")
     # Every fifth row is kept out of the counts and sets the limits, unless a language has too few.
     counting = sample.filter((F.col("place") % 5 != 0) | (F.col("place") < 5))
-    summed = counting.mapInPandas(_count_grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(
+    counted = counting.mapInPandas(_count_grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    most = min(GRAMS_PER_LANGUAGE, GRAMS_IN_ALL // len(known))
-    counted = summed.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).drop("r")
-    found = counted.toPandas()
-    if found.empty:
-        return None
-    models = build_models(found)
-    shared = spark.sparkContext.broadcast(models)
+    model = stage(kneser_ney(counted))
+    hashed = stage(model.mapInPandas(
+        _hashed, "lang string, size int, gram long, suffix long, context long, log_p double, log_b double"))
+    sizes = {r["lang"]: r["count"] for r in hashed.filter(F.col("size") == ORDER).groupBy("lang").count().collect()}
+    groups = []
+    for languages in language_groups(sizes, cells or CELLS):
+        letters = model.select("letters").first()[0]
+        models = build_models(languages, hashed.filter(F.col("lang").isin(languages)).toArrow(), letters)
+        models.limits = _limits(sample.filter("place % 5 = 0").filter(F.col("lang").isin(languages)), models)
+        groups.append(spark.sparkContext.broadcast(models))
+    return groups
+
+
+def _limits(held: DataFrame, models: Models) -> np.ndarray:
+    """The highest cross-entropy a language accepts, from its rows outside the counts."""
+    shared = held.sparkSession.sparkContext.broadcast(models)
 
     def entropies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for pdf in batches:
-            rows_ = pdf[pdf["lang"].isin(own.languages)]
-            if len(rows_):
-                values, chars = own.entropy(rows_["text"].tolist())
-                place = [own.languages.index(x) for x in rows_["lang"]]
-                yield pd.DataFrame({"lang": rows_["lang"], "entropy": values[np.arange(len(rows_)), place],
+            if len(pdf):
+                values, chars = own.entropy(pdf["text"].tolist())
+                place = [own.languages.index(x) for x in pdf["lang"]]
+                yield pd.DataFrame({"lang": pdf["lang"], "entropy": values[np.arange(len(pdf)), place],
                                     "chars": chars})
 
-    held = sample.filter("place % 5 = 0").mapInPandas(entropies, "lang string, entropy double, chars long").toPandas()
+    found = held.mapInPandas(entropies, "lang string, entropy double, chars long").toPandas()
+    shared.destroy()
     limits = np.full(len(models.languages), np.inf)
     for j, lang in enumerate(models.languages):
-        own = held[held["lang"] == lang]
+        own = found[found["lang"] == lang]
         if len(own) >= 10:
             limits[j] = np.quantile(own["entropy"] - _allowance(own["chars"].to_numpy()), REJECT_QUANTILE)
-    models.limits = limits
-    return models
+    return limits
 
 
 def _allowance(chars: np.ndarray) -> np.ndarray:
@@ -265,36 +300,57 @@ def _allowance(chars: np.ndarray) -> np.ndarray:
     return 3.0 / np.sqrt(np.maximum(chars, 1))
 
 
-def identify(docs: DataFrame, models: Models | None) -> DataFrame:
-    """One row of ``SCHEMA`` per row of ``docs`` (doc_id, text, held_out)."""
-    prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+_STATE = "doc_id long, text string, held_out boolean, best string, low double, mass double, beyond boolean"
+
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(shared: Broadcast[Models]):
+    """Carry each text's best language so far past one more group of languages."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         letter = regex.compile(r"\p{L}")
         own = shared.value
         for batch in slices(batches, "text", _BYTES_AT_ONCE):
             texts = batch.column("text").to_pylist()
-            usable = [i for i, t in enumerate(texts) if own is not None and t and letter.search(t)]
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            rejected, entropy = np.ones(len(texts), bool), [None] * len(texts)
+            best, low, mass, beyond = (batch.column(x).to_pylist() for x in ("best", "low", "mass", "beyond"))
+            usable = [i for i, t in enumerate(texts) if t and letter.search(t)]
             if usable:
                 values, chars = own.entropy([texts[i] for i in usable])
-                best = values.argmin(axis=1)
-                low = values[np.arange(len(best)), best]
-                gaps = (values - low[:, None]) * np.minimum(chars, 50)[:, None]
-                posterior = 1.0 / np.exp(-np.minimum(gaps, 700)).sum(axis=1)
-                beyond = low - _allowance(chars) > own.limits[best]
+                winner = values.argmin(axis=1)
+                least = values[np.arange(len(winner)), winner]
+                spread = np.minimum(chars, 50)
+                parts = np.exp(-np.minimum((values - least[:, None]) * spread[:, None], 700)).sum(axis=1)
+                over = least - _allowance(chars) > own.limits[winner]
                 for k, i in enumerate(usable):
-                    lang[i], score[i] = own.languages[best[k]], posterior[k]
-                    rejected[i], entropy[i] = beyond[k], float(low[k])
+                    new, weight = float(least[k]), float(parts[k])
+                    if best[i] is None:
+                        best[i], low[i], mass[i], beyond[i] = own.languages[winner[k]], new, weight, bool(over[k])
+                        continue
+                    fall = float(np.exp(-min(abs(new - low[i]) * spread[k], 700)))
+                    if new < low[i]:
+                        mass[i] = mass[i] * fall + weight
+                        best[i], low[i], beyond[i] = own.languages[winner[k]], new, bool(over[k])
+                    else:
+                        mass[i] += weight * fall
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(lang), pa.array(score),
-                 pa.array(rejected), pa.array(entropy, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy"])
+                [batch.column("doc_id"), batch.column("text"), batch.column("held_out"), pa.array(best, pa.string()),
+                 pa.array(low, pa.float64()), pa.array(mass, pa.float64()), pa.array(beyond, pa.bool_())],
+                names=["doc_id", "text", "held_out", "best", "low", "mass", "beyond"])
+    return score
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text", "held_out").mapInArrow(predict, SCHEMA)
+
+def identify(docs: DataFrame, groups: list[Broadcast[Models]]) -> DataFrame:
+    """One row (doc_id, held_out, lang_pred, score, rejected, cross_entropy) per row of ``docs`` (doc_id, text, held_out)."""
+    prepare(docs.sparkSession)
+    rows = docs.selectExpr(
+        "CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text", "held_out", "CAST(NULL AS STRING) AS best",
+        "CAST(NULL AS DOUBLE) AS low", "CAST(NULL AS DOUBLE) AS mass", "CAST(NULL AS BOOLEAN) AS beyond")
+    for k, shared in enumerate(groups):
+        if k and k % GROUPS_AT_ONCE == 0:
+            rows = stage(rows)
+        rows = rows.mapInArrow(_scorer(shared), _STATE)
+    return rows.selectExpr(
+        "doc_id", "held_out", "coalesce(best, 'und') AS lang_pred", "coalesce(1 / mass, 0D) AS score",
+        "coalesce(beyond, true) AS rejected", "low AS cross_entropy")
 
 
 def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:
