@@ -16,6 +16,34 @@ def occurrence_number(df: DataFrame, keys: list[str], pos: str, out: str = "k")
     return numbered(df, keys, pos, out, levels=3)
 
 
+def pair_units(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Matched, missed and invented units together: doc_id, gt_pos, ex_pos, g, a.
+
+    Both sides have doc_id, pos and unit_number; ``g`` and ``a`` hold a side's columns, NULL where it has no
+    partner, as does its position. The k-th copy of a normalized id in the truth meets the k-th in the
+    extraction; a row without an id meets nothing. Both sides are read once and staged together; only ids
+    with copies are numbered, and one aggregation brings the sides together.
+    """
+    def side(df, name, other):
+        own = F.struct(*[F.col(c) for c in df.columns])
+        none = F.lit(None).cast(other.select(F.struct(*other.columns)).schema[0].dataType)
+        g, a = (own, none) if name == "g" else (none, own)
+        unit = S.norm_unit("unit_number")
+        return df.select("doc_id", "pos", F.lit(name).alias("side"), F.when(unit != "", unit).otherwise(
+            F.concat_ws("\0", F.lit(""), F.lit(name), "pos")).alias("id"), g.alias("g"), a.alias("a"))
+
+    rows = stage(side(truth, "g", found).unionByName(side(found, "a", truth)))
+    copied = rows.groupBy("doc_id", "id").agg(
+        F.count_if(F.col("side") == "g").alias("n_g"), F.count_if(F.col("side") == "a").alias("n_a")).filter(
+        "n_g > 1 OR n_a > 1").select("doc_id", "id")
+    single = rows.join(copied, ["doc_id", "id"], "left_anti").withColumn("k", F.lit(1).cast("long"))
+    several = occurrence_number(rows.join(copied, ["doc_id", "id"], "left_semi"), ["doc_id", "id", "side"], "pos")
+    place = lambda name: F.max(F.when(F.col("side") == name, F.col("pos")))
+    return single.unionByName(several).groupBy("doc_id", "id", "k").agg(
+        place("g").alias("gt_pos"), place("a").alias("ex_pos"), F.first("g", ignorenulls=True).alias("g"),
+        F.first("a", ignorenulls=True).alias("a")).drop("id", "k")
+
+
 def align_exact(truth: DataFrame, found: DataFrame) -> DataFrame:
     """k-th copy of a normalized id in the truth to the k-th in the extraction.
 
@@ -200,21 +228,30 @@ def _grade(field: str, has: set[str]) -> Column:
     return S.dates_match(g, a)
 
 
-def score_cells(truth: DataFrame, found: DataFrame, pairs: DataFrame,
+def _sides(truth: DataFrame, found: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """doc_id, gt_pos, ex_pos and the columns of both sides as ``g_*`` and ``a_*``."""
+    names = lambda df: [c for c in df.columns if c not in ("doc_id", "pos")]
+    if pairs is None:
+        return pair_units(truth, found).select(
+            "doc_id", "gt_pos", "ex_pos", *[F.col("g")[c].alias(f"g_{c}") for c in names(truth)],
+            *[F.col("a")[c].alias(f"a_{c}") for c in names(found)])
+    side = lambda df, pos, p: df.select(
+        "doc_id", F.col("pos").alias(pos), *[F.col(c).alias(f"{p}_{c}") for c in names(df)])
+    return side(truth, "gt_pos", "g").join(pairs, ["doc_id", "gt_pos"], "left").join(
+        side(found, "ex_pos", "a"), ["doc_id", "ex_pos"], "full")
+
+
+def score_cells(truth: DataFrame, found: DataFrame, pairs: DataFrame | None = None,
                 fields: DataFrame | None = None,
                 gradable: tuple[str, ...] = V.FIELD_ORDER) -> DataFrame:
     """One row per graded cell: doc_id, pos, field, correct.
 
-    ``fields`` (doc_id, document_fields) says what a document shows; without it
-    all of ``gradable`` count. A missed unit has every field wrong, an
-    extracted unit without a partner is one wrong cell.
+    Units pair by ``pairs``, or without it by :func:`pair_units`. ``fields`` (doc_id, document_fields) says
+    what a document shows; without it all of ``gradable`` count. A missed unit has every field wrong, an
+    extracted unit without a partner is one wrong cell. ``acceptable_rents`` of the truth, if it has that
+    column, are rents that also count as right.
     """
-    tag = lambda df, p: df.select("doc_id", F.col("pos").alias(f"{p}_pos"), *[
-        F.col(c).alias(f"{p[0]}_{c}") for c in df.columns if c not in ("doc_id", "pos")])
-    g = tag(truth, "gt")
-    a = found.select("doc_id", F.col("pos").alias("ex_pos"), *[
-        F.col(c).alias(f"a_{c}") for c in found.columns if c not in ("doc_id", "pos")])
-    t = g.join(pairs, ["doc_id", "gt_pos"], "left").join(a, ["doc_id", "ex_pos"], "left")
+    t = _sides(truth, found, pairs)
     shown = lambda f: F.lit(True)
     if fields is not None:
         t = t.join(fields, "doc_id", "left")
@@ -229,12 +266,10 @@ def score_cells(truth: DataFrame, found: DataFrame, pairs: DataFrame,
     for f in gradable:
         ok = F.when(matched, _grade(f, has)).otherwise(False)
         cells.append(F.when(shown(f) & ok.isNotNull(), cell(f, ok)))
-    graded = t.select("doc_id", F.col("gt_pos").alias("pos"),
-                      F.explode(F.array_compact(F.array(*cells))).alias("c")).select(
+    graded = F.when(F.col("gt_pos").isNotNull(), F.array_compact(F.array(*cells))).otherwise(
+        F.array(cell("hallucinated", F.lit(False))))
+    return t.select("doc_id", F.coalesce("gt_pos", "ex_pos").alias("pos"), F.explode(graded).alias("c")).select(
         "doc_id", "pos", "c.*")
-    extra = hallucinated_units(found, pairs).select(
-        "doc_id", "pos", F.lit("hallucinated").alias("field"), F.lit(False).alias("correct"))
-    return graded.unionByName(extra)
 
 
 def score_rollup(cells: DataFrame) -> DataFrame:

@@ -36,10 +36,6 @@ FOUND = {
     "category": "category",
 }
 _TRUTH = [f for f in FOUND]
-FIELDS = ("status", "monthlyRent", "tenantName", "unitSqft", "unitType", "leaseStartDate", "leaseEndDate",
-          "moveInDate", "moveOutDate", "category")
-
-
 def truth(sp, d):
     return T.units(sp, d).selectExpr("doc_id", f"{_K} * 2 AS pos", *_TRUTH)
 
@@ -55,6 +51,28 @@ def found(sp, d):
     return kept.unionByName(extra)
 
 
+def graded_truth(sp, d):
+    """The truth with what the other fields need: acceptable rents, printed regulation, itemized charges."""
+    return truth(sp, d).selectExpr(
+        "*", "CASE WHEN pos DIV 2 % 6 = 0 THEN array(monthly_rent + 100) END AS acceptable_rents",
+        "CASE pos DIV 2 % 4 WHEN 1 THEN 'Rent Stabilized' WHEN 2 THEN concat('Type ', unit_type) WHEN 3 THEN '' END"
+        " AS regulation",
+        "CASE WHEN monthly_rent IS NOT NULL THEN array(named_struct('code', 'RENT', 'amount', CAST(monthly_rent AS"
+        " DECIMAL(18,4)), 'category', 'base_rent'), named_struct('code', 'PARK', 'amount', CAST(45 AS"
+        " DECIMAL(18,4)), 'category', 'parking')) END AS charges")
+
+
+def graded_found(sp, d):
+    """The extraction with captured columns and lines, of which some are named, priced or classed otherwise."""
+    return found(sp, d).selectExpr(
+        "*", "array(named_struct('header', 'Program', 'value', CASE pos DIV 2 % 5 WHEN 1 THEN 'STABILIZED' WHEN 2"
+        " THEN NULL ELSE concat('type-', unit_type) END)) AS source_columns",
+        "CASE WHEN monthly_rent IS NOT NULL THEN array(named_struct('code', CASE WHEN pos DIV 2 % 3 = 0 THEN 'Rent-1'"
+        " ELSE 'RENT' END, 'amount', CAST(monthly_rent AS DECIMAL(18,4)), 'category', CASE WHEN pos DIV 2 % 7 = 2"
+        " THEN 'other' ELSE 'base_rent' END), named_struct('code', 'PARK', 'amount', CAST(CASE WHEN pos DIV 2 % 10 ="
+        " 3 THEN 46 ELSE 45 END AS DECIMAL(18,4)), 'category', 'parking')) END AS charges")
+
+
 _FOUND_SQL = (
     f"SELECT doc_id, {_K} * 2 AS pos, {', '.join(f'{e} AS {n}' for n, e in FOUND.items())} FROM"
     f" rr_units WHERE {_K} % 97 <> 0 UNION ALL SELECT doc_id, {_K} * 2 + 1, concat('ZZ9',"
@@ -81,7 +99,8 @@ _RULE = {
     "presence": "true",
     "status": "(g.status = e.status OR (g.status IN ('applicant','vacant') AND e.status IN"
               " ('applicant','vacant')))",
-    "monthlyRent": _close.format(f="monthly_rent"),
+    "monthlyRent": _close.format(f="monthly_rent") + " OR (g.pos // 2 % 6 = 0 AND abs(g.monthly_rent + 100 -"
+                   " e.monthly_rent) <= greatest(1.0, abs(g.monthly_rent + 100) * 0.005))",
     "tenantName": "CASE WHEN gn IS NULL AND an IS NULL THEN true WHEN gn IS NULL OR an IS NULL THEN"
                   f" false ELSE gn = an OR {_sim} END",
     "unitSqft": _close.format(f="unit_sqft"),
@@ -95,15 +114,22 @@ _RULE = {
     "moveInDate": "g.move_in_date IS NOT DISTINCT FROM e.move_in_date",
     "moveOutDate": "g.move_out_date IS NOT DISTINCT FROM e.move_out_date",
     "category": "g.category = e.category",
+    "regulation": f"CASE g.pos // 2 % 4 WHEN 1 THEN e.pos // 2 % 5 = 1 WHEN 2 THEN e.pos // 2 % 5 NOT IN (1, 2) AND"
+                  f" (contains({_al("concat('type', e.unit_type)")}, {_al("concat('type', g.unit_type)")}) OR"
+                  f" contains({_al("concat('type', g.unit_type)")}, {_al("concat('type', e.unit_type)")}))"
+                  " ELSE true END",
+    "charges": "g.monthly_rent IS NULL OR (abs(g.monthly_rent - e.monthly_rent) <= 0.02 AND e.pos // 2 % 10 <> 3)",
+    "chargeCategories": "abs(g.monthly_rent - e.monthly_rent) <= 0.02 AND e.pos // 2 % 7 <> 2",
 }
 _scored["joined"] = (
-    "SELECT g.doc_id, g.pos, p.ex_pos IS NOT NULL AS hit, " + ", ".join(
+    "SELECT g.doc_id, g.pos, p.ex_pos IS NOT NULL AS hit, g.monthly_rent IS NULL AS bare, " + ", ".join(
         f"coalesce({r}, false) AS \"{f}\"" for f, r in _RULE.items())
     + f" FROM (SELECT *, {_name('tenant_name')} AS gn FROM gt) g LEFT JOIN pairs p ON p.doc_id ="
     f" g.doc_id AND p.gt_pos = g.pos LEFT JOIN (SELECT *, {_name('tenant_name')} AS an FROM ex) e ON"
     " e.doc_id = p.doc_id AND e.pos = p.ex_pos")
 _scored["cells"] = " UNION ALL ".join(
-    f"SELECT doc_id, pos, '{f}' AS field, hit AND \"{f}\" AS correct FROM joined" for f in _RULE
+    f"SELECT doc_id, pos, '{f}' AS field, hit AND \"{f}\" AS correct FROM joined"
+    + (" WHERE NOT (hit AND bare)" if f == "chargeCategories" else "") for f in _RULE
 ) + (" UNION ALL SELECT e.doc_id, e.pos, 'hallucinated', false FROM ex e LEFT JOIN pairs p ON p.doc_id"
      " = e.doc_id AND p.ex_pos = e.pos WHERE p.ex_pos IS NULL")
 
@@ -117,7 +143,7 @@ def pairs(sp, d):
 
 
 def cells(sp, d):
-    return score.score_cells(truth(sp, d), found(sp, d), pairs(sp, d), gradable=FIELDS)
+    return score.score_cells(graded_truth(sp, d), graded_found(sp, d))
 
 
 register("align_exact", pairs, _sql("SELECT * FROM pairs"))
@@ -171,7 +197,7 @@ register("hallucinated_units", lambda sp, d: score.hallucinated_units(
     " ex.doc_id AND p.ex_pos = ex.pos)"))
 register("score_cells", cells, _sql("SELECT * FROM cells"))
 register("score_cells_aligned", lambda sp, d: score.file_scores(score.score_cells(
-    truth(sp, d), found(sp, d), score.align(truth(sp, d), found(sp, d)), gradable=FIELDS)).withColumn(
+    graded_truth(sp, d), graded_found(sp, d), score.align(truth(sp, d), found(sp, d)))).withColumn(
     "accuracy", F.round("accuracy", 6)), _affix_sql(
     f"SELECT doc_id, correct, total, round(accuracy, 6) AS accuracy FROM ({_FILES})",
     joined=_scored["joined"].replace("JOIN pairs p", "JOIN aligned p"),
