@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from unitwise.functions.scan import numbered, order_statistics, running
 from unitwise.operators import cells as C
@@ -272,3 +273,32 @@ def test_stated_rate(spark):
                                " stated_occupied long, stated_vacant long")
     r = reconcile.stated_or_null(df).first()
     assert str(r.stated_rate) == "92.3100" and r.stated_vacant is None
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_units_pair_once_with_missed_and_invented(spark, parts):
+    rng = random.Random(11)
+    ids = ["A1", "a-1", "Unit 2", "2", "B3", "C4", "", None, "D5"]
+    side = lambda n: [(rng.randrange(3), k, rng.choice(ids) if rng.random() < 0.6 else f"u{k}") for k in range(n)]
+    truth, found = side(150), side(170)
+    schema = "doc_id long, pos long, unit_number string"
+    rows = score.pair_units(spark.createDataFrame(truth, schema).repartition(parts),
+                            spark.createDataFrame(found, schema).repartition(parts)).collect()
+    clean = lambda u: (u or "").upper().removeprefix("UNIT").replace("-", "").strip()
+
+    def numbered_copies(units):
+        seen, out = {}, {}
+        for doc, pos, unit in units:
+            if clean(unit):
+                key = (doc, clean(unit))
+                seen[key] = seen.get(key, 0) + 1
+                out[key, seen[key]] = pos
+        return out
+    g, a = numbered_copies(truth), numbered_copies(found)
+    want = {(key[0], pos, a.get((key, k))) for (key, k), pos in g.items()}
+    want |= {(key[0], None, pos) for (key, k), pos in a.items() if (key, k) not in g}
+    want |= {(doc, pos, None) for doc, pos, unit in truth if not clean(unit)}
+    want |= {(doc, None, pos) for doc, pos, unit in found if not clean(unit)}
+    assert {(r.doc_id, r.gt_pos, r.ex_pos) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        assert (r.g and r.g.pos) == r.gt_pos and (r.a and r.a.pos) == r.ex_pos

@@ -37,7 +37,7 @@ def pair_units(truth: DataFrame, found: DataFrame) -> DataFrame:
         F.count_if(F.col("side") == "g").alias("n_g"), F.count_if(F.col("side") == "a").alias("n_a")).filter(
         "n_g > 1 OR n_a > 1").select("doc_id", "id")
     single = rows.join(copied, ["doc_id", "id"], "left_anti").withColumn("k", F.lit(1).cast("long"))
-    several = occurrence_number(rows.join(copied, ["doc_id", "id"], "left_semi"), ["doc_id", "id", "side"], "pos")
+    several = numbered(rows.join(copied, ["doc_id", "id"], "left_semi"), ["doc_id", "id", "side"], "pos", "k")
     place = lambda name: F.max(F.when(F.col("side") == name, F.col("pos")))
     return single.unionByName(several).groupBy("doc_id", "id", "k").agg(
         place("g").alias("gt_pos"), place("a").alias("ex_pos"), F.first("g", ignorenulls=True).alias("g"),
@@ -262,10 +262,11 @@ def score_cells(truth: DataFrame, found: DataFrame, pairs: DataFrame | None = No
     matched = F.col("ex_pos").isNotNull()
     has = set(t.columns)
     cell = lambda name, ok: F.struct(F.lit(name).alias("field"), ok.alias("correct"))
+    # A column of its own for every grade: a rule used twice in one expression would run twice.
+    t = t.select("doc_id", "gt_pos", "ex_pos", *[F.when(shown(f), F.when(matched, _grade(f, has)).otherwise(
+        False)).alias(f"_{f}") for f in gradable])
     cells = [cell("presence", matched)]
-    for f in gradable:
-        ok = F.when(matched, _grade(f, has)).otherwise(False)
-        cells.append(F.when(shown(f) & ok.isNotNull(), cell(f, ok)))
+    cells += [F.when(F.col(f"_{f}").isNotNull(), cell(f, F.col(f"_{f}"))) for f in gradable]
     graded = F.when(F.col("gt_pos").isNotNull(), F.array_compact(F.array(*cells))).otherwise(
         F.array(cell("hallucinated", F.lit(False))))
     return t.select("doc_id", F.coalesce("gt_pos", "ex_pos").alias("pos"), F.explode(graded).alias("c")).select(
