@@ -249,3 +249,12 @@ def test_chat(spark):
     texts = {r.pair_id: tuple(r)[1:] for r in chat.assemble(rows).collect()}
     assert texts[0] == ("<|user|>\nhi\n", "<|assistant|>\na\n<|user|>\nx\n", "<|assistant|>\nb\n")
     assert chat.preference_rows(table.limit(0), chat.neighbours(table.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 17, 30_000])
+def test_secret_spans_of_a_match_dense_text(spark, n):
+    text = "".join(f"\u00fc{'x' * (k % 5)} token = v{k:07d}\n" for k in range(n))
+    row = secret_scan.scan(corpus(spark, [(1, text)])).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token = v[0-9]{7}", text))
+    assert row.n_assign == n and row.spans == want
+    assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()

@@ -84,34 +84,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
-_SECRET_KINDS = (("assign", secret_scan.ASSIGN, 2, 6), ("access", secret_scan.ACCESS, 0, 20),
-                 ("hex", secret_scan.HEX, 0, 24), ("live", secret_scan.TOKEN, 0, 20))
+# Fixed values, written out apart from the operator: kind, pattern, group of the value, least length of the value.
+_SECRET_KINDS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+               r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24), ("live", r"[A-Za-z0-9+/_=-]{20,}", 0, 20))
 
 
 def _secret_sql() -> str:
-    """Positions from the pieces between matches, ownership counted per value, owner and document."""
+    """Positions from the pieces between matches; equal texts of an owner count as one, in their first document."""
     kinds = "\nUNION ALL\n".join(f"""
-  SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind,
+  SELECT doc_id, source, digest, {rank} AS rank, '{kind}' AS kind,
          unnest(list_transform(range(1, len(m) + 1), lambda i: {{
            's': list_sum(list_transform(g[1:i], lambda x: length(x)))
                 + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
            'n': length(m[i]), 'v': v[i]}})) AS p
-  FROM (SELECT doc_id, source, regexp_extract_all(t, pat, 0) AS m, regexp_extract_all(t, pat, {group}) AS v,
+  FROM (SELECT doc_id, source, digest, regexp_extract_all(t, pat, 0) AS m, regexp_extract_all(t, pat, {group}) AS v,
                string_split_regex(t, pat) AS g
-        FROM (SELECT doc_id, source, coalesce(text, '') AS t, '{pattern.replace("'", "''")}' AS pat FROM documents))
+        FROM (SELECT doc_id, source, sha256(coalesce(text, '')) AS digest, coalesce(text, '') AS t, '{pattern.replace("'", "''")}' AS pat FROM documents))
   WHERE len(m) > 0""" for rank, (kind, pattern, group, _) in enumerate(_SECRET_KINDS))
     least = " OR ".join(f"(kind = '{k}' AND length(p.v) >= {n})" for k, _, _, n in _SECRET_KINDS[:3])
     return f"""
 WITH found AS ({kinds}),
 spans AS (
-  SELECT doc_id, coalesce(source, '') AS source, rank, kind, CAST(p.s AS BIGINT) AS s,
+  SELECT doc_id, coalesce(source, '') AS source, digest, rank, kind, CAST(p.s AS BIGINT) AS s,
          CAST(p.s + p.n AS BIGINT) AS e, p.v AS v
   FROM found
   WHERE {least} OR (kind = 'live' AND regexp_matches(p.v, '[0-9]') AND regexp_matches(p.v, '[a-z]')
                     AND regexp_matches(p.v, '[A-Z]'))),
-seen AS (SELECT v, count(DISTINCT source) <= {secret_scan.MAX_OWNERS}
-                   AND count(DISTINCT doc_id) <= {secret_scan.MAX_REPOSITORIES} AS live
-         FROM spans GROUP BY v),
+held AS (SELECT v, source, digest, min(coalesce(CAST(doc_id AS VARCHAR), '')) AS repository FROM spans GROUP BY ALL),
+seen AS (SELECT v, count(DISTINCT source) <= 2 AND count(*) <= 25 AS live
+         FROM (SELECT DISTINCT v, source, repository FROM held) GROUP BY v),
 judged AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
          count(*) FILTER (kind = 'hex') AS n_hex,

@@ -40,19 +40,41 @@ _KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", "(?<![0-9a-f])" + HEX)
 _SPAN = "array<struct<start:int,end:int,rank:int,kind:string,value:string>>"
 
 
-def _placed(kind: str, rank: int) -> Column:
-    """Spans of a kind from its matches ``m_`` and the pieces between them ``g_``; null without a match."""
-    steps = F.zip_with(f"g_{kind}", f"m_{kind}", lambda gap, x: F.struct(F.length(gap).alias("gap"), x.alias("x")))
-    walked = F.aggregate(
-        F.filter(steps, lambda s: s["x"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["x"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.length(s["x"])).alias("end"),
-                F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                (F.regexp_extract(s["x"], ASSIGN, 2) if kind == "assign" else s["x"]).alias("value")))).alias("out")))
-    return F.when(F.col(f"m_{kind}").isNotNull(), walked["out"]).otherwise(F.array().cast(_SPAN))
+def _walked(kind: str, rank: int) -> Column:
+    """Runs of about the square root of the matches ``m_``, with the pieces between them ``g_``; null without a match.
+
+    Each run has its length and its spans, counted from its own start: growing one array by every match of
+    a text would take time in the square of the matches.
+    """
+    m, g = F.col(f"m_{kind}"), F.col(f"g_{kind}")
+    size = F.ceil(F.sqrt(F.size(m))).cast("int")
+
+    def run(nth):
+        steps = F.zip_with(F.slice(g, nth * size + 1, size), F.slice(m, nth * size + 1, size),
+                           lambda gap, x: F.struct(F.length(gap).alias("gap"), x.alias("x")))
+        return F.aggregate(
+            F.filter(steps, lambda s: s["x"].isNotNull()),
+            F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
+            lambda acc, s: F.struct(
+                (acc["at"] + s["gap"] + F.length(s["x"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(
+                    (acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + F.length(s["x"])).alias("end"),
+                    F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+                    (F.regexp_extract(s["x"], ASSIGN, 2) if kind == "assign" else s["x"]).alias("value")))).alias("out")))
+
+    return F.when(m.isNotNull(), F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / size).cast("int")), run))
+
+
+def _placed(kind: str) -> Column:
+    """Spans of a kind from its runs ``w_``: every run moved by the length of those before it."""
+    runs = F.col(f"w_{kind}")
+    before = F.aggregate(
+        runs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, w: F.struct((acc["at"] + w["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    moved = F.zip_with(runs, before["out"], lambda w, at: F.transform(w["out"], lambda s: F.struct(
+        (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["rank"].alias("rank"),
+        s["kind"].alias("kind"), s["value"].alias("value"))))
+    return F.when(runs.isNotNull(), F.flatten(moved)).otherwise(F.array().cast(_SPAN))
 
 
 def _listed(spans: Column) -> Column:
@@ -74,8 +96,10 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id
         "row_id", "doc_id", "owner", "repository", "digest", *(f"m_{kind}" for kind, _ in _KINDS),
         *(F.when(F.col(f"m_{kind}").isNotNull(), F.split(text, pattern, -1)).alias(f"g_{kind}")
           for kind, pattern in _KINDS))
-    placed = split.select("row_id", "doc_id", "owner", "repository", "digest",
-                          *(_placed(kind, rank).alias(kind) for rank, (kind, _) in enumerate(_KINDS)))
+    walked = split.select("row_id", "doc_id", "owner", "repository", "digest",
+                          *(_walked(kind, rank).alias(f"w_{kind}") for rank, (kind, _) in enumerate(_KINDS)))
+    placed = walked.select("row_id", "doc_id", "owner", "repository", "digest",
+                           *(_placed(kind).alias(kind) for kind, _ in _KINDS))
     return placed.select(
         "row_id", "doc_id", "owner", "repository", "digest",
         F.concat(F.filter("assign", lambda s: F.length(s["value"]) >= ASSIGN_VALUE), "access", "hex").alias("base"),
