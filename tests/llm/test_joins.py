@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -6,6 +7,7 @@ import pytest
 from samples import EDGE, components, copies, corpus
 from unitwise.llm import line_dedup as L
 from unitwise.llm import ngram_join as J
+from unitwise.llm import regions as R
 from unitwise.llm.components import connected_components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -20,16 +22,33 @@ def expected(rows):
     sets = [grams(t) for _, t in rows]
     pairs = [(a, b) for a, b in combinations(range(len(rows)), 2)
              if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    return {(rows[k][0], len(sets[k]), rows[c][0]) for k, c in enumerate(components(len(rows), pairs))}
+    links = Counter(k for p in pairs for k in p)
+    return {(rows[k][0], len(sets[k]), rows[c][0], links[k]) for k, c in enumerate(components(len(rows), pairs))}
 
 
-@pytest.mark.parametrize("seed,region,levels", [(1, 2048, 3), (2, 4, 2), (3, 3, 1), (4, 2, 0)])
-def test_join_finds_the_components_of_all_pairs(spark, seed, region, levels):
+@pytest.mark.parametrize("seed,region,levels,counted", [(1, 2048, 3, 512), (2, 4, 2, 3), (3, 3, 1, 2), (4, 2, 0, 4)])
+def test_join_finds_the_components_and_links_of_all_pairs(spark, seed, region, levels, counted):
     rows = copies(seed, groups=8, size=12)
-    found = J.ngram_join(corpus(spark, rows), region, levels).collect()
+    found = J.ngram_join(corpus(spark, rows), region, levels, counted).collect()
     assert {tuple(r) for r in found} == expected(rows)
 
 
+def test_regions_are_cut_by_classes_and_by_bytes(spark, monkeypatch):
+    """Long chains, whose ends do not link, divide by pivots; so do few classes of many hashes."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k:4 * k + 80])) for k in range(70)]
+    rows += [(100 + k, " ".join([f"v{j}" for j in range(200)] + [f"x{k}"])) for k in range(30)]
+    divided = []
+    divide = R._divide
+    monkeypatch.setattr(R, "_divide", lambda large, *rest: divided.append(large.count()) or divide(large, *rest))
+    for counted, keys in ((8, R.KEYS), (512, 700)):
+        monkeypatch.setattr(R, "KEYS", keys)
+        divided.clear()
+        found = J.ngram_join(corpus(spark, rows), 2048, 3, counted).collect()
+        assert {tuple(r) for r in found} == expected(rows)
+        assert divided and divided[0] >= 100
+
+
 def test_least_shared_holds_for_every_size():
     for a in range(1, 400):
         for b in range(a, a * 4 // 3 + 1):
@@ -45,6 +64,7 @@ def test_join_edge_cases(spark):
     assert found[2].component_id == 2 and found[3].component_id == 3
     assert found[5].component_id == 4 and found[None].component_id == 4
     assert found[8].component_id == 7
+    assert [found[k].n_links for k in (1, 2, 4, 5, None, 7, 8, 9)] == [0, 0, 3, 3, 3, 1, 1, 0]
     assert J.ngram_join(corpus(spark, EDGE)).count() == len(EDGE)
     assert J.ngram_join(corpus(spark, [])).count() == 0
     kept = J.drop_near_copies(corpus(spark, EDGE))

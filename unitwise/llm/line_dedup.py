@@ -182,7 +182,7 @@ def dropped_lines(docs: DataFrame, found: DataFrame, region: int = REGION, level
     mark = staged_tables()
     parts = partitions_for(docs.sparkSession, BANDS * found.count(), ROWS_PER_TASK)
     shared = stage(shared_keys(_banded(docs, parts), parts))
-    comps = stage(link_shared(shared, lambda bits: _bodies(docs, bits), PERCENT, region, levels))
+    comps = stage(link_shared(shared, lambda bits: _bodies(docs, bits), PERCENT, region, levels)[0])
     release(docs.sparkSession, staged_since(mark)[:-1])
     grouped = stage(found.join(comps, found["cls"] == comps["node"], "left").select(
         "row_id", "doc_id", "line", F.coalesce("component", "cls").alias("group")))

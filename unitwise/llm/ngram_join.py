@@ -23,12 +23,17 @@ within 0.25 of the other's distance. The join goes in these steps, all exact:
    there, and cells join recursively. What is still too large after ``LEVELS`` divisions is
    joined in pairs of blocks.
 6. Links found there and those of step 4 make the components.
+7. Links lie inside components. To count them every component is a region whose classes are all
+   home: a large one is divided into the cells of its nearest pivots, windows copy in all partners
+   of a cell's classes, and cells join recursively. Each class is home in one cell and counts there,
+   so every link counts once at both ends and only counts leave a task.
 
 Shingles are 48-bit hashes and sets 64-bit hashes of them. The frequency table and the filter
 of bodies have fixed sizes and only steer the work; no result depends on them.
 
 Defined results: words are lower-cased in A-Z and split at ASCII white space. A null or wordless
-text has an empty set and is its own component. Repeated rows are copies. A null ``doc_id`` never
+text has an empty set, no links and is its own component. Repeated rows are copies; ``n_links`` of a row
+counts all other rows it links with, copies included. A null ``doc_id`` never
 names a component of other rows. Other columns are ignored, an empty table gives an empty result.
 """
 
@@ -39,12 +44,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitwise.llm.common import lower_words, mix, partitions_for, prepare, slices
-from unitwise.llm.regions import (LEVELS, LOW48, PACKED, REGION, ROWS_PER_TASK, Packer, Picker,
-                                  from_bytes, link_shared, shared_keys, to_bytes)
+from unitwise.llm.regions import (COUNTED, LEVELS, LOW48, PACKED, REGION, ROWS_PER_TASK, Packer, Picker,
+                                  count_links, from_bytes, link_shared, shared_keys, to_bytes)
 from unitwise.session import stage
 
 SIZE = 5
@@ -165,8 +170,8 @@ def _bodies(sets: DataFrame, bits: np.ndarray) -> DataFrame:
         pick, "cls long, n long, body binary").dropDuplicates(["cls"])
 
 
-def link_classes(sets: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:
-    """(node, component) of every class of ``sets`` (staged) that links with another class."""
+def link_classes(sets: DataFrame, region: int = REGION, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of every class of ``sets`` (staged) that links with another class, and (cls, n, body)."""
     rows = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     hot, counts = frequent_shingles(sets)
     parts = partitions_for(sets.sparkSession, rows * (100 - FIRST_PERCENT) // 100, ROWS_PER_TASK)
@@ -174,17 +179,41 @@ def link_classes(sets: DataFrame, region: int = REGION, levels: int = LEVELS) ->
     return link_shared(shared, lambda bits: _bodies(sets, bits), PERCENT, region, levels)
 
 
-def ngram_join(docs: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:
+def _classes(sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(cls, first, size, component, least): least ``doc_id`` and rows of every class, and its component if it has links."""
+    classes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
+    known = stage(classes.join(comps, classes["cls"] == comps["node"], "left").select("cls", "first", "size", "component"))
+    least = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
+    return known.join(least, "component", "left")
+
+
+def _named(sets: DataFrame, classes: DataFrame, *more: Column) -> DataFrame:
+    found = classes.withColumn("found", F.coalesce("least", "first")).drop("first", "least", "component")
+    return sets.select("doc_id", "n_shingles", "cls").join(found, "cls", "left").select(
+        "doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"), *more)
+
+
+def ngram_components(docs: DataFrame, region: int = REGION, levels: int = LEVELS) -> DataFrame:
     """Every row of ``docs``: doc_id, n_shingles, component_id (least doc_id its links reach)."""
     prepare(docs.sparkSession)
     sets = stage(shingle_sets(docs))
-    comps = link_classes(sets, region, levels)
-    classes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    known = stage(classes.join(comps, classes["cls"] == comps["node"], "left").select("cls", "first", "component"))
-    least = known.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
-    named = known.join(least, "component", "left").select("cls", F.coalesce("least", "first").alias("found"))
-    return sets.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    return _named(sets, _classes(sets, link_classes(sets, region, levels)[0]))
+
+
+def ngram_join(docs: DataFrame, region: int = REGION, levels: int = LEVELS, counted: int = COUNTED) -> DataFrame:
+    """Every row of ``docs``: doc_id, n_shingles, component_id (least doc_id its links reach), n_links (rows it links with).
+
+    Regions of more than ``region`` classes, and of more than ``counted`` where links are counted, are divided.
+    """
+    prepare(docs.sparkSession)
+    sets = stage(shingle_sets(docs))
+    comps, bodies = link_classes(sets, region, levels)
+    classes = stage(_classes(sets, comps))
+    groups = classes.filter("component IS NOT NULL").select("cls", "component", "size")
+    sized = stage(bodies.join(groups.select("cls", "size"), "cls"))
+    links = count_links(groups.select("cls", "component"), sized, PERCENT, counted, levels)
+    rows = F.coalesce(F.col("size") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links")
+    return _named(sets, classes.join(links, "cls", "left"), rows)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -193,7 +222,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
     # The row number stands for the id, so rows that repeat an id are told apart.
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))
-    found = ngram_join(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    found = ngram_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
     groups = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")).join(
         numbered.select("_row", "doc_id"), "_row")
     keep = groups.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row"))

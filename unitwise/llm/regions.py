@@ -25,6 +25,10 @@ from unitwise.session import stage
 
 REGION = 2048
 LEVELS = 3
+#: Hashes of a block's bodies on either side; a region above it is cut like one of too many classes.
+KEYS = 2_000_000
+#: Classes of a block when links are counted: all of a component are home there, so blocks are smaller.
+COUNTED = 512
 FILTER_BITS = 1 << 27
 ROWS_PER_TASK = 1_500_000
 ROWS_AT_ONCE = 1_000_000
@@ -246,17 +250,46 @@ def measured(pairs: DataFrame, bodies: DataFrame, *keep: str) -> DataFrame:
 _DISTANCE = "1 - both / (n_p + n_c - both)"
 
 
-def _join_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between home classes and classes of other components: enough to connect them."""
-    rows = rows.sort_values("cls").drop_duplicates("cls", keep="first").reset_index(drop=True)
+def _close(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every home class of a block by its place, and which classes of the block link with it.
+
+    Keys that a quarter of the classes hold are multiplied as a matrix, the others counted holder by holder.
+    """
     bodies = [from_bytes(b) for b in rows["body"]]
     sizes = np.array([len(b) for b in bodies])
     owner = np.repeat(np.arange(len(bodies)), sizes)
     flat, code = np.unique(np.concatenate(bodies), return_inverse=True)
-    by = np.argsort(code, kind="stable")
-    ends = np.searchsorted(code[by], np.arange(len(flat) + 1))
-    holders = owner[by]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    held = np.bincount(code, minlength=len(flat))
+    holders = owner[np.argsort(code, kind="stable")]
+    ends, starts = np.append(0, np.cumsum(held)), np.append(0, np.cumsum(sizes))
+    common = np.flatnonzero(held > max(len(bodies) // 4, 1))
+    line = np.full(len(flat), -1)
+    line[common] = np.arange(len(common))
+    at = line[code]
+    table = np.zeros((len(common), len(bodies)), np.float32 if sizes.max() < 1 << 24 else np.float64)
+    table[at[at >= 0], owner[at >= 0]] = 1
+    some = (held > 1) & (line < 0)
+    far = rows["d"].to_numpy(np.float64)
+    homes = np.flatnonzero(rows["home"].to_numpy())
+    for first in range(0, len(homes), 256):
+        part = homes[first:first + 256]
+        for i, both in zip(part, (table[:, part].T @ table).astype(np.int64), strict=True):
+            own = code[starts[i]:starts[i + 1]]
+            own = own[some[own]]
+            if len(own):
+                both += np.bincount(np.concatenate([holders[ends[k]:ends[k + 1]] for k in own]), minlength=len(bodies))
+            both[i] = sizes[i]
+            close = 100 * both >= percent * (sizes[i] + sizes - both)
+            yield i, close & ~(np.abs(far - far[i]) > 1 - percent / 100 + _NEAR)
+
+
+def _once(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values("cls").drop_duplicates("cls", keep="first").reset_index(drop=True)
+
+
+def _join_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between home classes and classes of other components: enough to connect them."""
+    rows = _once(rows)
     group = {c: c for c in rows["comp"]}
 
     def root(x: int) -> int:
@@ -265,13 +298,9 @@ def _join_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             x = group[x]
         return x
 
-    comps, far = rows["comp"].tolist(), rows["d"].to_numpy()
+    comps = rows["comp"].tolist()
     out = []
-    for i in np.flatnonzero(rows["home"].to_numpy()):
-        own = code[starts[i]:starts[i + 1]]
-        both = np.bincount(np.concatenate([holders[ends[k]:ends[k + 1]] for k in own]), minlength=len(bodies))
-        close = 100 * both >= percent * (sizes[i] + sizes - both)
-        close &= ~(np.abs(far - far[i]) > 1 - percent / 100 + _NEAR)
+    for i, close in _close(rows, percent):
         for j in np.flatnonzero(close):
             a, b = root(comps[i]), root(comps[j])
             if a != b:
@@ -280,62 +309,96 @@ def _join_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def join_regions(members: DataFrame, bodies: DataFrame, percent: int, region: int = REGION,
-                 levels: int = LEVELS) -> DataFrame:
-    """(a, b) links of every home class of a region with classes of other components.
+def _count_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of every home class, the rows (``size``) of the other classes dealt to this block that link with it."""
+    rows = _once(rows)
+    size = np.where(rows["partner"].to_numpy(), rows["size"].to_numpy(), 0)
+    out = [(int(rows["cls"][i]), int(size[close].sum() - size[i])) for i, close in _close(rows, percent)]
+    return pd.DataFrame(out, columns=["cls", "linked"], dtype="int64")
+
 
-    ``members``: region, cls, comp, home, d (distance to the region's pivot, null if unknown).
+def join_regions(members: DataFrame, bodies: DataFrame, percent: int, region: int = REGION, levels: int = LEVELS,
+                 block: Callable[[pd.DataFrame, int], pd.DataFrame] = _join_block,
+                 schema: str = "a long, b long") -> DataFrame:
+    """What ``block`` finds between the home classes of every region and its classes; each pair meets in one block.
+
+    ``members``: region, cls, comp, home, d (distance to the region's pivot, null if unknown), n (hashes).
+    A cell that keeps more than half of the region it was cut from is not divided again: its classes
+    are too close to each other for any pivot, so blocks take it.
     """
     out, level = [], 0
+    members = members.withColumn("was", F.lit(None).cast("long"))
     while True:
         members = stage(members)
         counts = members.groupBy("region").agg(
-            F.count("*").alias("n_all"), F.count_if("home").alias("n_home")).filter("n_home > 0 AND n_all > 1")
+            F.count("*").alias("n_all"), F.count_if("home").alias("n_home"), F.sum("n").alias("k_all"),
+            F.sum(F.when(F.col("home"), F.col("n"))).alias("k_home")).filter("n_home > 0 AND n_all > 1")
         sized = members.join(counts, "region")
-        ready = sized if level >= levels else sized.filter(F.col("n_all") <= region)
-        pieces = lambda n: F.ceil(F.col(n) / region).cast("int")
-        own = F.pmod(F.xxhash64("cls"), pieces("n_all")).cast("int")
-        mine = F.pmod(F.xxhash64("cls", F.lit(1)), pieces("n_home")).cast("int")
+        fits = (F.col("n_all") <= region) & (F.col("k_all") <= KEYS)
+        ready = fits | F.coalesce(2 * F.col("n_all") > F.col("was"), F.lit(False)) | F.lit(level >= levels)
+        now = sized.filter(ready)
+        pieces = lambda side: F.ceil(F.greatest(
+            F.col(f"n_{side}") / region, F.col(f"k_{side}") / KEYS)).cast("int")
+        own = F.pmod(F.xxhash64("cls"), pieces("all")).cast("int")
+        mine = F.pmod(F.xxhash64("cls", F.lit(1)), pieces("home")).cast("int")
         # Home classes of one block meet the classes of every block; a home class is a partner too.
-        homes = ready.filter("home").select("region", "cls", "comp", "home", "d", mine.alias("hb"),
-                                            F.explode(F.sequence(F.lit(0), pieces("n_all") - 1)).alias("ab"))
-        partners = ready.select("region", "cls", "comp", F.lit(False).alias("home"), "d",
-                                F.explode(F.sequence(F.lit(0), pieces("n_home") - 1)).alias("hb"), own.alias("ab"))
+        homes = now.filter("home").select(
+            "region", "cls", "comp", "home", F.lit(False).alias("partner"), "d", mine.alias("hb"),
+            F.explode(F.sequence(F.lit(0), pieces("all") - 1)).alias("ab"))
+        partners = now.select(
+            "region", "cls", "comp", F.lit(False).alias("home"), F.lit(True).alias("partner"), "d",
+            F.explode(F.sequence(F.lit(0), pieces("home") - 1)).alias("hb"), own.alias("ab"))
         blocks = homes.unionByName(partners).groupBy("region", "hb", "ab", "cls", "comp", "d").agg(
-            F.max("home").alias("home"))
+            F.max("home").alias("home"), F.max("partner").alias("partner"))
         out.append(blocks.join(bodies, "cls").groupBy("region", "hb", "ab").applyInPandas(
-            lambda rows: _join_block(rows, percent), "a long, b long"))
+            lambda rows: block(rows, percent), schema))
         if level >= levels:
             break
-        large = stage(sized.filter(F.col("n_all") > region))
+        large = stage(sized.filter(~ready))
         if large.isEmpty():
             break
         members = _divide(large, bodies, percent, region, level)
         level += 1
-    links = out[0]
+    found = out[0]
     for more in out[1:]:
-        links = links.unionByName(more)
-    return links
+        found = found.unionByName(more)
+    return found
+
+
+def count_links(groups: DataFrame, bodies: DataFrame, percent: int, region: int = COUNTED,
+                levels: int = LEVELS) -> DataFrame:
+    """(cls, linked): rows of other classes that link with each class of ``groups`` (cls, component).
+
+    Links lie inside components, so every component is a region all of whose classes are home: each is
+    home in one cell, the nearest pivot's, where the windows bring all its partners. ``bodies`` has the
+    rows of a class in ``size``. Only counts leave a block, never pairs.
+    """
+    members = groups.join(bodies.select("cls", "n"), "cls").select(
+        F.col("component").alias("region"), "cls", F.col("cls").alias("comp"), F.lit(True).alias("home"),
+        F.lit(None).cast("double").alias("d"), "n")
+    return join_regions(members, bodies, percent, region, levels, _count_block, "cls long, linked long").groupBy(
+        "cls").agg(F.sum("linked").alias("linked"))
 
 
 def _divide(large: DataFrame, bodies: DataFrame, percent: int, region: int, level: int) -> DataFrame:
     """Cells of the large regions: home classes at their nearest pivot, others within reach of a cell."""
     eps = 1 - percent / 100 + _NEAR
-    wanted = F.least(F.lit(32), F.ceil(F.col("n_all") / region) + 1)
+    wanted = F.least(F.lit(32), F.ceil(F.greatest(F.col("n_all") / region, F.col("k_all") / KEYS)) + 1)
     draw = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
     pivots = large.filter("home").filter(draw * F.col("n_home") < wanted).select("region", F.col("cls").alias("p"))
-    tried = large.select("region", F.col("cls").alias("c"), "comp", F.col("home").cast("long").alias("home")).join(
-        pivots, "region")
-    seen = stage(measured(tried, bodies, "region", "comp", "home").withColumn("d", F.expr(_DISTANCE)))
+    tried = large.select("region", F.col("cls").alias("c"), "comp", F.col("home").cast("long").alias("home"),
+                         F.col("n_all").alias("was")).join(pivots, "region")
+    seen = stage(measured(tried, bodies, "region", "comp", "home", "was").withColumn("d", F.expr(_DISTANCE)))
     nearest = seen.filter("home = 1").groupBy("region", "c").agg(F.min_by("p", F.struct("d", "p")).alias("cell"))
     placed = seen.join(nearest, ["region", "c"], "left").withColumn("here", F.coalesce(F.col("cell") == F.col("p"), F.lit(False)))
     reach = placed.filter("here").groupBy("region", "p").agg(F.max("d").alias("most"), F.min("d").alias("least"))
     near = placed.join(reach, ["region", "p"]).filter(
         (F.col("d") <= F.col("most") + eps) & (F.col("d") >= F.col("least") - eps))
     cells = near.select(F.xxhash64("region", "p", F.lit(level)).alias("region"), F.col("c").alias("cls"), "comp",
-                        F.col("here").alias("home"), "d")
+                        F.col("here").alias("home"), "d", F.col("n_c").alias("n"), "was")
     # A region for which no pivot was drawn stays as it is.
-    return cells.unionByName(large.join(pivots, "region", "left_anti").select("region", "cls", "comp", "home", "d"))
+    return cells.unionByName(large.join(pivots, "region", "left_anti").select(
+        "region", "cls", "comp", "home", "d", "n", "was"))
 
 
 def _region_members(seen: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
@@ -345,18 +408,19 @@ def _region_members(seen: DataFrame, comps: DataFrame, percent: int) -> DataFram
     of_c = comps.select(F.col("node").alias("c"), F.col("component").alias("c_comp"))
     each = seen.join(of_c, "c", "left").join(of_p, "p", "left").select(
         F.col("p").alias("region"), F.col("c").alias("cls"), F.coalesce("c_comp", "c").alias("comp"),
-        (F.coalesce("c_comp", "c") != F.coalesce("p_comp", "p")).alias("home"), F.expr(_DISTANCE).alias("d"))
+        (F.coalesce("c_comp", "c") != F.coalesce("p_comp", "p")).alias("home"), F.expr(_DISTANCE).alias("d"),
+        F.col("n_c").alias("n"))
     reach = each.groupBy("region").agg(
         F.min(F.when(F.col("home"), F.col("d"))).alias("least"), F.max(F.when(F.col("home"), F.col("d"))).alias("most"),
-        F.count("*").alias("n")).filter("least IS NOT NULL AND n > 1")
+        F.count("*").alias("rows")).filter("least IS NOT NULL AND rows > 1")
     return each.join(reach, "region").filter(
         F.col("home") | ((F.col("d") >= F.col("least") - eps) & (F.col("d") <= F.col("most") + eps))
-    ).select("region", "cls", "comp", "home", "d")
+    ).select("region", "cls", "comp", "home", "d", "n")
 
 
 def link_shared(shared: DataFrame, bodies_of: Callable[[np.ndarray], DataFrame], percent: int,
-                region: int = REGION, levels: int = LEVELS) -> DataFrame:
-    """(node, component) of every class that links with another one it shares a key with.
+                region: int = REGION, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of every class that links with another one it shares a key with, and the staged bodies.
 
     ``bodies_of`` gives (cls, n, body) rows of the classes a bit table holds, each class once.
     """
@@ -375,4 +439,4 @@ def link_shared(shared: DataFrame, bodies_of: Callable[[np.ndarray], DataFrame],
     comps = stage(connected_components(stars))
     members = _region_members(seen.filter("region = 1"), comps, percent)
     links = stage(join_regions(members, bodies, percent, region, levels))
-    return connected_components(stars.unionByName(links))
+    return connected_components(stars.unionByName(links)), bodies
