@@ -12,20 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitwise.llm import exact_dedup, mixing, ngram_join, packing, quality
-from unitwise.session import release, stage_path, staged_since, staged_tables
-
-
-_OPEN: list[str] = []
+from unitwise.session import release, release_unread, stage_path, staged_since, staged_tables
 
 
 def _stage(function):
-    """A stage first deletes what the stage before it staged: its result has been written by then."""
+    """Once a stage is built, what it staged goes, but for the tables its result reads."""
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _OPEN)
         mark = staged_tables()
         out = function(spark, docs, sf_dir)
-        _OPEN[:] = staged_since(mark)
+        release_unread(out, mark)
         return out
     return run_stage
 
@@ -77,11 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents; a stage's input and tables go when its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, function in STAGES:
-        path = stage_path(spark)
+        path, mark = stage_path(spark), staged_tables()
         found = function(spark, docs, sf_dir)
         found.withColumns({c: F.col(c).cast("string") for c, kind in found.dtypes if kind == "void"}).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, [*before, *staged_since(mark)])
+        docs, before = spark.read.parquet(path), [path]
     return docs

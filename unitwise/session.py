@@ -62,7 +62,17 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables nothing will read any more."""
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
+        if path in _STAGED:
+            _STAGED.remove(path)
+
+
+def release_unread(df: DataFrame, mark: int) -> None:
+    """Delete the tables staged after a mark that ``df`` does not read."""
+    read = {part for name in df.inputFiles() for part in name.split("/")}
+    release(df.sparkSession, [path for path in staged_since(mark) if path.rsplit("/", 1)[1] not in read])
 
 
 def staged_since(mark: int) -> list[str]:
