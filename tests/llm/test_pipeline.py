@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_joins import grams
 
 from unitwise.llm import mixing, packing, quality
+from unitwise.session import staged_since, staged_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,6 +62,19 @@ def test_stages_take_empty_tables_and_nulls(spark):
         assert function(spark, odd, SF).count() <= 3 * len(odd.columns)
 
 
+def test_stages_built_before_either_is_written_keep_their_inputs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mark = staged_tables()
+    one = pipeline.near_copies(spark, docs, SF)
+    two = pipeline.near_copies(spark, docs.limit(50), SF)
+    read = {name.split("/")[-2] for name in one.inputFiles() + two.inputFiles()}
+    assert {path.rsplit("/", 1)[1] for path in staged_since(mark)} <= read
+    assert two.count() <= 50 < one.count()
+    left = staged_tables()
+    out = pipeline.run(spark, SF)
+    assert staged_tables() == left and out.count() > 0
+
+
 def test_pipeline_is_registered_with_its_steps():
     assert [f.__name__ for _, f in pipeline.STAGES] == [
         "quality_classifier", "exact_copies", "near_copies", "mix_domains", "pack"]

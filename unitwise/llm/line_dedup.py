@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,10 +149,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
         find, "row_id long, doc_id long, line int, cls long, n_lines long")
 
 
-def _bodies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _bodies(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """(cls, n, body) of the classes in the bit table; lines are exchanged as text, a sixth of their runs."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picker = Picker(shared.value)
         for batch in slices(batches, "text", 4 << 20):

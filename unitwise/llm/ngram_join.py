@@ -44,6 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,10 +137,8 @@ def prefix(values: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> tuple[np.
     return rare, values[hit][np.argsort(often, kind="stable")[:size - len(rare)]], mark
 
 
-def first_shingles(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``PACKED`` rows of the first shingles of every set; the frequent ones are dealt by class."""
-    table = sets.sparkSession.sparkContext.broadcast((hot, counts))
-
+def first_shingles(sets: DataFrame, parts: int, table: Broadcast) -> DataFrame:
+    """``PACKED`` rows of the first shingles of every set; the frequent ones (``table``) are dealt by class."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
         for batch in batches:
@@ -155,10 +154,8 @@ def first_shingles(sets: DataFrame, parts: int, hot: np.ndarray, counts: np.ndar
     return sets.filter("cls IS NOT NULL").select("cls", "body").mapInArrow(pack, PACKED)
 
 
-def _bodies(sets: DataFrame, bits: np.ndarray) -> DataFrame:
+def _bodies(sets: DataFrame, shared: Broadcast) -> DataFrame:
     """(cls, n, body) of the classes in the bit table."""
-    shared = sets.sparkSession.sparkContext.broadcast(bits)
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picker = Picker(shared.value)
         for batch in batches:
@@ -175,7 +172,9 @@ def link_classes(sets: DataFrame, region: int = REGION, levels: int = LEVELS) ->
     rows = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     hot, counts = frequent_shingles(sets)
     parts = partitions_for(sets.sparkSession, rows * (100 - FIRST_PERCENT) // 100, ROWS_PER_TASK)
-    shared = stage(shared_keys(first_shingles(sets, parts, hot, counts), parts))
+    table = sets.sparkSession.sparkContext.broadcast((hot, counts))
+    shared = stage(shared_keys(first_shingles(sets, parts, table), parts))
+    table.destroy()
     return link_shared(shared, lambda bits: _bodies(sets, bits), PERCENT, region, levels)
 
 

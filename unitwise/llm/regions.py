@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -418,11 +419,11 @@ def _region_members(seen: DataFrame, comps: DataFrame, percent: int) -> DataFram
     ).select("region", "cls", "comp", "home", "d", "n")
 
 
-def link_shared(shared: DataFrame, bodies_of: Callable[[np.ndarray], DataFrame], percent: int,
+def link_shared(shared: DataFrame, bodies_of: Callable[[Broadcast], DataFrame], percent: int,
                 region: int = REGION, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(node, component) of every class that links with another one it shares a key with, and the staged bodies.
 
-    ``bodies_of`` gives (cls, n, body) rows of the classes a bit table holds, each class once.
+    ``bodies_of`` gives (cls, n, body) rows of the classes a broadcast bit table holds, each class once.
     """
     near, many = able_pairs(shared, percent)
     many = stage(many)
@@ -432,11 +433,17 @@ def link_shared(shared: DataFrame, bodies_of: Callable[[np.ndarray], DataFrame],
     pairs = stage(met.unionByName(near.withColumn("region", F.lit(0))).groupBy("p", "c").agg(
         F.max("region").alias("region")))
     classes = pairs.select(F.col("c").alias("cls")).unionByName(pairs.select(F.col("p").alias("cls"))).distinct()
-    bodies = stage(bodies_of(filter_bits(classes, classes.count())))
+    bits = pairs.sparkSession.sparkContext.broadcast(filter_bits(classes, classes.count()))
+    bodies = stage(bodies_of(bits))
+    bits.destroy()
     seen = stage(measured(pairs, bodies, "region"))
     stars = seen.filter(f"100 * both >= {percent} * (n_p + n_c - both)").select(
         F.col("p").alias("a"), F.col("c").alias("b"))
     comps = stage(connected_components(stars))
     members = _region_members(seen.filter("region = 1"), comps, percent)
     links = stage(join_regions(members, bodies, percent, region, levels))
-    return connected_components(stars.unionByName(links)), bodies
+    if links.isEmpty():
+        return comps, bodies
+    # What the pivots connected is a star already; only components that a link joins change.
+    joined = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    return connected_components(joined), bodies
