@@ -33,3 +33,15 @@ def test_last_map_binds_its_entries(spark):
                      " 'v', 'c')))")
     df = spark.range(1, 2).select(S.last_map(F.when(F.col("id") > 0, entries)).alias("m"))
     assert df.collect()[0].m == {1: "a", 2: "b"}
+
+
+def test_grading_looks_for_a_line_once(spark):
+    lines = lambda *parts: F.array(*[F.struct(F.lit(c).alias("code"), F.lit(a).cast("decimal(18,4)").alias("amount"),
+                                              F.lit("base_rent").alias("category")) for c, a in parts])
+    df = spark.range(1).select(lines(("RENT", 5), ("RENT", 5)).alias("e"), lines(("Rent-1", 5), ("x", 7)).alias("a"),
+                               lines(("rent", 5), ("RENT", 5)).alias("b"), F.lit("Ann Lee").alias("n"))
+    out = df.select(score.charges_captured("e", "a").alias("one"), score.charges_captured("e", "b").alias("two"),
+                    S.names_match("n", F.lit("lee, ann")).alias("named")).collect()[0]
+    assert (out.one, out.two, out.named) == (False, True, True)
+    text = str(score.charges_captured("e", "a")._jc.toString())
+    assert text.count("array_position") == 1
