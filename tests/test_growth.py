@@ -35,6 +35,13 @@ def test_last_map_binds_its_entries(spark):
     assert df.collect()[0].m == {1: "a", 2: "b"}
 
 
+def test_layout_signals_read_staged_rows(spark):
+    rows = [[100 + i, "Total Units", 5] for i in range(70)]
+    out = C.detect_nonstandard_layout(G.cells(spark, list(G.cell_rows(1, "s", rows))))
+    assert out.collect()[0].row_ids and len(out.inputFiles()) > 0
+    assert "LogicalRDD" not in plan(out) and "LocalRelation" not in plan(out)
+
+
 def test_grading_looks_for_a_line_once(spark):
     lines = lambda *parts: F.array(*[F.struct(F.lit(c).alias("code"), F.lit(a).cast("decimal(18,4)").alias("amount"),
                                               F.lit("base_rent").alias("category")) for c, a in parts])

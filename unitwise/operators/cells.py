@@ -9,6 +9,7 @@ from unitwise.functions import fixed_values as V
 from unitwise.functions import scalars as S
 from unitwise.functions.scan import numbered
 from unitwise.operators.walk import SHEET, used_range
+from unitwise.session import stage
 
 
 def sheet_grid(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -177,13 +178,14 @@ def column_inventory(cells: DataFrame) -> DataFrame:
 def detect_nonstandard_layout(cells: DataFrame) -> DataFrame:
     """Four signals of a layout the column mapping does not fit.
 
-    Looks at the first sixty rows of a sheet, so every group here is bounded.
+    Looks at the first sixty rows of a sheet, so every group here is bounded. Ranges and these rows are
+    staged: the cells are read twice, not once for every signal.
     """
-    ranges = used_range(cells)
-    head = cells.filter(S.clean_text("text").isNotNull()).join(ranges, SHEET).withColumns({
+    ranges = stage(used_range(cells))
+    head = stage(cells.filter(S.clean_text("text").isNotNull()).join(ranges, SHEET).withColumns({
         "i": F.col("row") - F.col("first_row"),
         "n_rows": F.col("last_row") - F.col("first_row") + 1,
-    }).filter(F.col("i") < 60)
+    }).filter(F.col("i") < 60))
     sample = F.least(F.lit(60), F.col("n_rows"))
 
     ids = head.filter((F.col("col") == 0) & (F.col("ctype") == "n") & (F.col("num") >= 100))
