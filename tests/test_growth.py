@@ -35,6 +35,16 @@ def test_last_map_binds_its_entries(spark):
     assert df.collect()[0].m == {1: "a", 2: "b"}
 
 
+def test_scores_read_the_grid_once(spark):
+    cells = G.cells(spark, list(G.cell_rows(1, "s", GRID)), list(G.cell_rows(2, "t", [["x"]] * 14 + [["unit rent"]])),
+                    list(G.cell_rows(3, "t", [["x"]] * 13 + [["unit rent"]])))
+    grid = C.sheet_grid(cells)
+    scores = C.sheet_scores(grid, C.sheet_inventory(cells))
+    found = {r.doc_id: r.score for r in scores.collect()}
+    assert (found[1], found[2], found[3]) == (4, 0, 4)
+    assert plan(scores).count("Generate") + plan(scores).count("Join") == plan(grid).count("Join") + 1
+
+
 def test_layout_signals_read_staged_rows(spark):
     rows = [[100 + i, "Total Units", 5] for i in range(70)]
     out = C.detect_nonstandard_layout(G.cells(spark, list(G.cell_rows(1, "s", rows))))
