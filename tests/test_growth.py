@@ -45,6 +45,12 @@ def test_scores_read_the_grid_once(spark):
     assert plan(scores).count("Generate") + plan(scores).count("Join") == plan(grid).count("Join") + 1
 
 
+@pytest.mark.parametrize("name,most", [("select_sheets", 0), ("sample_rows_older", 0)])
+def test_sheets_are_not_read_again_to_select_from_them(spark, sf_dir, name, most):
+    files = all_queries()[name](spark, sf_dir).inputFiles()
+    assert sum("lineitem" in f for f in files) == most
+
+
 def test_layout_signals_read_staged_rows(spark):
     rows = [[100 + i, "Total Units", 5] for i in range(70)]
     out = C.detect_nonstandard_layout(G.cells(spark, list(G.cell_rows(1, "s", rows))))

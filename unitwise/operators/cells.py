@@ -108,6 +108,8 @@ def sample_rows(grid: DataFrame) -> DataFrame:
 
 def sample_rows_older(grid: DataFrame, first: int = 35, last: int = 70) -> DataFrame:
     """Older profile: the first and the last rows of the used range."""
+    # The lines are put together once, not again to find the span.
+    grid = stage(grid)
     span = grid.groupBy(*SHEET).agg(F.min("row").alias("_a"), F.max("row").alias("_b"))
     return grid.join(span, SHEET).filter(
         (F.col("row") < F.col("_a") + first) | (
