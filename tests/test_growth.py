@@ -35,6 +35,14 @@ def test_last_map_binds_its_entries(spark):
     assert df.collect()[0].m == {1: "a", 2: "b"}
 
 
+def test_grid_lines_with_gaps_and_repeated_cells(spark):
+    rows = list(G.cell_rows(1, "s", GRID, 2))
+    lines = {r.row: r.line for r in C.sheet_grid(G.cells(spark, rows, rows, [
+        (1, "s", 3, 3, "s", "Zoe", None, None)])).collect()}
+    assert lines == {0: "R1: Rent Roll", 1: "R2: Unit | Tenant | Rent", 2: "R3: A1 |  | 900", 3: "R4: B2 | Zoe",
+                     4: "R5:  |  | x"}
+
+
 def test_scores_read_the_grid_once(spark):
     cells = G.cells(spark, list(G.cell_rows(1, "s", GRID)), list(G.cell_rows(2, "t", [["x"]] * 14 + [["unit rent"]])),
                     list(G.cell_rows(3, "t", [["x"]] * 13 + [["unit rent"]])))

@@ -22,13 +22,13 @@ def sheet_grid(cells: DataFrame, max_rows: int | None = None) -> DataFrame:
         ranges, SHEET).filter(F.col("col") < F.col("first_col") + V.MAX_COLUMNS)
     if max_rows is not None:
         shown = shown.filter(F.col("row") < F.col("first_row") + max_rows)
-    rows = shown.groupBy(*SHEET, "row", "first_col").agg(
-        S.last_map(F.array_sort(F.collect_list(F.struct(
-            F.col("col").alias("k"), F.col("shown").alias("v"))))).alias("m"))
-    last = F.array_max(F.map_keys("m"))
-    line = F.array_join(F.transform(
-        F.sequence(F.col("first_col"), last),
-        lambda c: F.coalesce(F.col("m")[c], F.lit(""))), " | ")
+    rows = shown.groupBy(*SHEET, "row", "first_col").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("col").alias("k"), F.col("shown").alias("v")))).alias("e"))
+    # A cell brings the bars between it and the one before; of a column listed twice the last text is printed.
+    at = lambda i: F.get("e", i)["k"]
+    line = F.array_join(F.transform("e", lambda c, i: F.concat(
+        F.repeat(F.lit(" | "), c["k"] - F.coalesce(at(i - 1), F.col("first_col"))),
+        F.when(F.coalesce(at(i + 1) == c["k"], F.lit(False)), "").otherwise(c["v"]))), "")
     return rows.select(*SHEET, "row", F.concat(
         F.lit("R"), (F.col("row") + 1).cast("string"), F.lit(": "), line).alias("line"))
 
