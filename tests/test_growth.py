@@ -66,6 +66,12 @@ def test_layout_signals_read_staged_rows(spark):
     assert "LogicalRDD" not in plan(out) and "LocalRelation" not in plan(out)
 
 
+def test_order_lines_keep_their_partitions(spark, sf_dir):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (sheets.lease_lines(spark, sf_dir), T.charges(spark, sf_dir)):
+        assert "RepartitionByExpression [l_orderkey" in plan(df) and f"], {n}" in plan(df)
+
+
 def test_grading_looks_for_a_line_once(spark):
     lines = lambda *parts: F.array(*[F.struct(F.lit(c).alias("code"), F.lit(a).cast("decimal(18,4)").alias("amount"),
                                               F.lit("base_rent").alias("category")) for c, a in parts])

@@ -134,9 +134,7 @@ def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def lease_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = T.table(spark, sf_dir, "lineitem")
-    return items.join(orders, items.l_orderkey == orders.o_orderkey).groupBy(
+    return T.ordered_lines(spark, sf_dir).groupBy(
         F.col("l_orderkey").alias("unit_row_id"),
         F.expr("CAST(o_custkey % 40 AS BIGINT)").alias("doc_id"),
         F.col("l_linenumber").cast("long").alias("line_no"), F.expr(LINE_CODES).alias("code")).agg(
