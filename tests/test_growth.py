@@ -43,6 +43,14 @@ def test_grid_lines_with_gaps_and_repeated_cells(spark):
                      4: "R5:  |  | x"}
 
 
+def test_grid_lines_of_dates_left_of_the_used_range(spark):
+    day = lambda row, col, serial: (1, "s", row, col, "n", "", float(serial), "mm/dd/yyyy")
+    lines = {r.row: r.line for r in C.sheet_grid(G.cells(spark, [
+        day(0, 0, 45000), day(0, 1, 45001), (1, "s", 0, 2, "s", "a", None, None), (1, "s", 0, 4, "s", "b", None, None),
+        day(1, 0, 45000), day(1, 0, 45001), day(2, 0, 45000), day(2, 1, 45001)])).collect()}
+    assert lines == {0: "R1: a |  | b", 1: "R2:  |  | 2023-03-16", 2: "R3:  | 2023-03-16"}
+
+
 def test_scores_read_the_grid_once(spark):
     cells = G.cells(spark, list(G.cell_rows(1, "s", GRID)), list(G.cell_rows(2, "t", [["x"]] * 14 + [["unit rent"]])),
                     list(G.cell_rows(3, "t", [["x"]] * 13 + [["unit rent"]])))
