@@ -90,3 +90,23 @@ def test_grading_looks_for_a_line_once(spark):
     assert (out.one, out.two, out.named) == (False, True, True)
     text = str(score.charges_captured("e", "a")._jc.toString())
     assert text.count("array_position") == 1
+
+
+def test_only_texts_that_start_like_numbers_are_cast(spark):
+    texts = ["(5)", "(5", "-.5", "abc", "", "1e3x", "$( 7 )", "(+5)", "()", ".", "-", "1,200.50", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(S.parse_number("t").alias("n"))
+    assert [r.n for r in df.collect()] == [-5, None, -0.5, None, None, 1000, -7, None, None, None, None, 1200.5, None]
+    assert "RLIKE" in plan(df)
+
+
+def test_the_scan_for_blocks_leaves_the_plan_behind(spark, sf_dir):
+    cells, plans = sheets.cells(spark, sf_dir, "lease"), sheets.structures(spark, sf_dir, "lease")
+    walked = W.walk(cells, plans)
+    _, blocks = W.assign_blocks(walked.rows)
+    assert not {"rent_codes", "captured", "c_unit_number"} & set(blocks.columns)
+    assert walked.units.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_methods_too_long_to_compile_are_cut(spark, sf_dir):
+    T.table(spark, sf_dir, "orders")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
