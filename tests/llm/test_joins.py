@@ -2,6 +2,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from samples import EDGE, components, copies, corpus
@@ -9,6 +10,7 @@ from unitwise.llm import line_dedup as L
 from unitwise.llm import ngram_join as J
 from unitwise.llm import regions as R
 from unitwise.llm.components import connected_components
+from unitwise.session import stage_by
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -110,3 +112,90 @@ def test_line_edge_cases(spark):
     assert L.line_dedup(corpus(spark, [])).count() == 0
     stripped = L.strip_lines(corpus(spark, [(1, "a line here\n\nother"), (2, "a line here\nnew"), (3, None)]))
     assert sorted((r.doc_id, r.text) for r in stripped.collect()) == [(1, "a line here\n\nother"), (2, "new"), (3, None)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_not_exchanged_again(spark):
+    """Joins on the class find the bodies in buckets; of the pivots' side both inputs move, so a large pivot can be split."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        bodies = stage_by(spark.range(20).selectExpr("id AS cls", "CAST(2 AS LONG) AS n", "CAST('abcdef' AS BINARY) AS body"), "cls")
+        sizes = spark.range(20).selectExpr("id % 7 AS cls", "id AS size")
+        assert _plan(sizes.join(bodies, "cls")).count("Exchange hashpartitioning") == 1
+        pairs = spark.range(20).selectExpr("id AS c", "id % 3 AS p")
+        met = R.measured(pairs, bodies)
+        # pairs by c, their pivots, then pairs and pivots' bodies by p
+        assert _plan(met).count("Exchange hashpartitioning") == 4
+        assert met.count() == 20
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_blocks_do_not_pass_through_pandas(spark):
+    members = spark.createDataFrame([(1, 1, 1, True, None, 2), (1, 2, 2, True, None, 2)],
+                                    "region long, cls long, comp long, home boolean, d double, n long")
+    body = bytearray(R.to_bytes(np.array([3, 9], np.uint64)))
+    bodies = spark.createDataFrame([(1, 2, body), (2, 2, body)], "cls long, n long, body binary")
+    links = R.join_regions(members, bodies, 75)
+    assert "InPandas" not in _plan(links)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("often", [1, 2, 512])
+def test_packed_keys_of_several_classes(monkeypatch, often):
+    monkeypatch.setattr(R, "OFTEN", often)
+    rng = np.random.default_rng(often)
+    packer, held = R.Packer(3), {}
+    batches = []
+    for cls in range(200):
+        keys = np.unique(rng.integers(0, 400, 5)).astype(np.uint64)
+        for s in keys.tolist():
+            held.setdefault(s, set()).add(cls)
+        packer.add(keys | np.uint64(1 << 54), cls)
+        if cls % 50 == 49:
+            batches.append(packer.flush())
+    found = {}
+    for batch in R._shared_rows(iter(batches)):
+        for s, cls, least, score, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(s, []).append((cls, k))
+            assert (least, score) == (1, 0)
+    shared = {s: x for s, x in held.items() if len(x) > 1}
+    for s, x in shared.items():
+        assert {c for c, _ in found[s]} == x
+        assert {k for _, k in found[s]} <= {0, len(x)}
+    assert all(k == 0 for s in found.keys() - shared.keys() for _, k in found[s])
+    assert often < 512 or found.keys() == shared.keys()
+
+
+def test_runs_and_bands_by_definition():
+    def spread(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def run(text):
+        h = 0
+        for x in [ord(c) + 1 for c in text] + [0] * (L.CHARS - len(text)):
+            h = (h ^ x) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+        return spread(h)
+
+    lines = ["a", "short", "exactly", "one more character", "\U0001f600 wide", "x" * 40, "ab"]
+    own = [[run(x[k:k + L.CHARS]) for k in range(max(1, len(x) - L.CHARS + 1))] for x in lines]
+    hashes, counts = L.run_hashes(lines)
+    assert counts.tolist() == [len(x) for x in own]
+    assert hashes.tolist() == [h for x in own for h in x]
+    factors, masks = (x.tolist() for x in L._permutations())
+    for keys, x in zip(L.band_keys(lines).tolist(), own, strict=True):
+        for band, key in enumerate(keys):
+            h = band + 1
+            for k in range(band * L.ROWS, (band + 1) * L.ROWS):
+                h = spread((h * 0x9E3779B97F4A7C15 + min(((y >> 32) ^ masks[k]) * factors[k] % 2**32 for y in x)) % 2**64)
+            assert key == h % 2**48

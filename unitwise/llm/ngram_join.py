@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from unitwise.llm.common import lower_words, mix, partitions_for, prepare, slices
 from unitwise.llm.regions import (COUNTED, LEVELS, LOW48, PACKED, REGION, ROWS_PER_TASK, Packer, Picker,
                                   count_links, from_bytes, link_shared, shared_keys, to_bytes)
-from unitwise.session import stage
+from unitwise.session import release, stage, stage_by, staged_since, staged_tables
 
 SIZE = 5
 PERCENT = 75
@@ -206,10 +206,12 @@ def ngram_join(docs: DataFrame, region: int = REGION, levels: int = LEVELS, coun
     """
     prepare(docs.sparkSession)
     sets = stage(shingle_sets(docs))
+    mark = staged_tables()
     comps, bodies = link_classes(sets, region, levels)
     classes = stage(_classes(sets, comps))
     groups = classes.filter("component IS NOT NULL").select("cls", "component", "size")
-    sized = stage(bodies.join(groups.select("cls", "size"), "cls"))
+    sized = stage_by(bodies.join(groups.select("cls", "size"), "cls"), "cls")
+    release(docs.sparkSession, staged_since(mark)[:-2])
     links = count_links(groups.select("cls", "component"), sized, PERCENT, counted, levels)
     rows = F.coalesce(F.col("size") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links")
     return _named(sets, classes.join(links, "cls", "left"), rows)

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from unitwise.llm.common import mix
 from unitwise.llm.components import connected_components
-from unitwise.session import stage
+from unitwise.session import stage, stage_by
 
 REGION = 2048
 LEVELS = 3
@@ -39,6 +38,7 @@ PAIRED = 4
 OFTEN = 512
 LOW48 = np.uint64((1 << 48) - 1)
 _NEAR = 1e-9
+_MET_AT_ONCE = 4_000_000
 
 
 def to_bytes(values: np.ndarray) -> bytes:
@@ -89,13 +89,11 @@ class Packer:
                 out += self._dealt(pairs, pairs[:, 1], 1)
                 continue
             key = pairs[:, 0] & LOW48
-            order = np.argsort(key, kind="stable")
-            pairs, key = pairs[order], key[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            count = np.diff(first, append=len(key))
-            often = np.repeat(count > OFTEN, count)
+            kinds = np.sort(key)
+            many = kinds[np.append(kinds[OFTEN:] == kinds[:-OFTEN], np.zeros(min(OFTEN, len(kinds)), bool))]
+            often = np.isin(key, np.unique(many))
             named = np.zeros(len(key), bool)
-            named[first] = often[first]
+            named[np.flatnonzero(often)[np.unique(key[often], return_index=True)[1]]] = True
             often &= ~named
             plain = ~often & ~named
             out += self._dealt(pairs[plain], key[plain], 0) + self._dealt(pairs[named], key[named], 2)
@@ -107,7 +105,8 @@ class Packer:
             names=["part", "kind", "rows"])
 
     def _dealt(self, pairs: np.ndarray, by: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
-        part = (mix(by) % np.uint64(self.parts)).astype(np.int64)
+        # Numbers of 16 bits are sorted by their digits.
+        part = (mix(by) % np.uint64(self.parts)).astype(np.uint16 if self.parts < 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
         pairs, cuts = pairs[order], np.searchsorted(part[order], np.arange(self.parts + 1))
         return [(p, kind, pairs[cuts[p]:cuts[p + 1]].tobytes()) for p in range(self.parts) if cuts[p] < cuts[p + 1]]
@@ -121,18 +120,26 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, kind, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             pairs = np.frombuffer(rows, np.uint64).reshape(-1, 2)
-            held.setdefault((part, kind == 1), []).append(
-                np.column_stack([pairs, np.full(len(pairs), kind, np.uint64)]))
+            held.setdefault((part, kind == 1), []).append((pairs, kind))
     for (_, spread), found in held.items():
-        pairs = np.concatenate(found)
+        pairs, kinds = np.concatenate([x for x, _ in found]), np.repeat([k for _, k in found], [len(x) for x, _ in found])
+        if not spread:
+            # Most keys are met once, so the rest is sorted by class too.
+            s = pairs[:, 0] & LOW48
+            order = np.argsort(s)
+            new = np.append(True, s[order[1:]] != s[order[:-1]])
+            order = order[~(new & np.append(new[1:], True)) | (kinds[order] == 2)]
+            pairs, kinds = pairs[order], kinds[order]
         s, c = pairs[:, 0] & LOW48, pairs[:, 1]
         order = np.lexsort((c, s))
-        pairs, s, c = pairs[order], s[order], c[order]
+        pairs, kinds, s, c = pairs[order], kinds[order], s[order], c[order]
+        if not len(s):
+            continue
         first = np.append(True, s[1:] != s[:-1])
         group = np.cumsum(first) - 1
         fresh = first | np.append(True, c[1:] != c[:-1])
         k = np.bincount(group, fresh).astype(np.int64)
-        named = np.bincount(group, pairs[:, 2] == 2) > 0
+        named = np.bincount(group, kinds == 2) > 0
         k = np.where(named | spread, 0, k)[group]
         keep = fresh & (k != 1)
         pairs, s, k = pairs[keep], s[keep], k[keep]
@@ -229,7 +236,11 @@ class Picker:
 def measured(pairs: DataFrame, bodies: DataFrame, *keep: str) -> DataFrame:
     """``pairs`` (p, c, keep...) with the size of their intersection and both sizes."""
     one = bodies.select(F.col("cls").alias("c"), F.col("n").alias("n_c"), F.col("body").alias("body_c"))
-    two = bodies.select(F.col("cls").alias("p"), F.col("n").alias("n_p"), F.col("body").alias("body_p"))
+    pivots = bodies.join(pairs.select(F.col("p").alias("cls")).distinct(), "cls", "left_semi")
+    # The bodies of pivots move: only where both sides are exchanged does the runtime split a pivot of many
+    # rows, and without an expression around the key it would keep to the buckets of ``bodies``.
+    two = pivots.select(F.col("cls").bitwiseXOR(F.lit(0)).alias("p"), F.col("n").alias("n_p"),
+                        F.col("body").alias("body_p"))
     columns = ["p", "c", *keep, "n_p", "n_c"]
     schema = ", ".join(f"{k} long" for k in [*columns, "both"])
 
@@ -251,75 +262,83 @@ def measured(pairs: DataFrame, bodies: DataFrame, *keep: str) -> DataFrame:
 _DISTANCE = "1 - both / (n_p + n_c - both)"
 
 
-def _close(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _close(rows: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Every home class of a block by its place, and which classes of the block link with it.
 
     Keys that a quarter of the classes hold are multiplied as a matrix, the others counted holder by holder.
     """
-    bodies = [from_bytes(b) for b in rows["body"]]
-    sizes = np.array([len(b) for b in bodies])
-    owner = np.repeat(np.arange(len(bodies)), sizes)
-    flat, code = np.unique(np.concatenate(bodies), return_inverse=True)
-    held = np.bincount(code, minlength=len(flat))
-    holders = owner[np.argsort(code, kind="stable")]
+    sizes = np.array([len(b) // 6 for b in rows["body"]])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    flat = from_bytes(b"".join(rows["body"]))
+    order = np.argsort(flat, kind="stable")
+    flat, holders = flat[order], owner[order]
+    first = np.append(True, flat[1:] != flat[:-1])[:len(flat)]
+    code = np.empty(len(flat), np.int64)
+    code[order] = np.cumsum(first) - 1
+    held = np.diff(np.flatnonzero(first), append=len(flat))
     ends, starts = np.append(0, np.cumsum(held)), np.append(0, np.cumsum(sizes))
-    common = np.flatnonzero(held > max(len(bodies) // 4, 1))
-    line = np.full(len(flat), -1)
-    line[common] = np.arange(len(common))
-    at = line[code]
-    table = np.zeros((len(common), len(bodies)), np.float32 if sizes.max() < 1 << 24 else np.float64)
-    table[at[at >= 0], owner[at >= 0]] = 1
-    some = (held > 1) & (line < 0)
-    far = rows["d"].to_numpy(np.float64)
-    homes = np.flatnonzero(rows["home"].to_numpy())
-    for first in range(0, len(homes), 256):
-        part = homes[first:first + 256]
-        for i, both in zip(part, (table[:, part].T @ table).astype(np.int64), strict=True):
-            own = code[starts[i]:starts[i + 1]]
-            own = own[some[own]]
-            if len(own):
-                both += np.bincount(np.concatenate([holders[ends[k]:ends[k + 1]] for k in own]), minlength=len(bodies))
-            both[i] = sizes[i]
-            close = 100 * both >= percent * (sizes[i] + sizes - both)
+    often = held > max(len(sizes) // 4, 1)
+    line = np.cumsum(often) - 1
+    at = often[code]
+    table = np.zeros((int(often.sum()), len(sizes)), np.float32 if sizes.max() < 1 << 24 else np.float64)
+    table[line[code[at]], owner[at]] = 1
+    some = ((held > 1) & ~often)[code]
+    met = np.append(0, np.cumsum(np.where(some, held[code], 0)))[starts]
+    far = rows["d"]
+    homes = np.flatnonzero(rows["home"])
+    while len(homes):
+        # As many homes at once as keep the holders met, and the counts, in bounds.
+        part = homes[:max(1, min(256, int(np.searchsorted(np.cumsum(met[homes + 1] - met[homes]), _MET_AT_ONCE))))]
+        homes = homes[len(part):]
+        both = (table[:, part].T @ table).astype(np.int64)
+        sought = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
+        row = np.repeat(np.arange(len(part)), sizes[part])[some[sought]]
+        own = code[sought[some[sought]]]
+        if len(own):
+            n = held[own]
+            place = np.arange(n.sum()) + np.repeat(ends[own] - np.cumsum(n) + n, n)
+            both += np.bincount(np.repeat(row, n) * len(sizes) + holders[place], minlength=both.size).reshape(both.shape)
+        for i, count in zip(part, both, strict=True):
+            count[i] = sizes[i]
+            close = 100 * count >= percent * (sizes[i] + sizes - count)
             yield i, close & ~(np.abs(far - far[i]) > 1 - percent / 100 + _NEAR)
 
 
-def _once(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values("cls").drop_duplicates("cls", keep="first").reset_index(drop=True)
+def _rows(table: pa.Table) -> dict[str, np.ndarray]:
+    """The columns of a block, each class once, by class."""
+    cls, place = np.unique(table["cls"].to_numpy(), return_index=True)
+    table = table.take(pa.array(place))
+    return {"cls": cls, "body": table["body"].to_pylist()} | {
+        k: table[k].to_numpy() for k in table.column_names if k not in ("cls", "body")}
 
 
-def _join_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _join_block(table: pa.Table, percent: int) -> pa.Table:
     """Links between home classes and classes of other components: enough to connect them."""
-    rows = _once(rows)
-    group = {c: c for c in rows["comp"]}
-
-    def root(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    comps = rows["comp"].tolist()
+    rows = _rows(table)
+    group = np.unique(rows["comp"], return_inverse=True)[1]
     out = []
-    for i, close in _close(rows, percent):
-        for j in np.flatnonzero(close):
-            a, b = root(comps[i]), root(comps[j])
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                out.append((int(rows["cls"][i]), int(rows["cls"][j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _count_block(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    if group.any():
+        for i, close in _close(rows, percent):
+            near = np.flatnonzero(close & (group != group[i]))
+            if len(near):
+                joined, first = np.unique(group[near], return_index=True)
+                out += [(rows["cls"][i], rows["cls"][j]) for j in near[first]]
+                group[np.isin(group, joined)] = group[i]
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _count_block(table: pa.Table, percent: int) -> pa.Table:
     """Of every home class, the rows (``size``) of the other classes dealt to this block that link with it."""
-    rows = _once(rows)
-    size = np.where(rows["partner"].to_numpy(), rows["size"].to_numpy(), 0)
-    out = [(int(rows["cls"][i]), int(size[close].sum() - size[i])) for i, close in _close(rows, percent)]
-    return pd.DataFrame(out, columns=["cls", "linked"], dtype="int64")
+    rows = _rows(table)
+    size = np.where(rows["partner"], rows["size"], 0)
+    out = np.array([(rows["cls"][i], size[close].sum() - size[i]) for i, close in _close(rows, percent)],
+                   np.int64).reshape(-1, 2)
+    return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["cls", "linked"])
 
 
 def join_regions(members: DataFrame, bodies: DataFrame, percent: int, region: int = REGION, levels: int = LEVELS,
-                 block: Callable[[pd.DataFrame, int], pd.DataFrame] = _join_block,
+                 block: Callable[[pa.Table, int], pa.Table] = _join_block,
                  schema: str = "a long, b long") -> DataFrame:
     """What ``block`` finds between the home classes of every region and its classes; each pair meets in one block.
 
@@ -351,7 +370,7 @@ def join_regions(members: DataFrame, bodies: DataFrame, percent: int, region: in
             F.explode(F.sequence(F.lit(0), pieces("home") - 1)).alias("hb"), own.alias("ab"))
         blocks = homes.unionByName(partners).groupBy("region", "hb", "ab", "cls", "comp", "d").agg(
             F.max("home").alias("home"), F.max("partner").alias("partner"))
-        out.append(blocks.join(bodies, "cls").groupBy("region", "hb", "ab").applyInPandas(
+        out.append(blocks.join(bodies, "cls").groupBy("region", "hb", "ab").applyInArrow(
             lambda rows: block(rows, percent), schema))
         if level >= levels:
             break
@@ -434,7 +453,7 @@ def link_shared(shared: DataFrame, bodies_of: Callable[[Broadcast], DataFrame],
         F.max("region").alias("region")))
     classes = pairs.select(F.col("c").alias("cls")).unionByName(pairs.select(F.col("p").alias("cls"))).distinct()
     bits = pairs.sparkSession.sparkContext.broadcast(filter_bits(classes, classes.count()))
-    bodies = stage(bodies_of(bits))
+    bodies = stage_by(bodies_of(bits), "cls")
     bits.destroy()
     seen = stage(measured(pairs, bodies, "region"))
     stars = seen.filter(f"100 * both >= {percent} * (n_p + n_c - both)").select(
