@@ -50,17 +50,26 @@ def run_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     flat = np.append(flat + np.uint64(1), np.zeros(CHARS, np.uint64))
     ends = np.cumsum(sizes)
+    starts = ends - sizes
+    short = np.flatnonzero(sizes < CHARS)
+    out = _chained([flat[k:k + ends[-1]] for k in range(CHARS)])
+    keep = np.ones(len(out), bool)
+    for k in range(1, CHARS):
+        keep[(ends - k)[sizes > k]] = False
     # A line of fewer characters is one run of them all: its last places count as empty.
-    left = np.repeat(ends, sizes) - np.arange(ends[-1])
-    short = np.repeat(sizes < CHARS, sizes)
-    out = np.zeros(int(ends[-1]), np.uint64)
-    for k in range(CHARS):
-        step = flat[k:k + len(out)]
-        out = (out ^ np.where(short & (left <= k), np.uint64(0), step)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    counts = np.maximum(sizes - CHARS + 1, 1)
-    place = np.arange(len(out)) - np.repeat(ends - sizes, sizes)
-    return mix(out[place < np.repeat(counts, sizes)]), counts
+    out[starts[short]] = _chained([np.where(sizes[short] > k, flat[starts[short] + k], np.uint64(0)) for k in range(CHARS)])
+    keep[starts[short]] = True
+    return mix(out[keep]), np.maximum(sizes - CHARS + 1, 1)
+
+
+def _chained(steps: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(steps[0]), np.uint64)
+    high = np.empty_like(out)
+    for step in steps:
+        out ^= step
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= np.right_shift(out, np.uint64(29), out=high)
+    return out
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +83,17 @@ def band_keys(lines: list[str]) -> np.ndarray:
     """48-bit keys, lines x ``BANDS``."""
     hashes, counts = run_hashes(lines)
     half = (hashes >> np.uint64(32)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    starts = np.cumsum(counts) - counts
     factors, masks = _permutations()
-    out = np.empty((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat((half ^ masks[k]) * factors[k], starts)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        out[:, band] = key & LOW48
-    return out
+    least, held = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(half)
+    for k in range(BANDS * ROWS):
+        np.bitwise_xor(half, masks[k], out=held)
+        np.multiply(held, factors[k], out=held)
+        np.minimum.reduceat(held, starts, out=least[k])
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for k in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + least[k::ROWS])
+    return out.T & LOW48
 
 
 def _lines(text: str | None) -> list[tuple[int, str]]:
@@ -163,13 +173,20 @@ def _bodies(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "line", 4 << 20):
-            bodies = []
+            sizes, bodies = [], []
             for chunk in _chunks(batch.column("line").to_pylist()):
                 hashes, counts = run_hashes(chunk)
-                bodies += [np.unique(x & LOW48) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                owner, hashes = np.repeat(np.arange(len(counts)), counts), hashes & LOW48
+                hashes = np.concatenate([np.sort(x) for x in np.split(hashes, np.cumsum(counts)[:-1])])
+                fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
+                sizes.append(np.bincount(owner[fresh]))
+                bodies.append(to_bytes(hashes[fresh]))
+            n = np.concatenate(sizes)
+            ends = np.append(0, np.cumsum(n * 6)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), pa.array([len(b) for b in bodies], pa.int64()),
-                 pa.array([to_bytes(b) for b in bodies], pa.binary())], names=["cls", "n", "body"])
+                [batch.column("cls"), pa.array(n), pa.Array.from_buffers(
+                    pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(bodies))])],
+                names=["cls", "n", "body"])
 
     return docs.select("text").mapInArrow(pick, "cls long, line string").dropDuplicates(["cls"]).mapInArrow(
         cut, "cls long, n long, body binary")
