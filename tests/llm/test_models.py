@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from samples import EDGE, corpus
 
@@ -219,3 +220,37 @@ def test_mixing_edge_cases(spark, tables):
     assert mixed.columns == corpus(spark, EDGE).columns
     one = mixing.mixing(docs, marks.limit(0)).filter("p_clean <> p_low").count()
     assert one == 0
+
+
+def _in_a_task(function):
+    def run(*args):
+        assert TaskContext.get() is not None
+        return function(*args)
+    return run
+
+
+def test_driver_gets_finished_models(spark, tables, monkeypatch):
+    docs, labels = tables
+    monkeypatch.setattr(quality, "train", _in_a_task(quality.train))
+    monkeypatch.setattr(mixing, "_softmax_fit", _in_a_task(mixing._softmax_fit))
+    fetched, frame = [], type(docs)
+    for name in ("collect", "toPandas", "first"):
+        def fetch(self, take=getattr(frame, name)):
+            out = take(self)
+            rows = out.itertuples(index=False) if isinstance(out, pd.DataFrame) else [out] if name == "first" else out
+            fetched.append(sum(len(x) for row in rows if row for x in row if isinstance(x, (bytes, bytearray))))
+            return out
+        monkeypatch.setattr(frame, name, fetch)
+    model = quality.learn(docs, labels)
+    # The word vectors, in float32, and once.
+    assert max(fetched) <= 1.1 * 4 * quality.TOKENS * quality.SIZE
+    texts = docs.join(labels.filter("quality IS NOT NULL").select("doc_id").distinct(), "doc_id").dropDuplicates(
+        ["doc_id"]).toPandas()["text"]
+    sums = quality.context_sums(texts, quality.index_vectors())
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(model.vectors, np.where(
+        norm > 0, sums / np.maximum(norm, 1e-9), quality.index_vectors() / quality.NONZERO ** 0.5), atol=1e-5)
+    fetched.clear()
+    names = list(mixing.TARGETS)
+    assert mixing.learn(docs, mixing.domains_of(labels), names).weights.shape == (2 * mixing.FEATURES, len(names))
+    assert max(fetched) <= mixing._SAMPLE_TASKS * 4 * (quality.TOKENS + 1) * len(names)

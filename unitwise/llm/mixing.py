@@ -12,7 +12,7 @@ names the domains that miss theirs.
 
 Classifier: presence and share of ``FEATURES`` hashed word and shape tokens, those whose document
 frequency differs most between domains (chi squared), learned from a bounded sample of labelled
-rows (``SAMPLE_ROWS``, those whose id hashes lowest). A document's tokens are its words.
+rows (``SAMPLE_ROWS``, those whose id hashes lowest); one task fits it. A document's tokens are its words.
 
 Defined results: a null or empty text has no tokens; it is classified like any text and does not
 weigh in the totals. Of several domains of a document the first by name counts; null domains
@@ -24,6 +24,7 @@ result.
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -126,17 +127,22 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], most: int = SAM
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "domain": pdf["domain"], "n": [n for _, n in each],
                                 "counts": [c.astype(np.uint32).tobytes() for c, _ in each]})
 
-    seen = sample.mapInPandas(features, "doc_id long, domain string, n long, counts binary").toPandas().sort_values("doc_id")
-    x = np.empty((len(seen), 2 * FEATURES), np.float32)
-    for at in range(0, len(seen), 1000):
-        part = seen.iloc[at:at + 1000]
-        counts = np.stack([np.frombuffer(c, np.uint32) for c in part["counts"]])
-        x[at:at + 1000] = inputs(counts, part["n"].to_numpy())
-    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)).astype(np.float32) + np.float32(1e-3)
-    x /= scale
-    y = np.eye(len(names), dtype=np.float32)[[names.index(d) for d in seen["domain"]]]
-    weights, bias = _softmax_fit(x, y)
-    return DomainModel(names, slot, scale, weights, bias)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(batches)).sort_values("doc_id")
+        x = np.empty((len(seen), 2 * FEATURES), np.float32)
+        for at in range(0, len(seen), 1000):
+            part = seen.iloc[at:at + 1000]
+            counts = np.stack([np.frombuffer(c, np.uint32) for c in part["counts"]])
+            x[at:at + 1000] = inputs(counts, part["n"].to_numpy())
+        scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)).astype(np.float32) + np.float32(1e-3)
+        x /= scale
+        y = np.eye(len(names), dtype=np.float32)[[names.index(d) for d in seen["domain"]]]
+        yield pd.DataFrame({"model": [pickle.dumps((scale, *_softmax_fit(x, y)))]})
+
+    # One task holds the bounded sample, two kilobytes a row; the driver gets the weights.
+    row = sample.mapInPandas(features, "doc_id long, domain string, n long, counts binary").repartition(1).mapInPandas(
+        fit, "model binary").first()
+    return DomainModel(names, slot, *pickle.loads(row["model"]))
 
 
 def _softmax_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,9 @@ hidden layer; its logits are divided by a temperature fitted on sample rows kept
 the training, so that scores are probabilities.
 
 Vectors, network and temperature are learned from a bounded sample of labelled rows
-(``SAMPLE_ROWS``, those whose id hashes lowest); every row is scored over its whole text.
+(``SAMPLE_ROWS``, those whose id hashes lowest); every row is scored over its whole text. The
+tasks' sums are added and scaled by blocks of tokens, and one task fits the network, so the
+driver gets the finished vectors and the network only.
 
 Defined results: a null text counts as empty and is scored as the text without tokens.
 Of several labels of a document the lowest counts; null labels are ignored. Without two
@@ -19,6 +21,7 @@ are ignored, an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ REACH = 2
 EPOCHS = 40
 _SAME = 0
 _SAMPLE_TASKS = 8
+#: Tokens of a block of word vectors.
+_BLOCK = 512
 _CACHED = 500_000
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -201,18 +207,26 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Classi
     chosen = bounded_sample(marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", most)
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
                    .dropDuplicates(["doc_id"]).repartition(_SAMPLE_TASKS, "doc_id"))
-    index = index_vectors()
-    shared = spark.sparkContext.broadcast(index)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = context_sums((t for pdf in batches for t in pdf["text"]), shared.value)
-        yield pd.DataFrame({"sums": [total.astype(np.float32).tobytes()]})
-
-    table = np.zeros((TOKENS, SIZE))
-    for row in sample.coalesce(_SAMPLE_TASKS).mapInPandas(sums, "sums binary").collect():
-        table += np.frombuffer(row["sums"], np.float32).reshape(TOKENS, SIZE)
-    norm = np.sqrt((table * table).sum(axis=1, keepdims=True))
-    vectors = np.where(norm > 0, table / np.maximum(norm, 1e-9), index / NONZERO ** 0.5).astype(np.float32)
+        total = context_sums((t for pdf in batches for t in pdf["text"]), index_vectors()).astype(np.float32)
+        yield pd.DataFrame({"block": range(TOKENS // _BLOCK), "task": TaskContext.get().partitionId(),
+                            "sums": [part.tobytes() for part in np.split(total, TOKENS // _BLOCK)]})
+
+    def scaled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((_BLOCK, SIZE))
+        for part in pdf.sort_values("task")["sums"]:
+            table += np.frombuffer(part, np.float32).reshape(_BLOCK, SIZE)
+        norm = np.sqrt((table * table).sum(axis=1, keepdims=True))
+        index = index_vectors()[key[0] * _BLOCK:(key[0] + 1) * _BLOCK]
+        vectors = np.where(norm > 0, table / np.maximum(norm, 1e-9), index / NONZERO ** 0.5).astype(np.float32)
+        return pd.DataFrame({"block": [key[0]], "vectors": [vectors.tobytes()]})
+
+    vectors = np.zeros((TOKENS // _BLOCK, _BLOCK * SIZE), np.float32)
+    for row in sample.coalesce(_SAMPLE_TASKS).mapInPandas(sums, "block int, task int, sums binary").groupBy(
+            "block").applyInPandas(scaled, "block int, vectors binary").collect():
+        vectors[row["block"]] = np.frombuffer(row["vectors"], np.float32)
+    vectors = vectors.reshape(TOKENS, SIZE)
     known = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,11 +235,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Classi
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"],
                                 "x": [pool(t, known.value, tokens).tolist() for t in pdf["text"]]})
 
-    found = sample.mapInPandas(features, "doc_id long, quality int, x array<double>").toPandas()
-    if found["quality"].nunique() < 2:
-        return None
-    found = found.sort_values("doc_id")
-    return train(np.stack(found["x"].to_list()), (found["quality"].to_numpy() > 0).astype(float), vectors)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.concat([pd.DataFrame({"doc_id": [], "quality": [], "x": []}), *batches])
+        if found["quality"].nunique() > 1:
+            found = found.sort_values("doc_id")
+            # The driver has the vectors.
+            model = train(np.stack(found["x"].to_list()), (found["quality"].to_numpy() > 0).astype(float), np.zeros((0, SIZE), np.float32))
+            yield pd.DataFrame({"model": [pickle.dumps(vars(model))]})
+
+    fitted = sample.mapInPandas(features, "doc_id long, quality int, x array<double>").repartition(1).mapInPandas(
+        fit, "model binary").collect()
+    known.destroy()
+    return Classifier(**pickle.loads(fitted[0]["model"]) | {"vectors": vectors}) if fitted else None
 
 
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
