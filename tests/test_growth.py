@@ -1,5 +1,7 @@
 """Steps that must not run again for every use of their result, as the plans show them."""
 
+import re
+
 import grids as G
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +112,34 @@ def test_the_scan_for_blocks_leaves_the_plan_behind(spark, sf_dir):
 def test_methods_too_long_to_compile_are_cut(spark, sf_dir):
     T.table(spark, sf_dir, "orders")
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_cells_are_gathered_in_one_pass_over_sorted_rows(spark):
+    cells = G.cells(spark, list(G.cell_rows(1, "s", GRID)), list(G.cell_rows(2, "s", GRID, 75)), list(G.cell_rows(
+        3, "t", [[None] * 79 + ["a", "b", "c", "d"]])), [(3, "t", 0, 81, "s", "x", None, None)])
+    df = W.sheet_rows(cells.unionByName(cells))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate(") == 1 and "ObjectHashAggregate" not in plan
+    found = {(r.doc_id, r.row): r for r in df.collect()}
+    assert len(found) == 11 and [found[3, 0].lo, found[3, 0].hi] == [79, 82]
+    assert {k: v.s for k, v in found[3, 0].m.items()} == {79: "a", 80: "b"}
+    assert {k: v.s for k, v in found[3, 0].far.items()} == {81: "x", 82: "d"}
+    assert list(found[1, 3].m) == [0, 1] and found[1, 2].m[2].n == 900 and found[2, 2].far == {}
+
+
+def test_blocks_over_bucket_borders_and_below_a_stop(spark):
+    """Bucket totals come with the column statistics, which know no cut: boundaries below it change nothing above."""
+    edge = 2 ** 16
+    grid = {0: ["Unit", "Charge", "Amount"], 1: ["1A", "rent", 5], edge - 2: ["2B", "rent", 10], edge - 1: [None, "rent", 20],
+            edge: [None, "rent", 30], edge + 1: ["3C", "rent", 7], 3 * edge: [None, "rent", 8], 3 * edge + 4: ["Stop here"],
+            3 * edge + 5: ["4D", "rent", 9], 5 * edge: [None, "rent", 1]}
+    rows = [(1, "s", at, c, k, t, n, f) for at, line in grid.items() for _, _, _, c, k, t, n, f in G.cell_rows(1, "s", [line])]
+    plans = G.structures(spark, G.structure(
+        1, "s", "block", columns={"unit_number": 0}, block=(1, 2, ["rent"], [], [], [], []), stop=["stop here"]))
+    w = W.walk(G.cells(spark, rows), plans)
+    assert {r.unit_number: int(r.monthly_rent) for r in w.units.collect()} == {"1A": 5, "2B": 60, "3C": 15}
+    assert {(r.source_row, r.line_no) for r in w.lines.collect()} == {
+        (1, 0), (edge - 2, 0), (edge - 2, 1), (edge - 2, 2), (edge + 1, 0), (edge + 1, 2 * edge - 1)}
+    rows_read = [line for line in w.lines.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
+                 if "FileScan" in line and re.search(r"m#\d+,far", line)]
+    assert len(rows_read) == 2  # by the row layouts and by the scan, not again for the totals

@@ -31,6 +31,7 @@ def running(
     bits: int = BITS,
     order: Sequence[Column] | None = None,
     bucket: str | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running aggregates of ``values`` within ``keys`` along ``pos``.
 
@@ -38,16 +39,18 @@ def running(
     positions up to ``2**(bits * levels)``, and beyond that the topmost window
     grows but the result stays exact. ``order`` breaks ties inside a bucket
     when several rows share an integer position. ``bucket`` names a column that
-    already holds ``pos >> bits``; rows dealt by it are not exchanged again.
+    already holds ``pos >> bits``; rows dealt by it are not exchanged again. ``totals``
+    has the aggregates of every bucket by ``keys`` and ``bucket`` where they are known, so
+    the rows are not read for them.
     """
     combine = {"sum": F.sum, "max": F.max}[how]
     keys = list(keys)
     work = df.withColumns({f"_in_{n}": v for n, v in values.items()})
-    out = _scan(work, keys, pos, list(values), combine, how, levels, bits, order, bucket)
+    out = _scan(work, keys, pos, list(values), combine, how, levels, bits, order, bucket, totals)
     return out.drop(*[f"_in_{n}" for n in values])
 
 
-def _scan(df, keys, pos, names, combine, how, levels, bits, order, given=None):
+def _scan(df, keys, pos, names, combine, how, levels, bits, order, given=None, known=None):
     ordering = list(order) if order else [F.col(pos)]
     if levels <= 1:
         w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(
@@ -56,8 +59,11 @@ def _scan(df, keys, pos, names, combine, how, levels, bits, order, given=None):
 
     bucket = given or f"_b{levels}"
     work = df if given else df.withColumn(bucket, F.shiftright(F.col(pos).cast("long"), bits))
-    totals = work.groupBy(*keys, bucket).agg(
-        *[combine(f"_in_{n}").alias(f"_in_{n}") for n in names])
+    if known is not None:
+        totals = known.select(*keys, bucket, *[F.col(n).alias(f"_in_{n}") for n in names])
+    else:
+        totals = work.groupBy(*keys, bucket).agg(
+            *[combine(f"_in_{n}").alias(f"_in_{n}") for n in names])
     scanned = _scan(totals, keys, bucket, names, combine, how, levels - 1, bits, None)
     # What all earlier buckets contribute: the inclusive value less the bucket
     # itself for sums; for maxima the preceding bucket's inclusive value.

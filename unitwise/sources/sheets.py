@@ -134,12 +134,14 @@ def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def lease_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The code follows from the line number, so it need not be a key.
     return T.ordered_lines(spark, sf_dir).groupBy(
         F.col("l_orderkey").alias("unit_row_id"),
-        F.expr("CAST(o_custkey % 40 AS BIGINT)").alias("doc_id"),
-        F.col("l_linenumber").cast("long").alias("line_no"), F.expr(LINE_CODES).alias("code")).agg(
+        F.expr("CAST(o_custkey % 40 AS BIGINT)").alias("doc_id"), "l_linenumber").agg(
         F.expr(f"CAST(sum(CASE WHEN l_linenumber IN (4, 5) THEN -1 ELSE 1 END"
-               f" * CAST(l_extendedprice AS {_M})) AS {_M})").alias("amount"))
+               f" * CAST(l_extendedprice AS {_M})) AS {_M})").alias("amount")).select(
+        "unit_row_id", "doc_id", F.col("l_linenumber").cast("long").alias("line_no"),
+        F.expr(LINE_CODES).alias("code"), "amount")
 
 
 def _spread(view: DataFrame, placed: list[tuple]) -> DataFrame:
@@ -150,7 +152,9 @@ def _spread(view: DataFrame, placed: list[tuple]) -> DataFrame:
         f" 'num', CAST({'NULL' if kind == 's' else value} AS DOUBLE),"
         f" 'num_fmt', CAST({repr(fmt) if fmt else 'NULL'} AS STRING))")
         for sheet, row, col, kind, value, fmt in placed]
-    return view.select("doc_id", F.explode(F.array(*entries)).alias("c")).select(
+    # A column of their own, as a generator evaluates its argument without compiled code; never empty, so taken as
+    # "outer", which spares a filter that would build them a second time.
+    return view.select("doc_id", F.array(*entries).alias("e")).select("doc_id", F.explode_outer("e").alias("c")).select(
         "doc_id", "c.*").filter(F.col("text").isNotNull())
 
 
