@@ -10,6 +10,7 @@ from unitwise.operators import cells as C
 from unitwise.operators import score
 from unitwise.operators import walk as W
 from unitwise.registry import all_queries
+from unitwise.registry import sheets as R
 from unitwise.sources import sheets
 from unitwise.sources import tables as T
 
@@ -143,3 +144,13 @@ def test_blocks_over_bucket_borders_and_below_a_stop(spark):
     rows_read = [line for line in w.lines.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
                  if "FileScan" in line and re.search(r"m#\d+,far", line)]
     assert len(rows_read) == 2  # by the row layouts and by the scan, not again for the totals
+
+def test_cells_are_built_once_for_all_their_copies(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(R.W, "walk", lambda cells, plans: given.append(cells))
+    R._irregular(spark, sf_dir)
+    cells = sheets.cells(spark, sf_dir, "roll", "lease")
+    assert plan(given[0]).count("Generate") == plan(cells).count("Generate") + 1
+    assert "explode(array(" not in plan(cells)
+    twice = cells.unionByName(cells.filter("col % 2 = 0"))
+    assert given[0].exceptAll(twice).isEmpty() and twice.exceptAll(given[0]).isEmpty()
