@@ -144,6 +144,9 @@ def test_blocks_over_bucket_borders_and_below_a_stop(spark):
     rows_read = [line for line in w.lines.select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
                  if "FileScan" in line and re.search(r"m#\d+,far", line)]
     assert len(rows_read) == 2  # by the row layouts and by the scan, not again for the totals
+    kept = W.walk(G.cells(spark, rows), plans, keep_blocks=True)
+    assert kept.units.exceptAll(w.units).isEmpty() and kept.lines.exceptAll(w.lines).isEmpty()
+    assert kept.units.count() == 3 and "Window" not in kept.lines._jdf.queryExecution().executedPlan().toString()
 
 def test_cells_are_built_once_for_all_their_copies(spark, sf_dir, monkeypatch):
     given = []

@@ -515,11 +515,12 @@ def _lines(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return row.unionByName(block)
 
 
-def walk(cells: DataFrame, structures: DataFrame) -> Walk:
+def walk(cells: DataFrame, structures: DataFrame, keep_blocks: bool = False) -> Walk:
     """Walk every planned sheet.
 
     The cells are read once. The gathered rows, from which ranges, plans and units come, and the plan (one
-    row per sheet) are staged, so every branch has a short lineage and prunes what it reads.
+    row per sheet) are staged, so every branch has a short lineage and prunes what it reads. With ``keep_blocks``
+    the rows with their blocks are staged as well, for callers who read units and lines.
     """
     rows = stage(sheet_rows(cells))
     plan0 = stage(sheet_plan(structures, row_ranges(rows)))
@@ -527,6 +528,8 @@ def walk(cells: DataFrame, structures: DataFrame) -> Walk:
     plan = stage(full_plan(plan0, rows, found))
     flagged = row_flags(planned_rows(rows, plan))
     alone, blocks = assign_blocks(flagged, found)
+    if keep_blocks:
+        blocks = stage(blocks)
     return Walk(plan, flagged, _units(alone, blocks, plan), _lines(alone, blocks))
 
 

@@ -44,7 +44,7 @@ def read_sheets(cells: DataFrame, structures: DataFrame) -> Reading:
 
     ``rejected`` lists sheets no convention proved; they need another reading.
     """
-    walked = W.walk(cells, structures)
+    walked = W.walk(cells, structures, keep_blocks=True)
     walked = walked._replace(units=stage(walked.units), lines=stage(walked.lines))
     heads = C.header_text(C.sheet_grid(cells))
     stated = prove.sheet_stated(structures)

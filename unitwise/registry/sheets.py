@@ -143,8 +143,8 @@ register("nonstandard_layout", lambda sp, d: C.detect_nonstandard_layout(everyth
 # --- the walk ----------------------------------------------------------------------
 
 
-def walk_of(sp, d, *sheets) -> W.Walk:
-    return W.walk(G.cells(sp, d, *sheets), G.structures(sp, d, *sheets))
+def walk_of(sp, d, *sheets, **how) -> W.Walk:
+    return W.walk(G.cells(sp, d, *sheets), G.structures(sp, d, *sheets), **how)
 
 
 _n = lambda c: f"coalesce({c}, 0)"
@@ -462,7 +462,7 @@ register("accepted_units", _accepted, duck(
 
 
 def _narrow_input(sp, d):
-    w = walk_of(sp, d, "lease")
+    w = walk_of(sp, d, "lease", keep_blocks=True)
     w = w._replace(lines=stage(w.lines))
     units = stage(W.dedupe_units(w.units))
     fees = w.lines.filter(F.col("code") == "como").groupBy(*W.SHEET, "source_row").agg(
